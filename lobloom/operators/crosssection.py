@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP_ROWS = 200_000
+SAMPLE_ONE_IN = 16_384
 MAX_RANGES = 512
 
 
@@ -29,19 +29,27 @@ def quantile_agg(value, p: float) -> Column:
 
 def winsorise(
     df: DataFrame, group: Sequence[str], columns: Mapping[str, str],
-    lower: float = 0.01, upper: float = 0.99,
+    lower: float = 0.01, upper: float = 0.99, count: str | None = None, minimum: int = 0,
 ) -> DataFrame:
-    """``columns``: output -> input, clipped at interpolated group quantiles."""
+    """``columns``: output -> input, clipped at interpolated group quantiles.
+
+    ``count`` also keeps the group size and drops groups below ``minimum``.
+    """
     aggs = {}
     for out, c in columns.items():
         aggs[f"_lo_{out}"] = quantile_agg(c, lower)
         aggs[f"_hi_{out}"] = quantile_agg(c, upper)
-    with_q = attach(df, group, aggs)
+    helpers = list(aggs)
+    if count:
+        aggs[count] = F.count(F.lit(1))
+    stats = df.groupBy(*group).agg(*[a.alias(n) for n, a in aggs.items()])
+    if count and minimum:
+        stats = stats.filter(F.col(count) >= minimum)
     clipped = {
         out: F.least(F.greatest(F.col(c), F.col(f"_lo_{out}")), F.col(f"_hi_{out}"))
         for out, c in columns.items()
     }
-    return with_q.withColumns(clipped).drop(*aggs)
+    return df.join(stats, list(group)).withColumns(clipped).drop(*helpers)
 
 
 def zscore(df: DataFrame, group: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
@@ -60,20 +68,22 @@ def zscore(df: DataFrame, group: Sequence[str], columns: Mapping[str, str]) -> D
     ).drop(*aggs)
 
 
+def value_ranks(df: DataFrame, group: Sequence[str], value: str, out: str, total: str) -> DataFrame:
+    """Average-tie rank of every distinct value of a group, and the group size."""
+    group = list(group)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(
+        F.count(F.lit(1)).alias("_c"))
+    placed = position(counts, group, [F.col(value)], weight="_c", out="_upto", total=total)
+    return placed.select(
+        *group, value, (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(out), total)
+
+
 def average_rank(df: DataFrame, group: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """Average-tie rank (1-based) plus the group size in ``<out>_n``.
 
     Works on distinct values and their counts, so equal values cost one row.
     """
-    group = list(group)
-    known = df.filter(F.col(value).isNotNull())
-    counts = known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    placed = position(counts, group, [F.col(value)], weight="_c", out="_upto", total=f"{out}_n")
-    ranks = placed.select(
-        *group, value,
-        (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(out),
-        f"{out}_n",
-    )
+    ranks = value_ranks(df, group, value, out, f"{out}_n")
     return df.join(ranks, [*group, value], "left")
 
 
@@ -84,54 +94,38 @@ def position(
     out: str = "pos",
     weight: str | None = None,
     total: str | None = None,
-    group_rows: int = GROUP_ROWS,
+    one_in: int = SAMPLE_ONE_IN,
 ) -> DataFrame:
     """1-based position (running weight) of each row in its group's order.
 
-    ``order`` must identify a row.  Groups above ``group_rows`` are cut into
-    value ranges at bounds taken from a hashed sample of the rows; positions are
-    exact whatever the sample, because each range adds the size of those before.
+    ``order`` must identify a row.  One aggregate per group gives its size and a
+    hashed sample of its keys (one in ``one_in``); every eighth sampled key, at
+    most ``MAX_RANGES`` of them, cuts the group into ranges ranked on their own.
+    Positions are exact whatever the sample, because each range adds the size of
+    those before it.  An ordinary group has an empty sample and stays whole.
     """
     group = list(group)
     w_ = F.col(weight) if weight else F.lit(1).cast("long")
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     keyed = df.withColumn("_key", key)
-    sizes = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.sum(w_).alias("_w"))
-    # About 8 sampled keys per wanted range, none at all for an ordinary group.
-    ranges = F.least(F.lit(MAX_RANGES), F.ceil(F.col("_n") / F.lit(group_rows)))
-    one_in = F.greatest(F.lit(1), F.floor(F.col("_n") / (ranges * 8))).cast("long")
-    sample = (
-        keyed.join(sizes.filter(F.col("_n") > group_rows), group)
-        .filter(F.pmod(F.xxhash64("_key"), one_in) == 0)
-        .groupBy(*group)
-        .agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
-        .select(
-            *group,
-            F.filter("_keys", lambda _k, i: i % 8 == 7).alias("_bounds"),
-        )
+    picked = F.when(F.pmod(F.xxhash64("_key"), F.lit(one_in)) == 0, F.col("_key"))
+    sizes = keyed.groupBy(*group).agg(
+        F.sum(w_).alias("_w"), F.sort_array(F.collect_list(picked)).alias("_keys")
     )
-    ranged = (
-        keyed.join(sample, group, "left")
-        .withColumn(
-            "_range",
-            F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("_key"))), F.lit(0)),
-        )
-        .withColumn("_range", F.greatest(F.col("_range"), F.lit(0)))
-        .drop("_bounds")
+    step = F.greatest(F.lit(8), F.ceil(F.size("_keys") / F.lit(MAX_RANGES)))
+    sizes = sizes.select(
+        *group, "_w", F.filter("_keys", lambda _k, i: i % step == step - 1).alias("_bounds")
     )
+    ranged = keyed.join(sizes, group).withColumn(
+        "_range", F.size(F.filter("_bounds", lambda b: b < F.col("_key")))
+    ).drop("_bounds")
     before = (
         ranged.groupBy(*group, "_range").agg(F.sum(w_).alias("_rw"))
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_rw").over(
-                    Window.partitionBy(*group).orderBy("_range")
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("_rw")
+        .select(*group, "_range", F.coalesce(
+            F.sum("_rw").over(
+                Window.partitionBy(*group).orderBy("_range")
+                .rowsBetween(Window.unboundedPreceding, -1)
+            ), F.lit(0)).alias("_before"))
     )
     inside = Window.partitionBy(*group, "_range").orderBy("_key").rowsBetween(
         Window.unboundedPreceding, 0
@@ -142,8 +136,8 @@ def position(
         .withColumn(out, (F.col(out) + F.col("_before")).cast("long"))
     )
     if total:
-        res = res.join(sizes.select(*group, F.col("_w").alias(total)), group)
-    return res.drop("_range", "_before", "_key")
+        res = res.withColumn(total, F.col("_w"))
+    return res.drop("_range", "_before", "_key", "_w")
 
 
 def rank_score(rank, n, mode: str) -> Column:
@@ -169,11 +163,28 @@ def percentile_rank(
     if mode == "pos":
         known = df.filter(F.col(value).isNotNull())
         placed = position(
-            known, group, [F.col(value), *[F.col(t) for t in tie]], out="_r", total="_r_n"
+            known, group, [F.col(value), *[F.col(t) for t in tie]], out="__r", total="__r_n"
         )
     else:
-        placed = average_rank(df, group, value, out="_r")
-    return placed.withColumn(out, rank_score("_r", "_r_n", mode)).drop("_r", "_r_n")
+        placed = average_rank(df, group, value, out="__r")
+    return placed.withColumn(out, rank_score("__r", "__r_n", mode)).drop("__r", "__r_n")
+
+
+def percentile_ranks(
+    df: DataFrame, group: Sequence[str], columns: Mapping[str, str], mode: str = "pct_half",
+) -> DataFrame:
+    """Percentile ranks of several columns, each computed on ``df`` itself.
+
+    The ranks are tables of distinct values joined back one after another, so
+    the plan grows by one branch per column.
+    """
+    group = list(group)
+    res = df
+    for out, value in columns.items():
+        ranks = value_ranks(df, group, value, "__r", "__n").select(
+            *group, value, rank_score("__r", "__n", mode).alias(out))
+        res = res.join(ranks, [*group, value], "left")
+    return res
 
 
 def equal_buckets(
@@ -206,97 +217,102 @@ def quintile(pct) -> Column:
 def residualise(
     df: DataFrame,
     group: Sequence[str],
-    values: Mapping[str, str],
-    exposures: Sequence[str],
-    r2: str | None = None,
-    rank: str | None = None,
+    models: Mapping[str, tuple[str, Sequence[str]]],
+    r2: bool = False,
+    sd: bool = False,
+    rank: bool = False,
     tolerance: float = 1e-10,
 ) -> DataFrame:
-    """Residuals of each value on the exposures with an intercept.
-
-    One aggregate collects every sum of products; Gram-Schmidt then runs on that
-    small moment matrix per group, dropping an exposure explained by earlier
-    ones, and the rows get ``value - mean - coefficients * (exposure - mean)``.
+    """Residuals of each model ``output -> (value, exposures)`` with an intercept.
+
+    One aggregate collects means and covariances for all models together;
+    Gram-Schmidt then runs on that small moment table, dropping an exposure that
+    earlier ones explain, and each row gets
+    ``value - mean - coefficients * (exposure - mean)``.  Inputs must not be NULL.
+    ``r2``/``sd``/``rank`` add ``<output>_r2``, the residual deviation
+    ``<output>_sd`` and the number of exposures kept.
     """
-    group, ex = list(group), list(exposures)
-    outs = list(values)
-    srcs = [values[o] for o in outs]
-    means = {f"_m{i}": F.avg(c) for i, c in enumerate(ex)}
-    means |= {f"_y{i}": F.avg(c) for i, c in enumerate(srcs)}
-    centred = attach(df, group, means)
-    x = [F.col(c).cast("double") - F.col(f"_m{i}") for i, c in enumerate(ex)]
-    y = [F.col(c).cast("double") - F.col(f"_y{i}") for i, c in enumerate(srcs)]
-    k = len(ex)
-    grams = {}
-    for i in range(k):
-        for j in range(i, k):
-            grams[f"_g{i}_{j}"] = F.sum(x[i] * x[j])
-    for v in range(len(outs)):
-        grams[f"_t{v}"] = F.sum(y[v] * y[v])
-        for i in range(k):
-            grams[f"_h{v}_{i}"] = F.sum(y[v] * x[i])
-    stats = centred.groupBy(*group).agg(*[a.alias(n) for n, a in grams.items()])
-
-    # Gram-Schmidt in coefficient space, level by level on the small table:
-    # u{j}_{t} = <t, q_j> for every later exposure and every value t, and
-    # a{j}_{t} = u{j}_{t} / <q_j, q_j> is zero when q_j is dropped.
-    targets = [str(i) for i in range(k)] + [f"y{v}" for v in range(len(outs))]
-
-    def moment(j, t):
-        return F.col(f"_h{t[1:]}_{j}") if t.startswith("y") else F.col(f"_g{j}_{t}")
-
-    for j in range(k):
-        later = targets[j:]
-        level = {}
-        for t in later:
-            e = moment(j, t)
-            for i in range(j):
-                e = e - F.col(f"_a{i}_{j}") * F.col(f"_u{i}_{t}")
-            level[f"_u{j}_{t}"] = e
-        stats = stats.withColumns(level)
-        norm = F.col(f"_u{j}_{j}")
-        kept = norm > F.greatest(F.lit(tolerance * tolerance), F.col(f"_g{j}_{j}") * F.lit(1e-12))
-        stats = stats.withColumns(
-            {f"_a{j}_{t}": F.when(kept, F.col(f"_u{j}_{t}") / norm).otherwise(0.0) for t in later[1:]}
-            | {f"_k{j}": kept.cast("int")}
-        )
-    # Back-substitute to coefficients of the exposures themselves.
-    for j in reversed(range(k)):
-        level = {}
-        for v in range(len(outs)):
-            e = F.col(f"_a{j}_y{v}")
-            for i in range(j + 1, k):
-                e = e - F.col(f"_a{j}_{i}") * F.col(f"_c{v}_{i}")
-            level[f"_c{v}_{j}"] = e
-        stats = stats.withColumns(level)
-    fit = {}
-    for v in range(len(outs)):
-        explained = F.lit(0.0)
+    group = list(group)
+    xs = list(dict.fromkeys(x for _, ex in models.values() for x in ex))
+    ys = list(dict.fromkeys(v for v, _ in models.values()))
+    xi, yi = {x: i for i, x in enumerate(xs)}, {y: i for i, y in enumerate(ys)}
+    aggs = {f"_m{i}": F.avg(x) for x, i in xi.items()}
+    aggs |= {f"_y{i}": F.avg(y) for y, i in yi.items()}
+    for i, x in enumerate(xs):
+        for j in range(i, len(xs)):
+            aggs[f"_g{i}_{j}"] = F.covar_pop(x, xs[j])
+    for y, v in yi.items():
+        aggs[f"_t{v}"] = F.var_pop(y)
+    wanted = sorted({(yi[v], xi[x]) for v, ex in models.values() for x in ex})
+    for v, i in wanted:
+        aggs[f"_h{v}_{i}"] = F.covar_pop(ys[v], xs[i])
+    stats = df.groupBy(*group).agg(*[a.alias(n) for n, a in aggs.items()])
+
+    def g(i, j):
+        return F.col(f"_g{min(i, j)}_{max(i, j)}")
+
+    # Models with the same exposures share one pass.  u{j}_{t} = <t, q_j> for the
+    # later exposures and the values t; a{j}_{t} = u{j}_{t} / <q_j, q_j>, zero
+    # when q_j is dropped.  `tag` keeps the columns of the passes apart.
+    passes: dict[tuple[str, ...], list[str]] = {}
+    for out, (_, ex) in models.items():
+        passes.setdefault(tuple(ex), []).append(out)
+    coefficients, fit = {}, {}
+    for p, (ex, outs) in enumerate(passes.items()):
+        k, tag = len(ex), f"_p{p}"
+        pos = [xi[x] for x in ex]
+        values = sorted({yi[models[o][0]] for o in outs})
+        targets = [str(j) for j in range(k)] + [f"y{v}" for v in values]
         for j in range(k):
-            explained = explained + F.col(f"_a{j}_y{v}") * F.col(f"_u{j}_y{v}")
-        fit[f"_r2_{v}"] = F.when(
-            F.col(f"_t{v}") > 0,
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), explained / F.col(f"_t{v}"))),
-        )
+            level = {}
+            for t in targets[j:]:
+                e = F.col(f"_h{t[1:]}_{pos[j]}") if t.startswith("y") else g(pos[j], pos[int(t)])
+                for i in range(j):
+                    e = e - F.col(f"{tag}a{i}_{j}") * F.col(f"{tag}u{i}_{t}")
+                level[f"{tag}u{j}_{t}"] = e
+            stats = stats.withColumns(level)
+            norm = F.col(f"{tag}u{j}_{j}")
+            kept = norm > F.greatest(F.lit(tolerance * tolerance), g(pos[j], pos[j]) * F.lit(1e-12))
+            stats = stats.withColumns(
+                {f"{tag}a{j}_{t}": F.when(kept, F.col(f"{tag}u{j}_{t}") / norm).otherwise(0.0)
+                 for t in targets[j + 1:]}
+                | {f"{tag}k{j}": kept.cast("int")}
+            )
+        for j in reversed(range(k)):
+            level = {}
+            for v in values:
+                e = F.col(f"{tag}a{j}_y{v}")
+                for i in range(j + 1, k):
+                    e = e - F.col(f"{tag}a{j}_{i}") * F.col(f"{tag}c{v}_{i}")
+                level[f"{tag}c{v}_{j}"] = e
+            stats = stats.withColumns(level)
+        for o in outs:
+            v = yi[models[o][0]]
+            coefficients[o] = [(f"{tag}c{v}_{j}", xs[pos[j]], pos[j]) for j in range(k)]
+            explained = F.lit(0.0)
+            for j in range(k):
+                explained = explained + F.col(f"{tag}a{j}_y{v}") * F.col(f"{tag}u{j}_y{v}")
+            share = F.when(F.col(f"_t{v}") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), explained / F.col(f"_t{v}"))))
+            if r2:
+                fit[f"{o}_r2"] = share
+            if sd:
+                fit[f"{o}_sd"] = F.sqrt(F.greatest(F.lit(0.0), F.col(f"_t{v}") - explained))
+            if rank:
+                fit[f"{o}_rank"] = sum([F.col(f"{tag}k{j}") for j in range(k)], F.lit(0))
     stats = stats.select(
-        *group,
-        *[f"_c{v}_{j}" for v in range(len(outs)) for j in range(k)],
+        *group, *[f"_m{i}" for i in xi.values()], *[f"_y{i}" for i in yi.values()],
+        *dict.fromkeys(c for cs in coefficients.values() for c, _, _ in cs),
         *[e.alias(n) for n, e in fit.items()],
-        sum([F.col(f"_k{j}") for j in range(k)], F.lit(0)).alias("_rank"),
     )
-    back = centred.join(stats, group)
-    fitted = {}
-    for v, o in enumerate(outs):
-        e = y[v]
-        for j in range(k):
-            e = e - F.col(f"_c{v}_{j}") * x[j]
-        fitted[o] = e
-        if r2:
-            fitted[f"{o}_{r2}"] = F.col(f"_r2_{v}")
-    if rank:
-        fitted[rank] = F.col("_rank")
-    keep = [c for c in df.columns if c not in fitted]
-    return back.select(*keep, *[e.alias(n) for n, e in fitted.items()])
+    back = df.join(stats, group)
+    resid = {}
+    for o, (value, _) in models.items():
+        e = F.col(value) - F.col(f"_y{yi[value]}")
+        for c, x, i in coefficients[o]:
+            e = e - F.col(c) * (F.col(x) - F.col(f"_m{i}"))
+        resid[o] = e
+    keep = [c for c in df.columns if c not in resid and c not in fit]
+    return back.select(*keep, *[e.alias(n) for n, e in resid.items()], *fit)
 
 
 def pearson(df: DataFrame, group: Sequence[str], a: str, b: str, out: str = "ic", minimum: int = 3):
@@ -316,9 +332,10 @@ def pearson(df: DataFrame, group: Sequence[str], a: str, b: str, out: str = "ic"
 def rank_ic(df: DataFrame, group: Sequence[str], a: str, b: str, out: str = "ic", minimum: int = 3):
     """Spearman correlation with average ties per group."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*group, a, b)
-    ra = average_rank(both, group, a, out="_ra")
-    rb = average_rank(ra, group, b, out="_rb")
-    return pearson(rb, group, "_ra", "_rb", out, minimum)
+    ra = value_ranks(both, group, a, "_ra", "_na").drop("_na")
+    rb = value_ranks(both, group, b, "_rb", "_nb").drop("_nb")
+    ranked = both.join(ra, [*group, a]).join(rb, [*group, b])
+    return pearson(ranked, group, "_ra", "_rb", out, minimum)
 
 
 def tail_spread(
