@@ -1,3 +1,3 @@
 """Imports every query module so the registry is complete."""
 
-from lobloom.catalog import flow_queries, path_queries  # noqa: F401
+from lobloom.catalog import flow_queries, path_queries, study_queries  # noqa: F401

@@ -26,17 +26,17 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+def nudge(digits: int) -> float:
+    """Moves exact decimal halves off the tie, the same way in both engines."""
+    return 3.7 * 10.0 ** -(digits + 4)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column, so results compare across engines."""
     cols: list[Column] = []
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
-            cols.append((F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name))
+            cols.append((F.round(F.col(f.name) + F.lit(nudge(digits)), digits) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
-
-
-def rd(sql: str, digits: int = 6) -> str:
-    """Round every double column of a select in DuckDB (``-0.0`` becomes ``0.0``)."""
-    return sql

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lobloom.catalog.registry import nudge
+
 
 def fin(select: str, doubles: str, digits: int = 6) -> str:
     """Round the named columns of a select and clear negative zeros."""
-    rep = ", ".join(f"round({c},{digits})+0.0 AS {c}" for c in doubles.split())
+    rep = ", ".join(f"round({c}+{nudge(digits)!r}::DOUBLE,{digits})+0.0 AS {c}" for c in doubles.split())
     return f"SELECT * REPLACE ({rep}) FROM ({select})" if rep else select
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,6 +215,50 @@ def quintile(pct) -> Column:
     return F.least(F.lit(5), F.floor(p * 5.0) + 1).cast("int")
 
 
+def _moment_solver(n: int, passes: Sequence[tuple[Sequence[int], Sequence[int]]], tolerance: float):
+    """Gram-Schmidt on packed moment matrices, one row per group.
+
+    ``passes`` holds (exposure positions, value positions).  Returns, per value of
+    each pass, its coefficients, R2, residual deviation and kept exposures.
+    """
+    spec = [(list(e), list(v)) for e, v in passes]
+
+    def solve(packed: pd.Series) -> pd.Series:
+        import numpy as np
+        import pandas
+
+        flat = np.array([np.asarray(r, dtype=float) for r in packed]).reshape(len(packed), -1)
+        g = np.zeros((len(flat), n, n))
+        upper = np.triu_indices(n)
+        g[:, upper[0], upper[1]] = flat
+        g = g + np.transpose(np.triu(g, 1), (0, 2, 1))
+        parts = []
+        for ex, values in spec:
+            k, cols = len(ex), ex + values
+            u = np.zeros((len(g), k, k + len(values)))
+            a = np.zeros_like(u)
+            kept = np.zeros((len(g), k), dtype=bool)
+            for j in range(k):
+                u[:, j] = g[:, ex[j], :][:, cols] - np.einsum("ri,rit->rt", a[:, :j, j], u[:, :j])
+                norm = u[:, j, j]
+                kept[:, j] = norm > np.maximum(tolerance**2, 1e-12 * g[:, ex[j], ex[j]])
+                safe = np.where(kept[:, j], norm, 1.0)
+                a[:, j] = np.where(kept[:, j, None], u[:, j] / safe[:, None], 0.0)
+            for v, y in enumerate(values):
+                coef = a[:, :, k + v].copy()
+                for j in reversed(range(k)):
+                    coef[:, j] -= np.einsum("ri,ri->r", a[:, j, j + 1:k], coef[:, j + 1:])
+                explained = (a[:, :, k + v] * u[:, :, k + v]).sum(axis=1)
+                total = g[:, y, y]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    share = np.where(total > 0, np.clip(explained / total, 0.0, 1.0), np.nan)
+                left = np.sqrt(np.maximum(0.0, total - explained))
+                parts.append(np.column_stack([coef, share, left, kept.sum(axis=1)]))
+        return pandas.Series(list(np.hstack(parts)))
+
+    return F.pandas_udf(solve, "array<double>")
+
+
 def residualise(
     df: DataFrame,
     group: Sequence[str],
@@ -225,8 +270,9 @@ def residualise(
 ) -> DataFrame:
     """Residuals of each model ``output -> (value, exposures)`` with an intercept.
 
-    One aggregate collects means and covariances for all models together;
-    Gram-Schmidt then runs on that small moment table, dropping an exposure that
+    One JVM-side aggregate collects means and covariances for all models
+    together.  The small moment matrix of a group is then solved (a Pandas UDF
+    over one row per group, the only Python here), dropping an exposure that
     earlier ones explain, and each row gets
     ``value - mean - coefficients * (exposure - mean)``.  Inputs must not be NULL.
     ``r2``/``sd``/``rank`` add ``<output>_r2``, the residual deviation
@@ -235,84 +281,44 @@ def residualise(
     group = list(group)
     xs = list(dict.fromkeys(x for _, ex in models.values() for x in ex))
     ys = list(dict.fromkeys(v for v, _ in models.values()))
-    xi, yi = {x: i for i, x in enumerate(xs)}, {y: i for i, y in enumerate(ys)}
-    aggs = {f"_m{i}": F.avg(x) for x, i in xi.items()}
-    aggs |= {f"_y{i}": F.avg(y) for y, i in yi.items()}
-    for i, x in enumerate(xs):
-        for j in range(i, len(xs)):
-            aggs[f"_g{i}_{j}"] = F.covar_pop(x, xs[j])
-    for y, v in yi.items():
-        aggs[f"_t{v}"] = F.var_pop(y)
-    wanted = sorted({(yi[v], xi[x]) for v, ex in models.values() for x in ex})
-    for v, i in wanted:
-        aggs[f"_h{v}_{i}"] = F.covar_pop(ys[v], xs[i])
-    stats = df.groupBy(*group).agg(*[a.alias(n) for n, a in aggs.items()])
-
-    def g(i, j):
-        return F.col(f"_g{min(i, j)}_{max(i, j)}")
-
-    # Models with the same exposures share one pass.  u{j}_{t} = <t, q_j> for the
-    # later exposures and the values t; a{j}_{t} = u{j}_{t} / <q_j, q_j>, zero
-    # when q_j is dropped.  `tag` keeps the columns of the passes apart.
+    cols = [*xs, *[y for y in ys if y not in xs]]
+    at = {c: i for i, c in enumerate(cols)}
     passes: dict[tuple[str, ...], list[str]] = {}
-    for out, (_, ex) in models.items():
-        passes.setdefault(tuple(ex), []).append(out)
-    coefficients, fit = {}, {}
-    for p, (ex, outs) in enumerate(passes.items()):
-        k, tag = len(ex), f"_p{p}"
-        pos = [xi[x] for x in ex]
-        values = sorted({yi[models[o][0]] for o in outs})
-        targets = [str(j) for j in range(k)] + [f"y{v}" for v in values]
-        for j in range(k):
-            level = {}
-            for t in targets[j:]:
-                e = F.col(f"_h{t[1:]}_{pos[j]}") if t.startswith("y") else g(pos[j], pos[int(t)])
-                for i in range(j):
-                    e = e - F.col(f"{tag}a{i}_{j}") * F.col(f"{tag}u{i}_{t}")
-                level[f"{tag}u{j}_{t}"] = e
-            stats = stats.withColumns(level)
-            norm = F.col(f"{tag}u{j}_{j}")
-            kept = norm > F.greatest(F.lit(tolerance * tolerance), g(pos[j], pos[j]) * F.lit(1e-12))
-            stats = stats.withColumns(
-                {f"{tag}a{j}_{t}": F.when(kept, F.col(f"{tag}u{j}_{t}") / norm).otherwise(0.0)
-                 for t in targets[j + 1:]}
-                | {f"{tag}k{j}": kept.cast("int")}
-            )
-        for j in reversed(range(k)):
-            level = {}
-            for v in values:
-                e = F.col(f"{tag}a{j}_y{v}")
-                for i in range(j + 1, k):
-                    e = e - F.col(f"{tag}a{j}_{i}") * F.col(f"{tag}c{v}_{i}")
-                level[f"{tag}c{v}_{j}"] = e
-            stats = stats.withColumns(level)
-        for o in outs:
-            v = yi[models[o][0]]
-            coefficients[o] = [(f"{tag}c{v}_{j}", xs[pos[j]], pos[j]) for j in range(k)]
-            explained = F.lit(0.0)
-            for j in range(k):
-                explained = explained + F.col(f"{tag}a{j}_y{v}") * F.col(f"{tag}u{j}_y{v}")
-            share = F.when(F.col(f"_t{v}") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), explained / F.col(f"_t{v}"))))
-            if r2:
-                fit[f"{o}_r2"] = share
-            if sd:
-                fit[f"{o}_sd"] = F.sqrt(F.greatest(F.lit(0.0), F.col(f"_t{v}") - explained))
-            if rank:
-                fit[f"{o}_rank"] = sum([F.col(f"{tag}k{j}") for j in range(k)], F.lit(0))
-    stats = stats.select(
-        *group, *[f"_m{i}" for i in xi.values()], *[f"_y{i}" for i in yi.values()],
-        *dict.fromkeys(c for cs in coefficients.values() for c, _, _ in cs),
-        *[e.alias(n) for n, e in fit.items()],
+    for value, ex in models.values():
+        known = passes.setdefault(tuple(ex), [])
+        if value not in known:
+            known.append(value)
+    solver = _moment_solver(
+        len(cols), [([at[x] for x in ex], [at[v] for v in vs]) for ex, vs in passes.items()], tolerance
     )
+    pairs = [
+        F.covar_pop(c, cols[j]) for i, c in enumerate(cols) for j in range(i, len(cols))
+    ]
+    stats = df.groupBy(*group).agg(
+        F.array(*[F.avg(c) for c in cols]).alias("_means"), F.array(*pairs).alias("_moments")
+    ).withColumn("_fit", solver("_moments")).drop("_moments")
+    start, offset = {}, 0
+    for ex, vs in passes.items():
+        for v in vs:
+            start[tuple(ex), v] = offset
+            offset += len(ex) + 3
     back = df.join(stats, group)
-    resid = {}
-    for o, (value, _) in models.items():
-        e = F.col(value) - F.col(f"_y{yi[value]}")
-        for c, x, i in coefficients[o]:
-            e = e - F.col(c) * (F.col(x) - F.col(f"_m{i}"))
-        resid[o] = e
-    keep = [c for c in df.columns if c not in resid and c not in fit]
-    return back.select(*keep, *[e.alias(n) for n, e in resid.items()], *fit)
+    outs = {}
+    for o, (value, ex) in models.items():
+        s = start[tuple(ex), value]
+        e = F.col(value) - F.col("_means")[at[value]]
+        for j, x in enumerate(ex):
+            e = e - F.col("_fit")[s + j] * (F.col(x) - F.col("_means")[at[x]])
+        outs[o] = e
+        share = F.col("_fit")[s + len(ex)]
+        if r2:
+            outs[f"{o}_r2"] = F.when(~F.isnan(share), share)
+        if sd:
+            outs[f"{o}_sd"] = F.col("_fit")[s + len(ex) + 1]
+        if rank:
+            outs[f"{o}_rank"] = F.col("_fit")[s + len(ex) + 2].cast("int")
+    keep = [c for c in df.columns if c not in outs]
+    return back.select(*keep, *[e.alias(n) for n, e in outs.items()])
 
 
 def pearson(df: DataFrame, group: Sequence[str], a: str, b: str, out: str = "ic", minimum: int = 3):
