@@ -93,20 +93,20 @@ def sql(*parts: str) -> str:
 STUDY = PANEL.strip() + """,
 study0 AS (
   SELECT *, lag(cap) OVER (PARTITION BY symbol ORDER BY date) AS prev_cap, flow AS flow5,
-    round(flow*0.5 + (style5-15)/10, 6) AS flow1, round((style1-50)/50, 6) AS flow30,
-    depth*3 + n_obs*10 AS buy5, depth*2 + style5*5 AS sell5, round(style1*10+50, 6) AS ask5, round(style2*10+50, 6) AS bid5,
-    style3*10+50 AS ask30, round(style1*5+style2*5+50, 6) AS bid30,
-    round((style2-style1)/100, 6) AS book5, round((style3-25)/25, 6) AS book30, round(style2/100, 6) AS fillability,
-    round((style1-style2)/100, 6) AS execution_pressure, round(ret30/2, 6) AS past_return FROM panel),
+    (flow*0.5 + (style5-15)/10) AS flow1, ((style1-50)/50) AS flow30,
+    depth*3 + n_obs*10 AS buy5, depth*2 + style5*5 AS sell5, (style1*10+50) AS ask5, (style2*10+50) AS bid5,
+    style3*10+50 AS ask30, (style1*5+style2*5+50) AS bid30,
+    ((style2-style1)/100) AS book5, ((style3-25)/25) AS book30, (style2/100) AS fillability,
+    ((style1-style2)/100) AS execution_pressure, (ret30/2) AS past_return FROM panel),
 study AS (
   SELECT *, CASE WHEN prev_cap<500000 THEN 'low' WHEN prev_cap<5000000 THEN 'mid' ELSE 'high' END || '_' ||
       CASE WHEN symbol LIKE 'SH688%' THEN 'star' WHEN price<10 THEN 'lt10' ELSE 'ge10' END AS domain,
-    round((bid5-ask5)/(bid5+ask5), 6) AS endpoint_book, round(flow5-flow30, 6) AS flow_shift, round(book5-book30, 6) AS book_shift,
+    ((bid5-ask5)/(bid5+ask5)) AS endpoint_book, (flow5-flow30) AS flow_shift, (book5-book30) AS book_shift,
     buy5 AS active_buy_volume, sell5 AS active_sell_volume, n_obs AS active_count, style5*10 AS near_cancel_buy, style3*4 AS near_cancel_sell,
-    style3*3 AS aggressive_add_buy, style5*6 AS aggressive_add_sell, round(flow/5, 6) AS active_net_share, round(flow1/5, 6) AS chain_net_share,
-    round(style2/100, 6) AS multi_chain_share, round(0.1::DOUBLE+style1/200, 6) AS pred_fill_buy, round(0.1::DOUBLE+style2/200, 6) AS pred_fill_sell,
+    style3*3 AS aggressive_add_buy, style5*6 AS aggressive_add_sell, (flow/5) AS active_net_share, (flow1/5) AS chain_net_share,
+    (style2/100) AS multi_chain_share, (0.1::DOUBLE+style1/200) AS pred_fill_buy, (0.1::DOUBLE+style2/200) AS pred_fill_sell,
     bid5 AS bid_depth3, ask5 AS ask_depth3, bid30 AS end_bid_depth3, ask30 AS end_ask_depth3, style2 AS spread_bps, style1 AS end_spread_bps,
     depth*2 AS future_buy_volume, style5*30 AS future_sell_volume, n_obs::DOUBLE AS future_event_count, style3 AS future_realized_vol_bps,
-    round((bid5-ask5)/(bid5+ask5), 6) AS book_imbalance3
+    ((bid5-ask5)/(bid5+ask5)) AS book_imbalance3
   FROM study0 WHERE prev_cap IS NOT NULL AND NOT (symbol LIKE 'SH688%' AND price<10)
 )"""

@@ -198,29 +198,26 @@ def build_study(base: DataFrame) -> DataFrame:
     c = F.col
     w = Window.partitionBy("symbol").orderBy("date")
 
-    def r6(x):
-        return F.round(x, 6)
-
     s = base.withColumns({
         "prev_cap": F.lag("cap").over(w), "flow5": c("flow"),
-        "flow1": r6(c("flow") * 0.5 + (c("style5") - 15) / 10.0), "flow30": r6((c("style1") - 50) / 50.0),
+        "flow1": (c("flow") * 0.5 + (c("style5") - 15) / 10.0), "flow30": ((c("style1") - 50) / 50.0),
         "buy5": c("depth") * 3 + c("n_obs") * 10, "sell5": c("depth") * 2 + c("style5") * 5,
-        "ask5": r6(c("style1") * 10 + 50), "bid5": r6(c("style2") * 10 + 50),
-        "ask30": c("style3") * 10 + 50, "bid30": r6(c("style1") * 5 + c("style2") * 5 + 50),
-        "book5": r6((c("style2") - c("style1")) / 100.0), "book30": r6((c("style3") - 25) / 25.0),
-        "fillability": r6(c("style2") / 100.0), "execution_pressure": r6((c("style1") - c("style2")) / 100.0),
-        "past_return": r6(c("ret30") / 2.0),
+        "ask5": (c("style1") * 10 + 50), "bid5": (c("style2") * 10 + 50),
+        "ask30": c("style3") * 10 + 50, "bid30": (c("style1") * 5 + c("style2") * 5 + 50),
+        "book5": ((c("style2") - c("style1")) / 100.0), "book30": ((c("style3") - 25) / 25.0),
+        "fillability": (c("style2") / 100.0), "execution_pressure": ((c("style1") - c("style2")) / 100.0),
+        "past_return": (c("ret30") / 2.0),
     })
     return s.withColumns({
         "domain": domain_of("prev_cap", "price"),
-        "endpoint_book": r6((c("bid5") - c("ask5")) / (c("bid5") + c("ask5"))),
-        "flow_shift": r6(c("flow5") - c("flow30")), "book_shift": r6(c("book5") - c("book30")),
+        "endpoint_book": ((c("bid5") - c("ask5")) / (c("bid5") + c("ask5"))),
+        "flow_shift": (c("flow5") - c("flow30")), "book_shift": (c("book5") - c("book30")),
         "active_buy_volume": c("buy5"), "active_sell_volume": c("sell5"), "active_count": c("n_obs"),
         "near_cancel_buy": c("style5") * 10, "near_cancel_sell": c("style3") * 4,
         "aggressive_add_buy": c("style3") * 3, "aggressive_add_sell": c("style5") * 6,
-        "active_net_share": r6(c("flow") / 5.0), "chain_net_share": r6(c("flow1") / 5.0),
-        "multi_chain_share": r6(c("style2") / 100.0),
-        "pred_fill_buy": r6(0.1 + c("style1") / 200.0), "pred_fill_sell": r6(0.1 + c("style2") / 200.0),
+        "active_net_share": (c("flow") / 5.0), "chain_net_share": (c("flow1") / 5.0),
+        "multi_chain_share": (c("style2") / 100.0),
+        "pred_fill_buy": (0.1 + c("style1") / 200.0), "pred_fill_sell": (0.1 + c("style2") / 200.0),
         "bid_depth3": c("bid5"), "ask_depth3": c("ask5"), "end_bid_depth3": c("bid30"), "end_ask_depth3": c("ask30"),
         "spread_bps": c("style2"), "end_spread_bps": c("style1"),
         "future_buy_volume": c("depth") * 2, "future_sell_volume": c("style5") * 30,
