@@ -1,3 +1,5 @@
 """Imports every query module so the registry is complete."""
 
-from lobloom.catalog import book_queries, flow_queries, path_queries, study_queries  # noqa: F401
+from lobloom.catalog import (  # noqa: F401
+    book_queries, flow_queries, mechanism_queries, path_queries, study_queries,
+)

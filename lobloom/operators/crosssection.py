@@ -28,6 +28,28 @@ def quantile_agg(value, p: float) -> Column:
     return F.percentile(value, F.lit(p))
 
 
+def exact_quantiles(
+    df: DataFrame, group: Sequence[str], value: str, points: Mapping[str, float]
+) -> DataFrame:
+    """Interpolated quantiles per group from ranked distinct values.
+
+    Nothing is gathered per group: the two neighbours of each quantile are the
+    smallest values whose running count reaches their positions.
+    """
+    group = list(group)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_q")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    placed = position(counts, group, [F.col("_q")], weight="_c", out="_upto", total="_n")
+    aggs, outs = [F.max("_n").alias("_n")], []
+    for i, (name, p) in enumerate(points.items()):
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        aggs.append(F.min(F.when(F.col("_upto") >= F.floor(at) + 1, F.col("_q"))).alias(f"_a{i}"))
+        aggs.append(F.min(F.when(F.col("_upto") >= F.ceil(at) + 1, F.col("_q"))).alias(f"_b{i}"))
+        w = at - F.floor(at)
+        outs.append((F.col(f"_a{i}") * (1.0 - w) + F.col(f"_b{i}") * w).alias(name))
+    return placed.groupBy(*group).agg(*aggs).select(*group, *outs)
+
+
 def winsorise(
     df: DataFrame, group: Sequence[str], columns: Mapping[str, str],
     lower: float = 0.01, upper: float = 0.99, count: str | None = None, minimum: int = 0,

@@ -142,8 +142,9 @@ def rolling_dense(
     size: int,
     aggs: Mapping[str, Column],
     span: int = SPAN,
+    inclusive: bool = False,
 ) -> DataFrame:
-    """Aggregates over the ``size`` rows before the current one (current excluded)."""
+    """Aggregates over the ``size`` rows before the current one, or up to it."""
     keys = list(keys)
     if size >= span:
         raise ValueError("span must exceed the frame")
@@ -153,7 +154,8 @@ def rolling_dense(
         F.array(home, F.when(F.pmod(pos, F.lit(span)) >= span - size, home + 1))
     )
     w = (
-        Window.partitionBy(*keys, "_chunk").orderBy(seq).rowsBetween(-size, -1)
+        Window.partitionBy(*keys, "_chunk").orderBy(seq).rowsBetween(
+            1 - size if inclusive else -size, 0 if inclusive else -1)
     )
     return (
         df.withColumn("_home", home)
