@@ -1,5 +1,5 @@
 """Imports every query module so the registry is complete."""
 
 from lobloom.catalog import (  # noqa: F401
-    book_queries, flow_queries, mechanism_queries, path_queries, study_queries,
+    base_queries, book_queries, flow_queries, mechanism_queries, path_queries, study_queries,
 )

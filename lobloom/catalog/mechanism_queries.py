@@ -149,7 +149,7 @@ qc1 AS (SELECT *, coalesce(source_action='ORDER_ADD' AND p IS NOT NULL AND sourc
 qc2 AS (SELECT *, pas AND CASE WHEN source_side='B' THEN source_price>=p.b ELSE source_price<=p.a END AS agr FROM qc1),
 qc3 AS (SELECT *, {_RUNS}, count(*) FILTER (trd) OVER u AS tno, last_value(lm IGNORE NULLS) OVER u AS lmid, sum((trd AND NOT cont)::INTEGER) OVER u AS grp FROM qc2 WINDOW u AS (PARTITION BY symbol, date, session ORDER BY row_id ROWS UNBOUNDED PRECEDING)),
 qs AS (SELECT symbol, date, session, row_id, seq, trd, tno, source_side, grp, p, {{{_CUR}}} AS s FROM qc3),
-qch AS (SELECT symbol, date, session, grp, any_value(source_side) AS side, CASE WHEN count(*)=1 THEN 'single' ELSE 'multi' END AS kind, max(seq) AS ls, max(tno) AS lt, arg_min({_MID},row_id) AS tm, arg_min(CASE WHEN source_side='B' THEN p.ask3 ELSE p.bid3 END,row_id) AS od FROM qs WHERE trd GROUP BY 1,2,3,4),
+qch AS (SELECT symbol, date, session, grp, any_value(source_side) AS side, CASE WHEN count(*)=1 THEN 'single' ELSE 'multi' END AS kind, max(seq) AS ls, max(tno) AS lt, arg_min([{_MID}],row_id)[1] AS tm, arg_min([CASE WHEN source_side='B' THEN p.ask3 ELSE p.bid3 END],row_id)[1] AS od FROM qs WHERE trd GROUP BY 1,2,3,4),
 qcb AS (SELECT c.*, x.s AS b FROM qch c JOIN qs x ON x.symbol=c.symbol AND x.date=c.date AND x.session=c.session AND x.seq=c.ls JOIN qs e ON e.symbol=c.symbol AND e.date=c.date AND e.session=c.session AND e.seq=c.ls+1),
 qcf AS ({' UNION ALL '.join([f"SELECT c.*, 'lob{h}' AS n, f.s AS f FROM qcb c JOIN qs f ON f.symbol=c.symbol AND f.date=c.date AND f.session=c.session AND f.seq=c.ls+{h}" for h in _LH] + [f"SELECT c.*, 'trade{h}' AS n, f.s AS f FROM qcb c JOIN qs f ON f.symbol=c.symbol AND f.date=c.date AND f.session=c.session AND f.trd AND f.tno=c.lt+{h}" for h in _TH2])}),
 qcv AS (SELECT *, CASE WHEN side='B' THEN 1 ELSE -1 END * ((f.vol_B-b.vol_B)-(f.vol_S-b.vol_S)) AS fl, CASE WHEN side='B' THEN 1 ELSE -1 END * ln(f.m/tm)*10000 AS bps, {', '.join(f"CASE WHEN side='B' THEN f.{n}_B-b.{n}_B ELSE f.{n}_S-b.{n}_S END AS same_{n}, CASE WHEN side='B' THEN f.{n}_S-b.{n}_S ELSE f.{n}_B-b.{n}_B END AS opp_{n}" for n in ('add', 'agg', 'can'))} FROM qcf),

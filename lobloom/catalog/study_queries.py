@@ -124,7 +124,7 @@ def _tstat(v: str) -> str:
 
 def _summary(src: str = "ev", key: str = "scope, scope_key, factor_name, target_name") -> str:
     return f"""SELECT {key}, count(*) AS n_dates, sum(n)::BIGINT AS n_obs, avg(n) AS avg_names, avg(rank_ic) AS rank_ic, {_tstat('rank_ic')} AS rank_ic_t,
-      avg((rank_ic>0)::INTEGER) AS rank_ic_positive_date_share, avg(d10_d1) AS d10_d1, {_tstat('d10_d1')} AS d10_d1_t, avg((d10_d1>0)::INTEGER) AS d10_d1_positive_date_share
+      avg((round(rank_ic,12)>0)::INTEGER) AS rank_ic_positive_date_share, avg(d10_d1) AS d10_d1, {_tstat('d10_d1')} AS d10_d1_t, avg((round(d10_d1,12)>0)::INTEGER) AS d10_d1_positive_date_share
       FROM {src} GROUP BY {key}"""
 
 
@@ -351,12 +351,12 @@ def x24(spark, sf):
     fin("""SELECT symbol, date, old_endpoint_residual, flow5_minus_book5, flow30_minus_book30, terminal_shock, flow5_minus_book5_over_flow1, terminal_shock_over_flow1,
       flow1*execution_pressure AS confirmation1, flow5*execution_pressure AS confirmation5, flow30*execution_pressure AS confirmation30 FROM l5 WHERE dn_>=15""".replace("FROM l5 WHERE dn_>=15",
       "FROM (SELECT *, count(*) OVER (PARTITION BY date, domain) AS dn_ FROM l5) WHERE dn_>=15"),
-      "old_endpoint_residual flow5_minus_book5 flow30_minus_book30 terminal_shock flow5_minus_book5_over_flow1 terminal_shock_over_flow1 confirmation1 confirmation5 confirmation30", 13)))
+      "old_endpoint_residual flow5_minus_book5 flow30_minus_book30 terminal_shock flow5_minus_book5_over_flow1 terminal_shock_over_flow1 confirmation1 confirmation5 confirmation30", 5)))
 def x25(spark, sf):
     cols = ["symbol", "date", "domain", "flow1", "flow5", "flow30", "endpoint_book", "book5", "book30", "book_shift", "execution_pressure"]
     s = C.attach(study(spark, sf).select(*cols), S.SLICE, {"slice_n": F.count(F.lit(1))}).filter("slice_n >= 15").drop("slice_n")
     r = S.path_residuals(stage(s, "path"))
-    return rounded(r.drop(*cols[2:]), 13)
+    return rounded(r.drop(*cols[2:]), 5)
 
 
 _Q = {f: f"quantile_cont({f}, {{q}}) OVER (PARTITION BY date, domain)" for f in ("flow5", "book5", "flow_shift", "book_shift", "fillability")}

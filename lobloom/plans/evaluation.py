@@ -171,7 +171,9 @@ def evaluate(df: DataFrame, factors: Sequence[str], targets: Sequence[str], mini
     rows = stage(scoped(df, factors, targets, minimum), "scoped")
     ic = rank_ic(rows, SCOPE_KEYS, "score", "target", "rank_ic")
     sp = tail_spread(rows, SCOPE_KEYS, "score", "target", 0.1, "d10_d1").select(*SCOPE_KEYS, "d10_d1")
-    return ic.join(sp, SCOPE_KEYS).filter(F.col("n") >= minimum)
+    # Twelve digits, so rounding noise around zero never counts as a sign.
+    return ic.join(sp, SCOPE_KEYS).filter(F.col("n") >= minimum).withColumns(
+        {m: F.round(m, 12) for m in ("rank_ic", "d10_d1")})
 
 
 def summarise(by_date: DataFrame, metrics: Sequence[str] = ("rank_ic", "d10_d1"), keys: Sequence[str] | None = None) -> DataFrame:
