@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from lobloom.operators.asof import asof
 from lobloom.operators.ordered import dense_order, shift_dense
 from lobloom.plans import impact, primitives, summaries
 from lobloom.plans import evaluation as E
-from lobloom.session import stage
+from lobloom.session import shared_folder, stage
 from lobloom.sources import readers as R
 from lobloom.sources.derived import controls, lob, panel, read_table, sessions, study
 
@@ -49,12 +51,10 @@ def clock_scan(spark, sf):
 @query("s01_s04_file_scan_round_trip", sql(V, "SELECT symbol, date, count(*) AS n, sum(source_volume)::BIGINT AS volume, max(time) AS last_time FROM lob WHERE time<113000000 GROUP BY 1,2"))
 def file_scan(spark, sf):
     """Writes month/symbol files and reads them back with the symbol from the path."""
-    from lobloom.session import shared_folder
-
-    out = f"{shared_folder(spark)}/lobloom/files-{id(spark)}-{F.__name__}-{abs(hash(sf))}"
+    out = f"{shared_folder(spark)}/lobloom/files-{uuid.uuid4().hex}"
     e = lob(spark, sf)
     (e.withColumns({"m": F.floor(F.col("date") / 100).cast("string"), "s": F.col("symbol")}).drop("symbol")
-     .repartition("m", "s").write.mode("overwrite").partitionBy("m", "s").parquet(out))
+     .repartition("m", "s").write.partitionBy("m", "s").parquet(out))
     back = spark.read.parquet(out).withColumnRenamed("s", "symbol").filter(F.col("m") == "202401").filter(F.col("time") < 113000000)
     return back.groupBy(*DAY).agg(F.count(F.lit(1)).alias("n"), F.sum("source_volume").alias("volume"), F.max("time").alias("last_time"))
 

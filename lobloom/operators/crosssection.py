@@ -23,11 +23,6 @@ def attach(df: DataFrame, group: Sequence[str], aggs: Mapping[str, Column]) -> D
     return df.join(stats, list(group))
 
 
-def quantile_agg(value, p: float) -> Column:
-    """Exact interpolated quantile; buffers one counter per distinct value."""
-    return F.percentile(value, F.lit(p))
-
-
 def exact_quantiles(
     df: DataFrame, group: Sequence[str], value: str, points: Mapping[str, float]
 ) -> DataFrame:
@@ -46,10 +41,38 @@ def exact_quantiles(
         aggs.append(F.min(F.when(F.col("_upto") >= F.floor(at) + 1, F.col("_q"))).alias(f"_a{i}"))
         aggs.append(F.min(F.when(F.col("_upto") >= F.ceil(at) + 1, F.col("_q"))).alias(f"_b{i}"))
         w = at - F.floor(at)
-        outs.append((F.col(f"_a{i}") * (1.0 - w) + F.col(f"_b{i}") * w).alias(name))
+        outs.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * w).alias(name))
     return placed.groupBy(*group).agg(*aggs).select(*group, *outs)
 
 
+def group_quantiles(
+    df: DataFrame, group: Sequence[str], points: Mapping[str, tuple[str, float]]
+) -> DataFrame:
+    """One row per group with several ``output -> (column, probability)`` quantiles.
+
+    The columns are stacked first, so one ranking serves them all.
+    """
+    group = list(group)
+    cols = list(dict.fromkeys(c for c, _ in points.values()))
+    probs = sorted({p for _, p in points.values()})
+    stack = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols]))
+    long = df.select(*group, stack.alias("_s")).select(*group, "_s.*")
+    q = exact_quantiles(long, [*group, "_col"], "_v", {f"_p{i}": p for i, p in enumerate(probs)})
+    return q.groupBy(*group).agg(*[
+        F.max(F.when(F.col("_col") == c, F.col(f"_p{probs.index(p)}"))).alias(n)
+        for n, (c, p) in points.items()])
+
+
+def quantile_agg(value, p: float) -> Column:
+    """Interpolated quantile as an aggregate.
+
+    Buffers one counter per distinct value, so it is meant for values on a small
+    grid (ticks, counts, milliseconds); others go through :func:`group_quantiles`.
+    """
+    return F.percentile(value, F.lit(p))
+
+
 def winsorise(
     df: DataFrame, group: Sequence[str], columns: Mapping[str, str],
     lower: float = 0.01, upper: float = 0.99, count: str | None = None, minimum: int = 0,
@@ -58,21 +81,19 @@ def winsorise(
 
     ``count`` also keeps the group size and drops groups below ``minimum``.
     """
-    aggs = {}
-    for out, c in columns.items():
-        aggs[f"_lo_{out}"] = quantile_agg(c, lower)
-        aggs[f"_hi_{out}"] = quantile_agg(c, upper)
-    helpers = list(aggs)
+    group = list(group)
+    points = {f"_lo_{out}": (c, lower) for out, c in columns.items()}
+    points |= {f"_hi_{out}": (c, upper) for out, c in columns.items()}
+    cuts = group_quantiles(df, group, points)
+    base = df
     if count:
-        aggs[count] = F.count(F.lit(1))
-    stats = df.groupBy(*group).agg(*[a.alias(n) for n, a in aggs.items()])
-    if count and minimum:
-        stats = stats.filter(F.col(count) >= minimum)
+        sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias(count))
+        base = df.join(sizes.filter(F.col(count) >= minimum), group)
     clipped = {
         out: F.least(F.greatest(F.col(c), F.col(f"_lo_{out}")), F.col(f"_hi_{out}"))
         for out, c in columns.items()
     }
-    return df.join(stats, list(group)).withColumns(clipped).drop(*helpers)
+    return base.join(cuts, group, "left").withColumns(clipped).drop(*points)
 
 
 def zscore(df: DataFrame, group: Sequence[str], columns: Mapping[str, str]) -> DataFrame:

@@ -217,9 +217,9 @@ def flow_residuals(
     rows = rows.join(style, DAY).filter(F.col("window_return").isNotNull())
     dummies = [f"_board_{b}" for b in boards[1:]]
     rows = rows.withColumns({f"_board_{b}": (F.col("board") == b).cast("double") for b in boards[1:]})
-    rows = winsorise(rows, GROUP, {"alf_winsorized": "alf_raw"}, count="d04_cross_section_n", minimum=minimum)
+    rows = winsorise(stage(rows, "flow-long"), GROUP, {"alf_winsorized": "alf_raw"}, count="d04_cross_section_n", minimum=minimum)
     # Both residuals come from one pass over the moments.
-    rows = residualise(rows, GROUP, {
+    rows = residualise(stage(rows, "flow-clipped"), GROUP, {
         "d04_residual": ("alf_winsorized", ["window_return", *STYLES, *dummies]),
         "response": ("window_return", [*STYLES, *dummies]),
     }, r2=True, sd=True).withColumnRenamed("d04_residual_r2", "d04_regression_r2")
@@ -275,8 +275,8 @@ def intraday_residuals(primitives: DataFrame, controls: DataFrame, styles: list[
     today = controls.filter((F.col("security_category") == 1) & (F.col("is_st") == 0) & (F.col("is_suspended") == 0))
     rows = long_versions(primitives.filter("is_valid"), ["symbol", "date", "window_name"])
     rows = rows.join(today.select(*DAY), DAY, "left_semi").join(cal, "date").join(prior, ["symbol", "day_seq"])
-    rows = winsorise(rows, GROUP, {"alf_winsorized": "alf_raw"}, count="d04_cross_section_n", minimum=minimum)
-    rows = residualise(rows, GROUP, {"d04_residual": ("alf_winsorized", styles)}, r2=True, sd=True)
+    rows = winsorise(stage(rows, "flow-long"), GROUP, {"alf_winsorized": "alf_raw"}, count="d04_cross_section_n", minimum=minimum)
+    rows = residualise(stage(rows, "flow-clipped"), GROUP, {"d04_residual": ("alf_winsorized", styles)}, r2=True, sd=True)
     rows = stage(rows.withColumnRenamed("d04_residual_r2", "d04_regression_r2").drop("day_seq", *styles), "flow-intraday")
     sd = F.col("d04_residual_sd")
     rows = rows.withColumns({

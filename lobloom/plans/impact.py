@@ -9,6 +9,7 @@ from lobloom.functions import expr as X
 from lobloom.operators.crosssection import winsorise, zscore
 from lobloom.operators.history import lagged_z_and_rank
 from lobloom.operators.lifecycle import DAY, explode_windows, prebook
+from lobloom.session import stage
 from lobloom.sources.derived import sessions
 
 COLUMNS = [
@@ -107,8 +108,8 @@ def impact_factors(primitives: DataFrame, lookback: int = 60, minimum: int = 20)
     base = primitives.select("symbol", *group, "frequency", "normalizer_price", o, t)
     hist = lagged_z_and_rank(base, ["symbol", "window_name"], o, lookback, minimum, prefix="order_impact_history")
     clipped = winsorise(
-        hist, group, {"order_impact_winsorized": o, "trade_impact_winsorized": t}, count="cross_section_n")
-    z = zscore(clipped, group, {"order_impact_z": "order_impact_winsorized", "trade_impact_z": "trade_impact_winsorized"})
+        stage(hist, "impact-history"), group, {"order_impact_winsorized": o, "trade_impact_winsorized": t}, count="cross_section_n")
+    z = zscore(stage(clipped, "impact-clipped"), group, {"order_impact_z": "order_impact_winsorized", "trade_impact_z": "trade_impact_winsorized"})
     hz, hr = F.col("order_impact_history_z"), F.col("order_impact_history_rank")
     cols = {"d01_trade_reversal": -F.col("trade_impact_z"), "d02_trade_momentum": F.col("trade_impact_z")}
     for cut in (90, 95):

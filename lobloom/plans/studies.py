@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lobloom.functions import expr as X
 from lobloom.operators.crosssection import (
-    attach, equal_buckets, percentile_rank, percentile_ranks, position, residualise, winsorise,
+    attach, equal_buckets, group_quantiles, percentile_rank, percentile_ranks, position, residualise, winsorise,
 )
 from lobloom.operators.history import hysteresis
 from lobloom.operators.lifecycle import calendar
@@ -100,12 +100,11 @@ def fill_pressure_candidates(df: DataFrame, minimum: int = 15) -> DataFrame:
         "np03_confirmation": m1 * ep, "_m2": m1 * m1, "_m3": m1 * m1 * m1,
         "_b2": book * book, "_b3": book * book * book,
         "_am": F.abs(m1), "_ae": F.abs(ep), "_ab": F.abs(book)})
-    cuts = base.groupBy(*SLICE).agg(
-        F.count(F.lit(1)).alias("slice_n"),
-        *[F.percentile(v, F.lit(q)).alias(n) for v, q, n in (
-            ("_am", 1 / 3, "_mlo"), ("_am", 2 / 3, "_mhi"), ("_ae", 1 / 3, "_elo"), ("_ae", 2 / 3, "_ehi"),
-            ("_ab", 2 / 3, "_bhi"))]).filter(c("slice_n") >= minimum)
-    rows = base.join(cuts, SLICE)
+    base = stage(base, "fill-candidates")
+    sizes = base.groupBy(*SLICE).agg(F.count(F.lit(1)).alias("slice_n")).filter(c("slice_n") >= minimum)
+    cuts = group_quantiles(base, SLICE, {
+        "_mlo": ("_am", 1 / 3), "_mhi": ("_am", 2 / 3), "_elo": ("_ae", 1 / 3), "_ehi": ("_ae", 2 / 3), "_bhi": ("_ab", 2 / 3)})
+    rows = base.join(sizes, SLICE).join(cuts, SLICE)
     rows = residualise(rows, SLICE, {
         "np01_m1_linear": ("np01_execution_pressure", ["m1"]),
         "np01_m1_cubic": ("np01_execution_pressure", ["m1", "_m2", "_m3"]),
@@ -213,10 +212,9 @@ def market_states(df: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_resp": c("_dir") * c("past_return"), "_aligned": c("_dir") * c("book5")})
     cuts = {}
     for f in ("flow5", "book5", "flow_shift", "book_shift", "fillability"):
-        cuts |= {f"_{f}_lo": F.percentile(f, F.lit(1 / 3)), f"_{f}_hi": F.percentile(f, F.lit(2 / 3))}
-    cuts |= {"_resp_lo": F.percentile("_resp", F.lit(1 / 3)), "_ratio_mid": F.percentile("_ratio", F.lit(0.5)),
-             "_abs_hi": F.percentile("_abs", F.lit(2 / 3))}
-    rows = attach(rows, SLICE, cuts)
+        cuts |= {f"_{f}_lo": (f, 1 / 3), f"_{f}_hi": (f, 2 / 3)}
+    cuts |= {"_resp_lo": ("_resp", 1 / 3), "_ratio_mid": ("_ratio", 0.5), "_abs_hi": ("_abs", 2 / 3)}
+    rows = rows.join(group_quantiles(rows, SLICE, cuts), SLICE)
     fb, bb = _tercile("flow5", "_flow5_lo", "_flow5_hi"), _tercile("book5", "_book5_lo", "_book5_hi")
     quadrant = F.when((fb != "mid") & (bb != "mid"), F.concat(
         F.lit("active_"), F.when(fb == "low", "sell").otherwise("buy"),
@@ -258,7 +256,7 @@ def control_ladder(df: DataFrame, factor: str, specs: Mapping[str, Sequence[str]
     cols = list(dict.fromkeys(c for cs in specs.values() for c in cs))
     w = winsorise(df, group, {"factor_w": factor} | {f"_w_{c}": c for c in cols})
     models = {name: ("factor_w", [f"_w_{c}" for c in cs]) for name, cs in specs.items()}
-    r = residualise(w, group, models, r2=True, rank=True)
+    r = residualise(stage(w, "controls-w"), group, models, r2=True, rank=True)
     return r.drop(*[f"_w_{c}" for c in cols])
 
 
