@@ -142,36 +142,38 @@ def position(
 ) -> DataFrame:
     """1-based position (running weight) of each row in its group's order.
 
-    ``order`` must identify a row.  One aggregate per group gives its size and a
-    hashed sample of its keys (one in ``one_in``); every eighth sampled key, at
-    most ``MAX_RANGES`` of them, cuts the group into ranges ranked on their own.
+    ``order`` must identify a row.  A hashed sample of the keys (one in
+    ``one_in``) gives the bounds: every eighth sampled key, at most
+    ``MAX_RANGES`` of them, cuts a group into ranges ranked on their own.
     Positions are exact whatever the sample, because each range adds the size of
-    those before it.  An ordinary group has an empty sample and stays whole.
+    those before it.  An ordinary group has no bound and stays whole.
     """
     group = list(group)
     w_ = F.col(weight) if weight else F.lit(1).cast("long")
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     keyed = df.withColumn("_key", key)
-    picked = F.when(F.pmod(F.xxhash64("_key"), F.lit(one_in)) == 0, F.col("_key"))
-    sizes = keyed.groupBy(*group).agg(
-        F.sum(w_).alias("_w"), F.sort_array(F.collect_list(picked)).alias("_keys")
+    # Sampled rows only reach the list, so the aggregate stays small.
+    sample = (
+        keyed.filter(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0)
+        .groupBy(*group).agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
     )
     step = F.greatest(F.lit(8), F.ceil(F.size("_keys") / F.lit(MAX_RANGES)))
-    sizes = sizes.select(
-        *group, "_w", F.filter("_keys", lambda _k, i: i % step == step - 1).alias("_bounds")
-    )
-    ranged = keyed.join(sizes, group).withColumn(
-        "_range", F.size(F.filter("_bounds", lambda b: b < F.col("_key")))
-    ).drop("_bounds")
+    bounds = sample.select(
+        *group, F.filter("_keys", lambda _k, i: i % step == step - 1).alias("_bounds"))
+    at = F.when(
+        F.col("_bounds").isNotNull(), F.size(F.filter("_bounds", lambda b: b < F.col("_key")))
+    ).otherwise(0)
+    ranged = keyed.join(bounds, group, "left").withColumn("_range", at).drop("_bounds")
+    whole = Window.partitionBy(*group)
     before = (
         ranged.groupBy(*group, "_range").agg(F.sum(w_).alias("_rw"))
-        .select(*group, "_range", F.coalesce(
-            F.sum("_rw").over(
-                Window.partitionBy(*group).orderBy("_range")
-                .rowsBetween(Window.unboundedPreceding, -1)
+        .select(
+            *group, "_range", F.sum("_rw").over(whole).alias("_w"),
+            F.coalesce(F.sum("_rw").over(
+                whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
             ), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy(*group, "_range").orderBy("_key").rowsBetween(
+    inside = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0
     )
     res = (
