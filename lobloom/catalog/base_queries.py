@@ -291,7 +291,6 @@ def t03(spark, sf):
 @query("t04_first_rows", sql(V, "SELECT symbol, date, row_id FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY row_id) AS k FROM sess) WHERE k<=3"))
 def t04(spark, sf):
     e = sessions(lob(spark, sf)).select(*DAY, "row_id")
-    # A bounded heap per task first, so a long day sends few rows on.
     return C.position(e, DAY, [F.col("row_id")], out="k").filter(F.col("k") <= 3).drop("k")
 
 
