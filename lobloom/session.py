@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: dict[tuple[str, str], str] = {}
+_OWN: dict[str, str] = {}
 
 
 def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -24,17 +25,27 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64kb")
         .config("spark.sql.codegen.cache.maxEntries", "1000")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-lobloom-", dir="/tmp"))
         .getOrCreate()
     )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); own only if unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    A single-process session without one gets a temporary folder; on a cluster
+    that would be a different disk on each machine, so it is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-lobloom-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-lobloom-", dir="/tmp")
+    return _OWN[app]
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
