@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, urlfilter
+from . import decontaminate, licenses, packing, sharding, simhash, urlfilter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +106,27 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     pages = read(spark, sf, "pages").select("page_id", "url")
     d = urlfilter.judge(pages, urlfilter.rules_table(spark, URL_RULES))
     return d.select("page_id", "url_filter.*")
+
+
+@query("op6_simhash")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of 3-word shingles; components over at most 2 differing bits."""
+    docs = read(spark, sf, "documents")
+    d = simhash.near_duplicates(docs, k=2, words=3, seed=42)
+    return d.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op4_sharding")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Sixteen shards of near-equal bytes; equal texts stay together."""
+    d = sharding.shard(read(spark, sf, "documents"), shards=16)
+    return d.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op1_packing")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of all documents in as few sequences of 2048 tokens as the search finds."""
+    return packing.pack_documents(
+        read(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
