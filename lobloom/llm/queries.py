@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, packing, sharding, simhash, urlfilter
+from . import decontaminate, licenses, packing, sharding, simhash, toxicity, urlfilter
+from .ship import ensure_importable
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -14,7 +15,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def keep(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ensure_importable(spark)
+            return fn(spark, sf)
+
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
@@ -130,3 +136,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of all documents in as few sequences of 2048 tokens as the search finds."""
     return packing.pack_documents(
         read(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected severity of every document, trained on a bounded sample of labels."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "toxicity.*")
