@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, packing, sharding, simhash, toxicity, urlfilter
+from . import decontaminate, licenses, linededup, packing, sharding, simhash, toxicity, urlfilter
 from .ship import ensure_importable
 
 QUERIES: dict = {}
@@ -144,3 +144,10 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf, "labels"))
     return toxicity.score(docs, model).select("doc_id", "toxicity.*")
+
+
+@query("op5_line_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents after fuzzy line de-duplication: what stays, and how much was cut."""
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "text", "line_dedup.*")
