@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, linededup, packing, sharding, simhash, toxicity, urlfilter
+from . import decontaminate, licenses, linededup, packing, sharding, simhash, suffixdedup, toxicity, urlfilter
 from .ship import ensure_importable
 
 QUERIES: dict = {}
@@ -151,3 +151,10 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     """Documents after fuzzy line de-duplication: what stays, and how much was cut."""
     docs = read(spark, sf, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "text", "line_dedup.*")
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """What stays of each document without 50-byte strings of earlier documents."""
+    d = suffixdedup.dedup_substrings(read(spark, sf, "documents"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
