@@ -125,8 +125,7 @@ def intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     first = symbols[order]
     interval = np.zeros(n, np.int64)
     rows = np.flatnonzero(order + 1 < n)
-    alive = np.zeros(n, bool)
-    alive[rows] = True
+    alive = np.ones(n, bool)
     for _ in range(length):
         # A suffix can only stay if its shorter one is still together with another.
         rows = rows[alive[shorter[rows]]]
