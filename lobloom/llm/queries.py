@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, linededup, packing, sharding, simhash, suffixdedup, toxicity, urlfilter
+from . import decontaminate, embeddings, licenses, linededup, packing, sharding, simhash, suffixdedup, toxicity, urlfilter
 from .ship import ensure_importable
 
 QUERIES: dict = {}
@@ -158,3 +158,25 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     """What stays of each document without 50-byte strings of earlier documents."""
     d = suffixdedup.dedup_substrings(read(spark, sf, "documents"))
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP10 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND n > 0 AND isfinite(n)),
+pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach(x, y) AS (SELECT x, y FROM pairs UNION SELECT reach.x, pairs.y FROM reach JOIN pairs ON pairs.x = reach.y),
+least AS (SELECT x, min(y) AS m FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS k FROM pairs GROUP BY x)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN least ON least.x = vec_id
+"""
+
+
+@query("op10_embedding_dedup", _OP10)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9 or more."""
+    return embeddings.near_duplicates(read(spark, sf, "embeddings"))
