@@ -188,6 +188,8 @@ def shared_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
     found = docs.where("doc_id is not null and text is not null").mapInArrow(
         cut, "anchor long, content long, doc_id long, start long, windows long")
     # A document has an anchor about once, so an anchor has no more rows than documents.
+    # Dealt by anchor once, for the windows of both kinds.
+    found = found.repartition("anchor")
     by_anchor, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
     found = found.withColumn("holder", F.min("doc_id").over(by_content))
     found = found.withColumns({
