@@ -8,12 +8,12 @@ longer length, in bytes) is at least ``SIMILARITY``. Of each connected group the
 first occurrence stays, by (doc_id, line number); all others are cut.
 
 A fingerprint is five blocks; with at most three differing bits two blocks are
-equal, so classes meet under one of ten keys of two blocks. Keys are counted first:
-a key with one fingerprint ends there, one with two is checked on the counted row
-itself, and only the members of fuller keys are dealt again. A key with more than
-``LIST`` fingerprints is cut further: of eight parts of its other bits five are
-equal, which leaves at most 2^15 fingerprints to a key. Each key's members are
-compared in one task and give the links of a spanning forest, never all pairs.
+equal, so classes meet under one of ten keys of two blocks. Keys are counted first;
+one with a single fingerprint ends there, one with more than ``LIST`` is cut further:
+of eight parts of its other bits five are equal, which leaves at most 2^15
+fingerprints to a key. Within a key only fingerprints that have another one within
+``K`` bits go on. These are verified in one task for each key and give the links of
+a spanning forest, never all pairs.
 
 Copies of a line, however many, are one row from the first aggregation on. The
 texts of candidates are read from the documents of their first occurrence; that
@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,31 +115,58 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").mapInArrow(scan, "doc_id long, line int, id binary, sim long")
 
 
+def _partners(sims: np.ndarray, k: int) -> np.ndarray:
+    """Which fingerprints of a list have another one within k bits."""
+    has = np.zeros(len(sims), bool)
+    for lo in range(0, len(sims), 256):
+        near = np.bitwise_count(sims[lo : lo + 256, None] ^ sims[None, :]) <= k
+        has[lo : lo + 256] = near.sum(axis=1) > 1  # one is itself
+    return has
+
+
 def _candidates(classes: DataFrame, k: int) -> DataFrame:
-    """(key, sim): fingerprints to be compared, by the keys they share."""
+    """(key, sim): fingerprints with another one within k bits, by the keys they share."""
     sims = classes.groupBy("sim").agg(F.count(F.lit(1)).alias("n"))
     masks = [_bits(*a) | _bits(*b) for a, b in combinations(BLOCKS, len(BLOCKS) - k)]
-    key = lambda sim: F.array(*[
-        F.struct(F.lit(i).alias("choice"), F.lit(0).alias("part"), sim.bitwiseAND(F.lit(_signed(m))).alias("shared")) for i, m in enumerate(masks)])
-    postings = sims.select("sim", F.explode(key(F.col("sim"))).alias("key"))
-    full = stage(
-        postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("a"), F.max("sim").alias("b"))
-        .where((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= k))), "keys")
-    two = full.where("n = 2").select("key", F.explode(F.array("a", "b")).alias("sim"))
-    more = postings.join(full.where("n > 2").select("key", "n"), "key")
+    keys = F.array(*[F.struct(
+        F.lit(i).alias("choice"), F.lit(0).alias("part"), F.col("sim").bitwiseAND(F.lit(_signed(m))).alias("shared")) for i, m in enumerate(masks)])
+    postings = sims.select("sim", F.explode(keys).alias("key"))
+    met = postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     # A key with very many fingerprints is cut by parts of its other bits.
-    finer = []
+    finer: dict[int, list[tuple[int, int]]] = {}
     for i, m in enumerate(masks):
-        free = [b for b in range(64) if not m >> b & 1]
-        cuts = np.array_split(np.array(free), 8)
-        for p, kept in enumerate(combinations(cuts, 8 - k)):
-            finer.append((i, p + 1, _signed(m | sum(1 << int(b) for b in np.concatenate(kept)))))
-    by_choice = F.create_map(*[x for i in range(len(masks)) for x in (
-        F.lit(i), F.array(*[F.struct(F.lit(p).alias("part"), F.lit(m).alias("mask")) for j, p, m in finer if j == i]))])
-    large = more.where(F.col("n") > LIST).select("sim", "key", F.explode(F.element_at(by_choice, F.col("key.choice"))).alias("f"))
-    large = large.select(F.struct(F.col("key.choice").alias("choice"), F.col("f.part").alias("part"), F.col("sim").bitwiseAND(F.col("f.mask")).alias("shared")).alias("key"), "sim")
-    same = sims.where("n > 1").select(F.struct(F.lit(-1).alias("choice"), F.lit(0).alias("part"), F.col("sim").alias("shared")).alias("key"), "sim")
-    return two.unionByName(more.where(F.col("n") <= LIST).select("key", "sim")).unionByName(large).unionByName(same)
+        cuts = np.array_split(np.array([b for b in range(64) if not m >> b & 1]), 8)
+        finer[i] = [(p + 1, _signed(m | sum(1 << int(b) for b in np.concatenate(kept)))) for p, kept in enumerate(combinations(cuts, 8 - k))]
+    parts = F.create_map(*[x for i, cut in finer.items() for x in (
+        F.lit(i), F.array(*[F.struct(F.lit(p).alias("part"), F.lit(m).alias("mask")) for p, m in cut]))])
+    cut_keys = F.transform(F.element_at(parts, F.col("key.choice")), lambda f: F.struct(
+        F.col("key.choice").alias("choice"), f["part"].alias("part"), F.col("sim").bitwiseAND(f["mask"]).alias("shared")))
+    dealt = met.select("sim", F.explode(F.when(F.col("n") > LIST, cut_keys).otherwise(F.array("key"))).alias("key"))
+    lists = dealt.groupBy("key").agg(F.collect_list("sim").alias("sims")).where(F.size("sims") > 1)
+
+    def filter_lists(batches):
+        for b in batches:
+            column = b.column(1)
+            values = np.asarray(column.flatten()).view(np.uint64)
+            offsets = np.asarray(column.offsets) - column.offsets[0].as_py()
+            row, kept = [], []
+            for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                own = values[lo:hi]
+                if hi - lo == 2:
+                    found = own if int(own[0] ^ own[1]).bit_count() <= k else own[:0]
+                else:
+                    found = own[_partners(own, k)]
+                if len(found):
+                    row += [i] * len(found)
+                    kept.append(found)
+            sim = np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(sim)], names=["key", "sim"])
+
+    key_type = "struct<choice: int, part: int, shared: bigint>"
+    near = lists.mapInArrow(filter_lists, f"key {key_type}, sim bigint")
+    same = sims.where("n > 1").select(
+        F.struct(F.lit(-1).alias("choice"), F.lit(0).alias("part"), F.col("sim").alias("shared")).alias("key"), "sim")
+    return near.union(same)
 
 
 def edit_distance(a: bytes, b: bytes, most: int) -> int:
