@@ -72,7 +72,7 @@ def test_long_texts_in_segments(monkeypatch):
     whole = sd.stretches([text])
     monkeypatch.setattr(sd, "SEGMENT", 700)
     parts = sd.stretches([text])
-    cover = lambda x: sorted((s + k, a) for s, n, a in zip(x[1].tolist(), x[2].tolist(), x[3].tolist()) for k in range(n))
+    cover = lambda x: sorted((s + k, a) for s, n, a in zip(x[1].tolist(), x[2].tolist(), x[4].tolist()) for k in range(n))
     assert cover(whole) == cover(parts) and len(cover(whole)) == len(text) - 49
 
 
