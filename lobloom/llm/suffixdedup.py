@@ -374,7 +374,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row; ``kept`` is what stays, as bytes."""
-    pairs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if (doc_id, text) != ("doc_id", "text") or dict(docs.dtypes)[doc_id] != "bigint":
+        docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    pairs = docs.select("doc_id", "text")
     # The same rows as in the joins of removed_spans, so that their shuffle serves twice.
     known = pairs.where("doc_id is not null")
     spans = removed_spans(known, length, gram, group)
