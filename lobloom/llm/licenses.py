@@ -196,13 +196,17 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] | None = None
                 for end, (length, meanings) in machine.iter(spaced):
                     word = int(np.searchsorted(begin, end - length + 2))
                     k = int(w.doc_of(np.int64(word)))
-                    own = seen.setdefault(k, {"base": [], "base_labels": set(), "labels": set(), "expressions": [], "score": 1.0})
+                    own = seen.setdefault(k, {"base": [], "base_labels": set(), "labels": set(), "expressions": [], "places": set(), "score": 1.0})
                     for kind, label, n in meanings:
                         if kind == "base":
                             own["base"].append(word - int(w.first[k]))
                             own["base_labels"].add(label)
                         if kind == "tag":
-                            tokens = expression_tokens(texts[k], int(w.ends[word + n - 1] - w.doc_at[k]))
+                            place = int(w.ends[word + n - 1] - w.doc_at[k])
+                            if place in own["places"]:  # a tag that ends in another tag
+                                continue
+                            own["places"].add(place)
+                            tokens = expression_tokens(texts[k], place)
                             names, score = evaluate(tokens)
                             if tokens:
                                 own["expressions"].append(" ".join(tokens))
