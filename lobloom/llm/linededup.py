@@ -115,19 +115,36 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").mapInArrow(scan, "doc_id long, line int, id binary, sim long")
 
 
-def _partners(sims: np.ndarray, k: int) -> np.ndarray:
+def _masks(k: int) -> list[int]:
+    return [_bits(*a) | _bits(*b) for a, b in combinations(BLOCKS, len(BLOCKS) - k)]
+
+
+def _close(differ: np.ndarray, k: int, choice: int) -> np.ndarray:
+    """Pairs (by their differing bits) that are this key's to look at.
+
+    A pair may share several keys; the first choice of blocks takes it. Choice -1
+    stands for equal fingerprints of different lines.
+    """
+    if choice < 0:
+        return differ == 0
+    near = (np.bitwise_count(differ) <= k) & (differ != 0)
+    for m in _masks(k)[:choice]:
+        near &= differ & np.uint64(m) != 0
+    return near
+
+
+def _partners(sims: np.ndarray, k: int, choice: int) -> np.ndarray:
     """Which fingerprints of a list have another one within k bits."""
     has = np.zeros(len(sims), bool)
     for lo in range(0, len(sims), 256):
-        near = np.bitwise_count(sims[lo : lo + 256, None] ^ sims[None, :]) <= k
-        has[lo : lo + 256] = near.sum(axis=1) > 1  # one is itself
+        has[lo : lo + 256] = _close(sims[lo : lo + 256, None] ^ sims[None, :], k, choice).any(axis=1)
     return has
 
 
 def _candidates(classes: DataFrame, k: int) -> DataFrame:
     """(key, sim): fingerprints with another one within k bits, by the keys they share."""
     sims = classes.groupBy("sim").agg(F.count(F.lit(1)).alias("n"))
-    masks = [_bits(*a) | _bits(*b) for a, b in combinations(BLOCKS, len(BLOCKS) - k)]
+    masks = _masks(k)
     keys = F.array(*[F.struct(
         F.lit(i).alias("choice"), F.lit(0).alias("part"), F.col("sim").bitwiseAND(F.lit(_signed(m))).alias("shared")) for i, m in enumerate(masks)])
     postings = sims.select("sim", F.explode(keys).alias("key"))
@@ -147,15 +164,15 @@ def _candidates(classes: DataFrame, k: int) -> DataFrame:
     def filter_lists(batches):
         for b in batches:
             column = b.column(1)
+            choices = np.asarray(b.column(0).field("choice")).tolist()
             values = np.asarray(column.flatten()).view(np.uint64)
             offsets = np.asarray(column.offsets) - column.offsets[0].as_py()
             row, kept = [], []
             for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 own = values[lo:hi]
-                if hi - lo == 2:
-                    found = own if int(own[0] ^ own[1]).bit_count() <= k else own[:0]
-                else:
-                    found = own[_partners(own, k)]
+                if hi - lo == 2 and int(own[0] ^ own[1]).bit_count() > k:
+                    continue
+                found = own[_partners(own, k, choices[i])]
                 if len(found):
                     row += [i] * len(found)
                     kept.append(found)
@@ -205,9 +222,23 @@ def similar(a: bytes, b: bytes, least: float) -> bool:
     return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
 
 
-def _forest(ids: list[bytes], sims: np.ndarray, texts: list[bytes], k: int, least: float) -> list[tuple[bytes, bytes]]:
+PROFILE = 256
+
+
+def _profiles(texts: list[bytes]) -> np.ndarray:
+    """Counts of hashed byte pairs of each text; an edit changes at most four of them by one."""
+    out = np.zeros((len(texts), PROFILE), np.int32)
+    for i, t in enumerate(texts):
+        v = np.frombuffer(t, np.uint8).astype(np.int64)
+        out[i] = np.bincount((v[:-1] * 31 + v[1:] * 7) % PROFILE, minlength=PROFILE)
+    return out
+
+
+def _forest(ids: list[bytes], sims: np.ndarray, texts: list[bytes], k: int, least: float, choice: int) -> list[tuple[bytes, bytes]]:
     """Links of a spanning forest over pairs that are close in bits and in edits."""
     links, left = [], np.ones(len(ids), bool)
+    profile = _profiles(texts)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
     for start in range(len(ids)):
         if not left[start]:
             continue
@@ -216,7 +247,13 @@ def _forest(ids: list[bytes], sims: np.ndarray, texts: list[bytes], k: int, leas
         while reached and left.any():
             i = reached.pop()
             rest = np.flatnonzero(left)
-            for j in rest[np.bitwise_count(sims[rest] ^ sims[i]) <= k].tolist():
+            rest = rest[_close(sims[rest] ^ sims[i], k, choice)]
+            if len(rest) == 0:
+                continue
+            # Pairs whose byte pairs differ too much for the edits allowed are not worth a distance.
+            allowed = 4 * ((1 - least) * np.maximum(size[rest], size[i]) + 1e-9)
+            rest = rest[np.abs(profile[rest] - profile[i]).sum(axis=1) <= allowed]
+            for j in rest.tolist():
                 if similar(texts[i], texts[j], least):
                     left[j] = False
                     reached.append(j)
@@ -261,13 +298,13 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, simil
     def verify(batches):
         for b in batches:
             links = []
-            for m in b.column(0):
+            for choice, m in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = m.as_py()
                 sims = np.array([r["sim"] for r in rows], np.int64).view(np.uint64)
-                links += _forest([r["id"] for r in rows], sims, [r["body"] for r in rows], k, similarity)
+                links += _forest([r["id"] for r in rows], sims, [r["body"] for r in rows], k, similarity, choice)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.binary()), pa.array([a for _, a in links], pa.binary())], names=["a", "b"])
 
-    joined = components(groups.select("m").mapInArrow(verify, "a binary, b binary").distinct())
+    joined = components(groups.select("key.choice", "m").mapInArrow(verify, "a binary, b binary").distinct())
     # Classes with more than one line, by themselves or with others, and the line that each group keeps.
     owned = classes.join(joined, F.col("id") == F.col("node"), "left").where("component is not null or first <> last")
     owned = stage(owned.select("id", F.coalesce("component", "id").alias("component"), "first"), "owned")
@@ -282,7 +319,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, similar
     """``docs`` with repeated lines cut, and ``line_dedup`` (n_lines, n_removed)."""
     pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     removed = stage(removed_lines(pairs, min_words, k, similarity), "removed").withColumnsRenamed({"doc_id": "__doc", "removed": "__removed"})
-    joined = docs.join(removed, F.col(doc_id) == F.col("__doc"), "left").drop("__doc")
+    # A merge join at every size: the removed lines grow with the corpus.
+    joined = docs.join(removed.hint("merge"), F.col(doc_id) == F.col("__doc"), "left").drop("__doc")
     result = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("line_dedup", result)])
     at, last = docs.columns.index(text), len(docs.columns)
