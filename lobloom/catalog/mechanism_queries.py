@@ -39,7 +39,7 @@ MP = f"""pv AS (SELECT symbol, date, session, ms, row_id, lm AS mid, bucket, seq
 pt AS (SELECT symbol, date, session, ms, arg_max(mid,row_id) AS mid FROM pv GROUP BY 1,2,3,4),
 pb AS (SELECT *, ms-{WINDOW * 1000} AS bk FROM pv),
 pr AS (SELECT b.*, ln(b.mid/t.mid) AS ret FROM pb b ASOF LEFT JOIN pt t ON t.symbol=b.symbol AND t.date=b.date AND t.session=b.session AND b.bk>=t.ms),
-psg AS (SELECT symbol, bucket, stddev_pop(ret) AS sg FROM pr WHERE date<{WARM} AND (seq-1)%10=0 AND ret IS NOT NULL GROUP BY 1,2),
+psg AS (SELECT symbol, bucket, CASE WHEN count(*)>={MINIMUM} THEN stddev_pop(ret) END AS sg FROM pr WHERE date<{WARM} AND (seq-1)%10=0 AND ret IS NOT NULL GROUP BY 1,2),
 pdy AS (SELECT symbol, date, arg_min(lm,row_id) AS om, lag(arg_max(lm,row_id)) OVER (PARTITION BY symbol ORDER BY date) AS pc FROM mi WHERE lm IS NOT NULL GROUP BY 1,2),
 pst AS (SELECT pr.symbol, pr.date, session, row_id, CASE WHEN ret IS NULL OR sg IS NULL OR sg<=0 OR pc IS NULL THEN 'unknown' WHEN ret>1.5*sg AND mid>om AND mid>pc THEN 'up' WHEN ret<-1.5*sg AND mid<om AND mid<pc THEN 'down' ELSE 'normal' END AS price_state
   FROM pr LEFT JOIN psg USING (symbol, bucket) LEFT JOIN pdy ON pdy.symbol=pr.symbol AND pdy.date=pr.date WHERE pr.date>={WARM})"""
@@ -65,7 +65,7 @@ def f21(spark, sf):
 @query("f22_w17_price_states", sql(V, MB, MI, MP, "SELECT * FROM pst"))
 def f22(spark, sf):
     r = M.intensities(stage(M.base_rows(lob(spark, sf))), [], [], KEEP)
-    return M.price_states(r, WARM, WINDOW)
+    return M.price_states(r, WARM, WINDOW, minimum=MINIMUM)
 
 
 _MK = "symbol, date, mechanism, variant, group_key"
@@ -174,14 +174,24 @@ def f26(spark, sf):
     return rounded(M.trigger_responses(lob(spark, sf), _LH, _TH2), 4)
 
 
+def _around(clock: str, h: int) -> str:
+    """Cumulative volumes h positions before a chain, just before it, at its end and h after."""
+    at, rows = ("seq", "") if clock == "lob" else ("tno", " WHERE trd")
+    w = f"OVER (PARTITION BY symbol, date, session ORDER BY {at})"
+    far = lambda v: f"CASE WHEN {at}>{h + 1} THEN lag({v}, {h + 1}) {w} WHEN {at}={h + 1} THEN 0 END"
+    one = lambda v: f"coalesce(lag({v}) {w}, 0)"
+    return (f"SELECT symbol, date, session, grp, side, seq, len, trd, '{clock}{h}_chain_' AS n, "
+            f"{{b: {far('vb')}, s: {far('vs')}}} AS far, {{b: {one('vb')}, s: {one('vs')}}} AS near, {{b: vb, s: vs}} AS own, "
+            f"{{b: lead(vb, {h}) {w}, s: lead(vs, {h}) {w}}} AS late FROM ql{rows}")
+
+
+# Positions are dense on either clock, so look-ups are lags and leads.
 MPP = MQ.split(",\nqch AS")[0] + f""",
-pch AS (SELECT symbol, date, session, grp, any_value(source_side) AS side, CASE WHEN count(*)=1 THEN 'single' ELSE 'multi' END AS kind, min(seq) AS s0, max(seq) AS s1, min(tno) AS n0, max(tno) AS n1 FROM qs WHERE trd GROUP BY 1,2,3,4),
-pcx AS (SELECT c.* FROM pch c JOIN qs e ON e.symbol=c.symbol AND e.date=c.date AND e.session=c.session AND e.seq=c.s1+1),
-pix AS ({' UNION ALL '.join([f"SELECT *, 'lob' AS clock, {h} AS h, s0-1-{h} AS ia, s0-1 AS ib, s1 AS ic, s1+{h} AS id FROM pcx" for h in _LH] + [f"SELECT *, 'trade', {h}, n0-1-{h}, n0-1, n1, n1+{h} FROM pcx" for h in _TH2])}),
-ptb AS (SELECT symbol, date, session, 'lob' AS clock, seq AS i, s.vol_B AS vb, s.vol_S AS vs FROM qs UNION ALL SELECT symbol, date, session, 'trade', tno, s.vol_B, s.vol_S FROM qs WHERE trd
-  UNION ALL SELECT DISTINCT symbol, date, session, unnest(['lob','trade']), 0, 0, 0 FROM qs),
-pvv AS (SELECT x.symbol, x.date, side, kind, x.clock || x.h || '_chain_' AS n, CASE WHEN side='B' THEN 1 ELSE -1 END*((b.vb-a.vb)-(b.vs-a.vs)) AS ps, CASE WHEN side='B' THEN 1 ELSE -1 END*((d.vb-c.vb)-(d.vs-c.vs)) AS qs_, (b.vb-a.vb)+(b.vs-a.vs) AS pt, (d.vb-c.vb)+(d.vs-c.vs) AS qt, unnest(['all',kind]) AS kd
-  FROM pix x {' '.join(f"JOIN ptb {t} ON {t}.symbol=x.symbol AND {t}.date=x.date AND {t}.session=x.session AND {t}.clock=x.clock AND {t}.i=x.i{t}" for t in 'abcd')})"""
+ql AS MATERIALIZED (SELECT symbol, date, session, grp, source_side AS side, seq, tno, trd, s.vol_B AS vb, s.vol_S AS vs, max(seq) OVER (PARTITION BY symbol, date, session) AS len FROM qs),
+pal AS ({' UNION ALL '.join([_around('lob', h) for h in _LH] + [_around('trade', h) for h in _TH2])}),
+pch AS (SELECT symbol, date, n, any_value(side) AS side, CASE WHEN count(*)=1 THEN 'single' ELSE 'multi' END AS kind, arg_min(far, seq) AS a, arg_min(near, seq) AS b, arg_max(own, seq) AS c, arg_max(late, seq) AS d FROM pal WHERE trd GROUP BY symbol, date, session, grp, n HAVING max(seq)<any_value(len)),
+pvv AS (SELECT symbol, date, side, kind, n, CASE WHEN side='B' THEN 1 ELSE -1 END*((b.b-a.b)-(b.s-a.s)) AS ps, CASE WHEN side='B' THEN 1 ELSE -1 END*((d.b-c.b)-(d.s-c.s)) AS qs_, (b.b-a.b)+(b.s-a.s) AS pt, (d.b-c.b)+(d.s-c.s) AS qt, unnest(['all',kind]) AS kd
+  FROM pch WHERE a.b IS NOT NULL AND d.b IS NOT NULL)"""
 _PPR = " UNION ALL ".join(f"SELECT symbol, date, 'M1PP' AS mechanism, n || '{m}' AS variant, {_CG} AS group_key, ({e})::DOUBLE AS v FROM pvv{w}" for m, e, w in (
     ("pre_signed_volume", "ps", ""), ("post_signed_volume", "qs_", ""), ("post_minus_pre_signed_volume", "qs_-ps", ""), ("pre_total_volume", "pt", ""), ("post_total_volume", "qt", ""), ("post_minus_pre_total_volume", "qt-pt", ""),
     ("pre_signed_share", "ps/pt::DOUBLE", " WHERE pt>0 AND qt>0"), ("post_signed_share", "qs_/qt::DOUBLE", " WHERE pt>0 AND qt>0"), ("post_minus_pre_signed_share", "qs_/qt::DOUBLE-ps/pt::DOUBLE", " WHERE pt>0 AND qt>0")))

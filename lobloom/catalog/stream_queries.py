@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +16,25 @@ from lobloom.sources.derived import lob
 from lobloom.streaming import flows
 
 V = lob_views()
+END = "end of input"
 
 
 def replay(spark: SparkSession, sf: str, files: int = 3) -> DataFrame:
-    """The event table as a file stream in event order, one file per trigger."""
+    """The event table as a file stream in event order, one file per trigger.
+
+    A last file holds one row of a day after all others, of no stock: it moves the
+    watermark past every session, so that what is still open is closed.
+    """
     e = lob(spark, sf)
     root = f"{shared_folder(spark)}/lobloom/replay-{uuid.uuid4().hex}"
-    top = e.agg(F.max("row_id")).first()[0]
+    top, last = e.agg(F.max("row_id"), F.max("date")).first()
     part = F.least(F.lit(files - 1), F.floor(F.col("row_id") * files / (top + 1))).cast("int")
     for i in range(files):
         e.filter(part == i).coalesce(1).write.mode("append").parquet(root)
+    after = int((datetime.strptime(str(last), "%Y%m%d") + timedelta(days=2)).strftime("%Y%m%d"))
+    end = {"symbol": F.lit(END), "date": F.lit(after), "time": F.lit(100_000_000), "row_id": F.lit(top + 1), "source_action": F.lit("ORDER_ADD")}
+    spark.range(1).select(*[
+        end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in e.schema]).write.mode("append").parquet(root)
     return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(root)
 
 
@@ -51,17 +61,16 @@ def r02(spark, sf):
 @query("r03_r05_r07_stream_chains", sql(V, """x AS (SELECT *, coalesce(source_action='TRADE' AND source_volume>0 AND oid IS NOT NULL, false) AS t FROM sess)""",
     "y AS (SELECT *, coalesce(lag(t) OVER w AND t AND lag(source_side) OVER w=source_side AND lag(oid) OVER w=oid, false) AS c FROM x WINDOW w AS (PARTITION BY symbol, date, session ORDER BY row_id))",
     "z AS (SELECT *, sum((t AND NOT c)::INTEGER) OVER (PARTITION BY symbol, date, session ORDER BY row_id) AS g FROM y)",
-    "SELECT symbol, date, session, any_value(source_side) AS side, any_value(oid) AS order_id, sum(source_volume)::BIGINT AS volume, count(*) AS children, min(row_id) AS first_row, max(row_id) AS last_row FROM z WHERE t AND date<20240129 GROUP BY symbol, date, session, g"))
+    "SELECT symbol, date, session, any_value(source_side) AS side, any_value(oid) AS order_id, sum(source_volume)::BIGINT AS volume, count(*) AS children, min(row_id) AS first_row, max(row_id) AS last_row, CASE WHEN max(row_id)=any_value(top) THEN 'censored' ELSE 'closed' END AS status FROM (SELECT *, max(row_id) OVER (PARTITION BY symbol, date, session) AS top FROM z) WHERE t GROUP BY symbol, date, session, g"))
 def r05(spark, sf):
-    # The last days stay open until the watermark passes them, so they are left out.
     s = flows.trade_chains(flows.with_event_time(replay(spark, sf)))
-    return flows.run_once(spark, s).filter((F.col("date") < 20240129) & (F.col("status") != "order_break")).select(
-        "symbol", "date", "session", "side", "order_id", "volume", "children", "first_row", "last_row")
+    return flows.run_once(spark, s).select(
+        "symbol", "date", "session", "side", "order_id", "volume", "children", "first_row", "last_row", "status")
 
 
 @query("r04_stream_signal", sql(V, """s AS (SELECT symbol, date, coalesce(sum(source_volume) FILTER (t AND source_side='B' AND ms>=36000000 AND ms<37800000),0)::BIGINT AS buy_30m, coalesce(sum(source_volume) FILTER (t AND source_side='S' AND ms>=36000000 AND ms<37800000),0)::BIGINT AS sell_30m,
     arg_max(mid,row_id) FILTER (mid IS NOT NULL AND ms<37800000) AS last_mid, coalesce(sum(source_volume) FILTER (t AND source_side='B' AND ms>=37800000),0)::BIGINT AS future_buy_10m, coalesce(sum(source_volume) FILTER (t AND source_side='S' AND ms>=37800000),0)::BIGINT AS future_sell_10m, count(*) FILTER (ms>=37800000) AS future_events
-   FROM (SELECT *, source_action='TRADE' AND source_volume>0 AS t FROM sess WHERE ms<38400000) GROUP BY 1,2)""", fin("SELECT * FROM s WHERE date<20240129", "last_mid")))
+   FROM (SELECT *, source_action='TRADE' AND source_volume>0 AS t FROM sess WHERE ms<38400000) GROUP BY 1,2)""", fin("SELECT * FROM s", "last_mid")))
 def r04(spark, sf):
     s = flows.signal_snapshot(flows.with_event_time(replay(spark, sf)))
-    return rounded(flows.run_once(spark, s).filter(F.col("date") < 20240129))
+    return rounded(flows.run_once(spark, s))

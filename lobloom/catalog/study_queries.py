@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lobloom.catalog.registry import query, rounded
@@ -435,12 +438,14 @@ def x29(spark, sf):
     return rounded(_liq(spark, sf), 8)
 
 
-@query("x29_liquidity_performance", sql(STUDY, LIQ, *[_scoped(f"(SELECT * FROM lq WHERE liquidity_state='{s}')", ["f018"], ["ret"], 8, s) for s in ("low", "high")],
-    fin("SELECT 'low' AS liquidity_state, * FROM evlow UNION ALL SELECT 'high', * FROM evhigh", "rank_ic d10_d1")))
+@query("x29_liquidity_performance", sql(STUDY, LIQ, *[_scoped(f"(SELECT * FROM lq WHERE liquidity_state='{s}')", ["f018"], ["ret"], 8, s) for s in ("low", "mid", "high")],
+    _scoped("lq", ["f018"], ["ret"], 8, "all"),
+    fin("SELECT 'low' AS liquidity_state, * FROM evlow UNION ALL SELECT 'mid', * FROM evmid UNION ALL SELECT 'high', * FROM evhigh UNION ALL SELECT 'all', * FROM evall", "rank_ic d10_d1")))
 def x29b(spark, sf):
     rows = stage(_liq(spark, sf), "liq")
-    parts = [E.evaluate(rows.filter(F.col("liquidity_state") == s), ["f018"], ["ret"], 8).withColumn("liquidity_state", F.lit(s)) for s in ("low", "high")]
-    return rounded(parts[0].unionByName(parts[1]))
+    states = {s: rows.filter(F.col("liquidity_state") == s) for s in ("low", "mid", "high")} | {"all": rows}
+    parts = [E.evaluate(r, ["f018"], ["ret"], 8).withColumn("liquidity_state", F.lit(s)) for s, r in states.items()]
+    return rounded(reduce(DataFrame.unionByName, parts))
 
 
 _HG = "least(1, greatest(0, (q-1.0::DOUBLE/3)/(1-1.0::DOUBLE/3)))"

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_ONE_IN = 16_384
-MAX_RANGES = 512
 
 
 def attach(df: DataFrame, group: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
@@ -143,8 +142,8 @@ def position(
     """1-based position (running weight) of each row in its group's order.
 
     ``order`` must identify a row.  A hashed sample of the keys (one in
-    ``one_in``) gives the bounds: every eighth sampled key, at most
-    ``MAX_RANGES`` of them, cuts a group into ranges ranked on their own.
+    ``one_in``) gives the bounds: every eighth sampled key cuts a group into
+    ranges of about ``8 * one_in`` rows, however large it is, ranked on their own.
     Positions are exact whatever the sample, because each range adds the size of
     those before it.  An ordinary group has no bound and stays whole.
     """
@@ -157,9 +156,8 @@ def position(
         keyed.filter(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0)
         .groupBy(*group).agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
     )
-    step = F.greatest(F.lit(8), F.ceil(F.size("_keys") / F.lit(MAX_RANGES)))
     bounds = sample.select(
-        *group, F.filter("_keys", lambda _k, i: i % step == step - 1).alias("_bounds"))
+        *group, F.filter("_keys", lambda _k, i: i % 8 == 7).alias("_bounds"))
     at = F.when(
         F.col("_bounds").isNotNull(), F.size(F.filter("_bounds", lambda b: b < F.col("_key")))
     ).otherwise(0)

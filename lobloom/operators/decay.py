@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from lobloom.operators.ordered import SPAN, carry_forward
 
+# The largest double over the smallest one is below 2^2100.
+LASTING = 2_100
+
 
 def decayed_sums(
     df: DataFrame,
@@ -24,14 +27,15 @@ def decayed_sums(
     """Sum of earlier and current values, each halved every ``half_life`` of ``clock``.
 
     Values are scaled to the start of their clock block, so a running sum inside
-    the block is enough; what earlier blocks leave is a short list of block
-    totals (64 half-lives back, below double precision after that).
+    the block is enough; what earlier blocks leave is a list of block totals, as
+    far back as a double can hold what is left of them (``LASTING`` half-lives:
+    anything older has become exactly 0 in a step-by-step decay too).
     ``block / half_life`` must stay well under 1000 to avoid overflow.
     """
     keys = list(keys)
     if block / half_life > 900:
         raise ValueError("block too long for the half-life")
-    reach = math.ceil(64 * half_life / block) + 1
+    reach = math.ceil(LASTING * half_life / block) + 1
     b = F.floor(F.col(clock) / F.lit(block)).cast("long")
     tagged = df.withColumn("_block", b)
     up = F.pow(F.lit(2.0), (F.col(clock) - F.col("_block") * block) / F.lit(float(half_life)))

@@ -58,16 +58,23 @@ def confidence(value) -> dict[str, Column]:
     return {"mean": F.avg(v), "se": se, "low": F.avg(v) - 1.96 * se, "high": F.avg(v) + 1.96 * se, "n": F.count(v)}
 
 
-def newey_west(df: DataFrame, keys: Sequence[str], value: str, lags: int | str, order: str = "date") -> DataFrame:
+def newey_west(
+    df: DataFrame, keys: Sequence[str], value: str, lags: int | str, order: str = "date", most: int = max(HAC_LAGS.values()),
+) -> DataFrame:
     """Mean and Bartlett-weighted t per key; lag 0 is the plain t.
 
     One row per date, so a series is bounded by the calendar.  ``lags`` may name
-    a column that is constant per key.
+    a column that is constant per key; ``most`` is then the largest value it may
+    hold, and a larger one is an error.
     """
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull()).withColumn(
         "_lags", F.lit(lags) if isinstance(lags, int) else F.col(lags))
-    most = lags if isinstance(lags, int) else max(HAC_LAGS.values())
+    if isinstance(lags, int):
+        most = lags
+    else:
+        known = known.withColumn("_lags", F.when(F.col("_lags") > most, F.raise_error(
+            F.concat(F.lit(f"more than {most} lags asked for: "), F.col("_lags").cast("string"))).cast("int")).otherwise(F.col("_lags")))
     whole = Window.partitionBy(*keys)
     line = whole.orderBy(order)
     c = known.withColumn("_c", F.col(value) - F.avg(value).over(whole))

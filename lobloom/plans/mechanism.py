@@ -60,9 +60,13 @@ def _vol(side: str) -> Column:
 def own_trade_mean(rows: DataFrame, keep: int = KEEP) -> DataFrame:
     """Mean size of the last ``keep`` own-side trades before each row, across days.
 
-    Ordered by (date, row id) as one number per symbol; nothing resets overnight.
+    Ordered by (day, row id) as one number per symbol; nothing resets overnight.
+    Row ids of a day must stay below 10^12; a larger one is an error.
     """
-    line = rows.withColumn("gid", (F.col("date").cast("long") % 1_000_000) * F.lit(1_000_000_000_000) + F.col("row_id"))
+    day = F.unix_date(F.to_date(F.col("date").cast("string"), "yyyyMMdd")).cast("long")
+    row = F.when(F.col("row_id") < F.lit(10**12), F.col("row_id")).otherwise(
+        F.raise_error(F.lit("row id of 10^12 or more")).cast("long"))
+    line = rows.withColumn("gid", day * F.lit(10**12) + row)
     t = dense_order(line.filter("is_trade").select("symbol", "source_side", "gid", "source_volume"),
                     ["symbol", "source_side"], "gid", out="k")
     t = rolling_dense(t, ["symbol", "source_side"], "k", keep, {"m": F.avg("source_volume")}, inclusive=True)
@@ -118,16 +122,17 @@ def with_states(rows: DataFrame, cuts: DataFrame, profiles: Sequence[str], warmu
     return j.withColumns(out).drop(*[c for c in cuts.columns if c.startswith("cut_")])
 
 
-def price_states(rows: DataFrame, warmup_until: int, window_s: int = 30, k: float = 1.5) -> DataFrame:
+def price_states(rows: DataFrame, warmup_until: int, window_s: int = 30, k: float = 1.5, minimum: int = 1) -> DataFrame:
     """Up / down / normal / unknown: log return against ``k`` warm-up deviations,
-    and the mid against the day's open and the previous close."""
+    and the mid against the day's open and the previous close.  A deviation from
+    fewer than ``minimum`` warm-up samples is unknown."""
     c = F.col
     valid = rows.filter(c("mid").isNotNull() & (c("mid") > 0))
     probes = valid.select(*S, "row_id", "bucket", "seq", "mid", (c("ms") - window_s * 1000).alias("back"))
     back = asof(probes, valid, S, "back", "ms", {"old": c("mid")}, direction="backward").withColumn("ret", F.ln(c("mid") / c("old")))
     back = stage(back, "mech-return")
     sig = back.filter((c("date") < warmup_until) & ((c("seq") - 1) % STRIDE == 0) & c("ret").isNotNull()).groupBy("symbol", "bucket").agg(
-        F.stddev_pop("ret").alias("sigma"))
+        F.when(F.count("ret") >= minimum, F.stddev_pop("ret")).alias("sigma"))
     days = rows.groupBy(*DAY).agg(
         F.min_by("mid", F.when(c("mid").isNotNull(), c("row_id"))).alias("open_mid"),
         F.max_by("mid", F.when(c("mid").isNotNull(), c("row_id"))).alias("last_mid"))
@@ -424,7 +429,7 @@ def run_mechanisms(
     dense = intensities(rows, [int(profile[2:])], [int(trade_profile[3:])], keep)
     cuts = stage(state_cuts(dense, [profile, trade_profile], warmup_until, minimum=minimum), "mech-cuts")
     states = stage(with_states(dense, cuts, [profile, trade_profile], warmup_until), "mech-states")
-    prices = stage(price_states(dense, warmup_until, window_s), "mech-prices")
+    prices = stage(price_states(dense, warmup_until, window_s, minimum=minimum), "mech-prices")
     return {"rows": dense, "states": states, "prices": prices, "cuts": cuts, "heat": daily_heat_cut(rows, warmup_until)}
 
 
