@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,18 +190,20 @@ def window_path(events: DataFrame) -> DataFrame:
 def quality_report(paths: DataFrame) -> DataFrame:
     """Output checks in one pass: keys, coverage bounds and nested windows."""
     c = F.col
-    nest = (c("flow1m_total_volume") > c("flow5m_total_volume")) | (c("flow5m_total_volume") > c("flow30m_total_volume"))
-    fut = (c("future1m_total_volume") > c("future5m_total_volume")) | (c("future5m_total_volume") > c("future10m_total_volume")) \
-        | (c("future1m_event_count") > c("future5m_event_count")) | (c("future5m_event_count") > c("future10m_event_count"))
+    # Each side must nest by itself: a surplus on one would hide a gap on the other.
+    grows = lambda names: reduce(or_, [c(a) > c(b) for a, b in zip(names, names[1:])])
+    nest = reduce(or_, [grows([f"flow{m}m_{s}_volume" for m in (1, 5, 30)]) for s in ("buy", "sell")])
+    fut = reduce(or_, [grows([f"future{m}m_{s}" for m in (1, 5, 10)]) for s in ("buy_volume", "sell_volume", "event_count")])
     cover = lambda p: (c(f"{p}_coverage_ratio") < 0) | (c(f"{p}_coverage_ratio") > 1.000001)
-    keys = paths.groupBy(*DAY).agg(F.count(F.lit(1)).alias("k")).agg(F.sum(c("k") - 1).alias("duplicate_keys"))
+    keys = paths.groupBy(*DAY, "signal_time").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(c("k") - 1).alias("duplicate_keys"))
     return paths.agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("symbol").alias("symbols"),
-        F.min("date").alias("min_date"), F.max("date").alias("max_date"),
+        F.count_distinct("date").alias("dates"), F.min("date").alias("min_date"), F.max("date").alias("max_date"),
         X.count_if(c("signal_time") != 1030).alias("bad_signal_time"),
         X.count_if(cover("book30m") | cover("book5m")).alias("bad_coverage"),
         X.count_if((c("invalid_chain_seconds") < 0) | (c("invalid_chain_seconds") > 1800.001)).alias("bad_invalid_seconds"),
         X.count_if(nest).alias("bad_signal_nesting"), X.count_if(fut).alias("bad_target_nesting"),
-        X.count_if(c("symbol").startswith("SH")).alias("sh_rows"),
+        X.count_if(c("symbol").startswith("SH")).alias("sh_rows"), X.count_if(c("symbol").startswith("SZ")).alias("sz_rows"),
+        X.count_if(c("book5m_coverage_ratio") < 0.999999).alias("incomplete_5m_coverage"),
         X.count_if(c("book30m_coverage_ratio") < 0.999999).alias("incomplete_30m_coverage"),
     ).join(keys)
