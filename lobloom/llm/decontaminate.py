@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbatch import Words, binary_list, covered, runs_hash, text_chunks
+from .textbatch import Words, binary_list, column_chunks, covered, runs_hash
 
 WIDTH = 10
 BROADCAST_WINDOWS = 2_000_000  # about 100 bytes each with their words
@@ -41,7 +41,7 @@ def item_windows(items: DataFrame, width: int = WIDTH, item_id: str = "item_id",
 
     def cut(batches):
         for b in batches:
-            for first, texts in text_chunks(binary_list(b.column(1))):
+            for first, texts in column_chunks(b.column(1)):
                 w = Words(texts)
                 rows = []
                 for k, n in enumerate(w.per_doc):
@@ -137,14 +137,13 @@ def _apply(docs: DataFrame, text: str, own, shared) -> DataFrame:
 
     def judge(batches):
         for b in batches:
-            texts = binary_list(b.column(at))
             cols: list[list] = [[], [], [], []]
             if own_table:
                 given = b.column(b.schema.get_field_index("__candidates")).to_pylist()
                 parts = (([t], WindowTable([(c["n"], c["hash"], c["words"], c["item"]) for c in given[i] or ()]))
-                         for i, t in enumerate(texts))
+                         for i, t in enumerate(binary_list(b.column(at))))
             else:
-                parts = ((chunk, shared.value) for _, chunk in text_chunks(texts))
+                parts = ((chunk, shared.value) for _, chunk in column_chunks(b.column(at)))
             for chunk, table in parts:
                 for col, values in zip(cols, _judge(Words(chunk), table, chunk), strict=True):
                     col.extend(values)
@@ -160,7 +159,7 @@ def _scan_joined(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
 
     def cut(batches):
         for b in batches:
-            for first, texts in text_chunks(binary_list(b.column(1))):
+            for first, texts in column_chunks(b.column(1)):
                 w = Words(texts)
                 for n in sizes:
                     at, h = w.windows(n)

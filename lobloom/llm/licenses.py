@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textbatch import Words, binary_list, text_chunks
+from .textbatch import Words, column_chunks
 
 # Phrases that the query's contract names.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -189,7 +189,7 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] | None = None
         machine = automaton(base, notices, tags)
         for b in batches:
             cols: list[list] = [[] for _ in _KINDS]
-            for _, texts in text_chunks(binary_list(b.column(at))):
+            for _, texts in column_chunks(b.column(at)):
                 w = Words(texts)
                 spaced, begin = _spaced(w)
                 seen: dict[int, dict] = {}

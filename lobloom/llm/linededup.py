@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from lobloom.session import stage
 
 from .tables import components
-from .textbatch import Words, binary_list, mix, runs_hash, text_chunks
+from .textbatch import Words, binary_list, column_chunks, mix, runs_hash, text_chunks
 
 MIN_WORDS = 5
 K = 3
@@ -104,7 +104,7 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
 
     def scan(batches):
         for b in batches:
-            for first, texts in text_chunks(binary_list(b.column(1))):
+            for first, texts in column_chunks(b.column(1)):
                 x = Lines(texts, min_words)
                 n = len(x.keep)
                 ids = pa.Array.from_buffers(pa.binary(16), n, [None, pa.py_buffer(np.ascontiguousarray(x.ids).tobytes())])

@@ -39,7 +39,7 @@ from .tokens import encoder
 CAPACITY = 2048
 NODES = 20_000
 WIDTH = 4  # fillings tried at a branch
-ENCODE_BYTES = 4 << 20
+ENCODE_ROWS = 256
 
 Pattern = tuple[int, tuple[int, ...]]  # how many sequences, lengths in each, largest first
 
@@ -57,15 +57,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(batches):
         model = encoder(tokenizer)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size < ENCODE_BYTES):
-                    size += len(texts[stop])
-                    stop += 1
+            for at in range(0, b.num_rows, ENCODE_ROWS):
+                texts = [t or "" for t in b.column(1).slice(at, ENCODE_ROWS).to_pylist()]
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, raw in enumerate(model.encode(texts[at:stop]), at):
+                for i, raw in enumerate(model.encode(texts), at):
                     raw += end
                     for k, lo in enumerate(range(0, len(raw), step)):
                         part = raw[lo : lo + step]
@@ -81,7 +76,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 if keep_ids:
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-                at = stop
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, T.StructType(fields))
 

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from lobloom.session import stage
 
 from .tables import components
-from .textbatch import binary_list
+from .textbatch import column_chunks
 
 SHINGLE_CHUNK = 1 << 16
 BYTES = 8
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, words: int = 5, seed: int = 42, text: str = "t
 
     def scan(batches):
         for b in batches:
-            fp = np.fromiter((fingerprint(t, words, seed) for t in binary_list(b.column(at))), np.uint64, b.num_rows)
+            fp = np.fromiter((fingerprint(t, words, seed) for _, texts in column_chunks(b.column(at)) for t in texts), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=schema.names)
 
     return docs.mapInArrow(scan, schema)

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from lobloom.session import stage
 
 from .tables import components
-from .textbatch import Words, binary_list, runs_hash, text_chunks
+from .textbatch import Words, column_chunks, runs_hash
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     def scan(batches):
         directions = _directions(8 * width)
         for b in batches:
-            prints = [row.tobytes() for _, part in text_chunks(binary_list(b.column(1))) for row in sketch(part, words, directions)]
+            prints = [row.tobytes() for _, part in column_chunks(b.column(1)) for row in sketch(part, words, directions)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary())], names=["doc_id", "print"])
 
     pairs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")

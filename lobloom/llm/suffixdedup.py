@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from lobloom.session import stage
 
 from .tables import parallel
-from .textbatch import binary_list, covered, mix, runs_hash, text_chunks
+from .textbatch import binary_list, column_chunks, covered, mix, runs_hash
 
 LENGTH = 50
 GRAM = 20
@@ -244,7 +244,7 @@ def shared_stretches(docs: DataFrame, length: int, gram: int, group: int) -> Dat
         for b in batches:
             ids = np.asarray(b.column(0)).view(np.uint64)
             parts = []
-            for first, texts in text_chunks(binary_list(b.column(1))):
+            for first, texts in column_chunks(b.column(1)):
                 doc, at, n, place, anchor, content = stretches(texts, length, gram)
                 parts.append((anchor, content >> np.uint64(16), ids[doc + first], at, n, place))
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else []

@@ -1,7 +1,6 @@
 """Words of many texts at once, as numpy arrays over their UTF-8 bytes.
 
-Texts of one Arrow batch are cut into chunks of about a megabyte (one text at
-least), laid end to end with a line feed between them, and scanned together.
+Texts of one Arrow batch are cut into chunks of about 256 KB (one text at least), laid end to end with a line feed between them, and scanned together.
 All results are exact functions of the bytes; nothing is cut off.
 """
 
@@ -13,7 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+CHUNK_ROWS = 256
 
 _BYTE = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
@@ -89,6 +89,13 @@ def text_chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[
         yield first, texts[first:]
 
 
+def column_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """The same over an Arrow column, a few rows at a time; null counts as empty."""
+    for at in range(0, len(column), CHUNK_ROWS):
+        for first, texts in text_chunks(binary_list(column.slice(at, CHUNK_ROWS)), limit):
+            yield at + first, texts
+
+
 class Words:
     """The words of a chunk of texts: where they start and end, and whose they are."""
 

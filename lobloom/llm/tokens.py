@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 # A full stop or comma after a letter or digit and before a blank is a token of its own.
 _STOP = re.compile(r"[.,](?=[ \n])(?<=[^\W_][.,])")

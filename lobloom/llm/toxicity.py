@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from lobloom.session import stage
 
-from .textbatch import Words, binary_list, runs_hash, text_chunks
+from .textbatch import Words, column_chunks, runs_hash
 
 BITS = 18
 PREFIXES = (5, 6, 7, 8)
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     def features(batches):
         for b in batches:
             bad = np.asarray(b.column(2))
-            for first, texts in text_chunks(binary_list(b.column(1))):
+            for first, texts in column_chunks(b.column(1)):
                 doc, bucket, n = _counts(*_buckets(Words(texts)))
                 split = np.searchsorted(doc, np.arange(1, len(texts)))
                 yield pa.RecordBatch.from_arrays(
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT, text: str = "te
         m = shared.value
         for b in batches:
             scores = np.zeros(b.num_rows)
-            for first, texts in text_chunks(binary_list(b.column(at))):
+            for first, texts in column_chunks(b.column(at)):
                 doc, bucket = _buckets(Words(texts))
                 hit = m.weights[bucket] != 0
                 doc, bucket, n = _counts(doc[hit], bucket[hit])
