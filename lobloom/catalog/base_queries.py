@@ -48,17 +48,39 @@ def clock_scan(spark, sf):
     return e.groupBy(*DAY, "source_action").agg(F.count(F.lit(1)).alias("n"), F.sum("source_volume").alias("volume"))
 
 
-@query("s01_s04_file_scan_round_trip", sql(V, "SELECT symbol, date, count(*) AS n, sum(source_volume)::BIGINT AS volume, max(time) AS last_time FROM lob WHERE time<113000000 GROUP BY 1,2"))
+@query("s01_s04_file_scan_round_trip", sql(V, "SELECT symbol, date, count(*) AS n, sum(source_volume)::BIGINT AS volume, max(time) AS last_time FROM lob GROUP BY 1,2"))
 def file_scan(spark, sf):
     """Writes month/symbol files and reads them back with the symbol from the path."""
     out = f"{shared_folder(spark)}/lobloom/files-{uuid.uuid4().hex}"
     e = lob(spark, sf)
     (e.withColumns({"m": F.floor(F.col("date") / 100).cast("string"), "s": F.col("symbol")}).drop("symbol")
      .repartition("m", "s").write.partitionBy("m", "s").parquet(out))
-    back = spark.read.parquet(out).withColumnRenamed("s", "symbol").filter(F.col("m") == "202401").filter(F.col("time") < 113000000)
+    back = spark.read.parquet(out).withColumnRenamed("s", "symbol")
     return back.groupBy(*DAY).agg(F.count(F.lit(1)).alias("n"), F.sum("source_volume").alias("volume"), F.max("time").alias("last_time"))
 
 
+_CSV = "symbol string, date int, ret double, cap double, style1 double"
+
+
+@query("s05_t01_csv_panels", sql(PANEL, fin("SELECT symbol, date, round(ret, 8) AS ret, NULL::DOUBLE AS cap, NULL::DOUBLE AS style1 FROM panel WHERE (date//100)%2=0 UNION ALL SELECT symbol, date, NULL, round(cap, 8), round(style1, 8) FROM panel WHERE (date//100)%2=1", "ret cap style1")))
+def csv_panels(spark, sf):
+    """Two CSV panels with different columns, written and read back as one by column name."""
+    root = f"{shared_folder(spark)}/lobloom/panels-{uuid.uuid4().hex}"
+    p = panel(spark, sf)
+    R.write_csv(p.filter("(date div 100) % 2 = 0").select("symbol", "date", F.round("ret", 8).alias("ret")), f"{root}/a")
+    R.write_csv(p.filter("(date div 100) % 2 = 1").select("symbol", "date", F.round("cap", 8).alias("cap"), F.round("style1", 8).alias("style1")), f"{root}/b")
+    both = R.read_panels(spark, [f"{root}/a", f"{root}/b"], typed=_CSV)
+    return rounded(R.require_columns(both, ["symbol", "date", "ret", "cap", "style1"]).select("symbol", "date", "ret", "cap", "style1"))
+
+
+@query("s13_t01_lending_balances", sql(PANEL, fin("SELECT symbol, date, cap AS balance FROM panel", "balance")))
+def lending(spark, sf):
+    """A balance table written in date folders and read with its declared types."""
+    out = f"{shared_folder(spark)}/lobloom/lending-{uuid.uuid4().hex}"
+    R.write_parquet(panel(spark, sf).select("symbol", "date", F.col("cap").alias("balance")), out, ["date"])
+    return rounded(R.read_lending_balances(spark, out))
+
+
 @query("s06_certified_inputs", """SELECT '202401' AS month, 'SYM' || c_custkey AS symbol, '/data/202401/SYM' || c_custkey || '.parquet' AS path, c_mktsegment<>'BUILDING' AS is_certified FROM customer""")
 def s06(spark, sf):
     c = read_table(spark, sf, "customer").withColumn("symbol", F.concat(F.lit("SYM"), F.col("c_custkey").cast("string")))
@@ -335,6 +357,14 @@ def f36b(spark, sf):
     return rounded(summaries.quote_day_bin(primitives.primitives(lob(spark, sf))["quotes"]))
 
 
+@query("f36_quote_day", sql(V, PW, QT, fin("""SELECT symbol, date, count(*) AS quote_events, sum(thin) AS thin_quote_events, count(*) FILTER (relative_depth<=0.1) AS ultra_thin_quote_events, sum(thin)/count(*)::DOUBLE AS thin_quote_share,
+    sum(relative_depth)/count(*) AS relative_depth_mean, avg(rehit) FILTER (thin=1) AS thin_rehit_share, avg(restored_pre_event_book) FILTER (thin=1 AND censored_at_signal=0) AS thin_restored_share_closed, avg(censored_at_signal) FILTER (thin=1) AS thin_censored_share
+  FROM (SELECT *, CASE WHEN relative_depth<0.5 THEN 1 ELSE 0 END::BIGINT AS thin FROM qlf WHERE relative_depth>=0) GROUP BY 1,2""".replace("sum(thin) AS", "sum(thin)::BIGINT AS"),
+    "thin_quote_share relative_depth_mean thin_rehit_share thin_restored_share_closed thin_censored_share")))
+def f36_day(spark, sf):
+    return rounded(summaries.quote_day_features(primitives.primitives(lob(spark, sf))["quotes"]))
+
+
 _HZ = (5, 30, 60)
 SG = SIG + f""",
 sgr AS (SELECT * REPLACE ({', '.join(f'coalesce({x},0) AS {x}' for x in _SC)}) FROM sj),

@@ -5,14 +5,14 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lobloom.catalog.registry import query, rounded
 from lobloom.catalog.sqlgen import fin
 from lobloom.catalog.views import lob_views, sql
 from lobloom.session import shared_folder
-from lobloom.sources.derived import lob
+from lobloom.sources.derived import lob, sessions
 from lobloom.streaming import flows
 
 V = lob_views()
@@ -50,14 +50,47 @@ def r01(spark, sf):
 @query("r02_stream_flow_bins", sql(V, "t AS (SELECT *, (time//10000000)*60+time//100000%100 AS mn FROM lob WHERE source_action='TRADE' AND source_volume>0)",
     "SELECT symbol, date, (mn//5*5)::BIGINT AS minute, coalesce(sum(source_volume) FILTER (source_side='B'),0)::BIGINT AS buy_volume, coalesce(sum(source_volume) FILTER (source_side='S'),0)::BIGINT AS sell_volume, count(*) AS trades FROM t GROUP BY 1,2,3"))
 def r02(spark, sf):
-    t = flows.with_event_time(replay(spark, sf)).filter((F.col("source_action") == "TRADE") & (F.col("source_volume") > 0))
-    out = flows.run_once(spark, flows.flow_bins(t), "complete")
+    return _bins(spark, flows.flow_bins(flows.with_event_time(replay(spark, sf))))
+
+
+def _bins(spark, stream):
     s = F.col("bin_start")
-    return out.select(
+    return flows.run_once(spark, stream).select(
         "symbol", (F.year(s) * 10000 + F.month(s) * 100 + F.dayofmonth(s)).cast("int").alias("date"),
         (F.hour(s) * 60 + F.minute(s)).cast("long").alias("minute"), "buy_volume", "sell_volume", "trades")
 
 
+@query("r02_stream_sliding_bins", sql(V, "t AS (SELECT *, (time//10000000)*60+time//100000%100 AS mn FROM lob WHERE source_action='TRADE' AND source_volume>0)",
+    "u AS (SELECT *, unnest([mn//5*5, mn//5*5-5]) AS minute FROM t)",
+    "SELECT symbol, date, minute::BIGINT AS minute, coalesce(sum(source_volume) FILTER (source_side='B'),0)::BIGINT AS buy_volume, coalesce(sum(source_volume) FILTER (source_side='S'),0)::BIGINT AS sell_volume, count(*) AS trades FROM u GROUP BY 1,2,3"))
+def r02_sliding(spark, sf):
+    return _bins(spark, flows.flow_bins(flows.with_event_time(replay(spark, sf)), "10 minutes", "5 minutes"))
+
+
+_LATE = "l AS (SELECT *, epoch_ms(strptime(date::VARCHAR, '%Y%m%d'))+ms AS ev, epoch_ms(strptime(date::VARCHAR, '%Y%m%d'))+ms+CASE WHEN row_id%7=0 THEN 180000 ELSE 0 END AS got FROM sess)"
+
+
+@query("r06_late_rows", sql(V, _LATE, "m AS (SELECT got//60000 AS mi, max(ev) AS mx FROM l GROUP BY 1)",
+    "s AS (SELECT mi, max(mx) OVER (ORDER BY mi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m)",
+    "SELECT symbol, date, row_id, ms FROM l JOIN s ON s.mi=l.got//60000 WHERE ev<seen-60000"))
+def r06(spark, sf):
+    e = flows.with_event_time(sessions(lob(spark, sf)))
+    delay = F.when(F.col("row_id") % 7 == 0, 180_000).otherwise(0)
+    e = e.withColumn("arrived", F.timestamp_millis(F.unix_millis("ts") + delay))
+    return flows.late_rows(e, "1 minute").select("symbol", "date", "row_id", F.col("ms").cast("long").alias("ms"))
+
+
+@query("r08_signal_with_history", sql(V, """s AS (SELECT symbol, date, coalesce(sum(source_volume) FILTER (source_side='B'),0)::BIGINT AS buy_30m FROM sess WHERE source_action='TRADE' AND source_volume>0 AND ms>=36000000 AND ms<37800000 GROUP BY 1,2)""",
+    "k AS (SELECT DISTINCT symbol, date FROM sess WHERE ms<38400000 AND session='AM')",
+    "SELECT k.symbol, k.date, coalesce(buy_30m,0)::BIGINT AS buy_30m, (SELECT count(*) FROM lob h WHERE h.symbol=k.symbol AND h.date<k.date)::BIGINT AS earlier_rows FROM k LEFT JOIN s USING (symbol, date)"))
+def r08(spark, sf):
+    days = lob(spark, sf).groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    history = days.select("symbol", "date", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier_rows"))
+    s = flows.with_history(flows.signal_snapshot(flows.with_event_time(replay(spark, sf))), history)
+    return flows.run_once(spark, s).select("symbol", "date", "buy_30m", "earlier_rows")
+
+
 @query("r03_r05_r07_stream_chains", sql(V, """x AS (SELECT *, coalesce(source_action='TRADE' AND source_volume>0 AND oid IS NOT NULL, false) AS t FROM sess)""",
     "y AS (SELECT *, coalesce(lag(t) OVER w AND t AND lag(source_side) OVER w=source_side AND lag(oid) OVER w=oid, false) AS c FROM x WINDOW w AS (PARTITION BY symbol, date, session ORDER BY row_id))",
     "z AS (SELECT *, sum((t AND NOT c)::INTEGER) OVER (PARTITION BY symbol, date, session ORDER BY row_id) AS g FROM y)",

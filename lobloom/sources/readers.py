@@ -29,24 +29,28 @@ def read_events(
 ) -> DataFrame:
     """Event files ``<month>/<symbol>.parquet``: pruned columns, pushed clock range.
 
-    The symbol comes from the file name; ``months`` keeps the named month folders.
+    The symbol comes from the file name; with ``months`` only the folders of those
+    months are listed and opened.
     """
-    df = spark.read.schema(EVENT_SCHEMA).option("recursiveFileLookup", "true").parquet(
-        *([paths] if isinstance(paths, str) else paths))
+    roots = [paths] if isinstance(paths, str) else list(paths)
+    folders = [f"{r.rstrip('/')}/{m}" for r in roots for m in months] if months else roots
+    df = spark.read.schema(EVENT_SCHEMA).option("recursiveFileLookup", "true").parquet(*folders)
     if clock:
         df = df.filter((F.col("time") >= clock[0]) & (F.col("time") < clock[1]))
-    if months:
-        df = df.filter(F.floor(F.col("date") / 100).cast("string").isin(list(months)))
     wanted = [c for c in (columns or EVENT_SCHEMA.names) if c != "symbol"]
     return df.select(symbol_of_path(F.col("_metadata.file_path")).alias("symbol"), *wanted)
 
 
-def read_panels(spark: SparkSession, paths: Sequence[str], schema: str | None = None) -> DataFrame:
-    """CSV panels with headers, united by column name; missing columns become NULL."""
+def read_panels(spark: SparkSession, paths: Sequence[str], typed: str | None = None) -> DataFrame:
+    """CSV panels with headers, united by column name; missing columns become NULL.
+
+    ``typed`` gives the types of the columns that a panel has; others stay text.
+    """
+    kinds = dict(f.split() for f in typed.split(", ")) if typed else {}
     out = None
     for p in paths:
-        reader = spark.read.option("header", "true")
-        one = reader.schema(schema).csv(p) if schema else reader.csv(p)
+        one = spark.read.option("header", "true").csv(p)
+        one = one.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in one.columns])
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     if out is None:
         raise ValueError("no panel paths given")

@@ -38,14 +38,20 @@ def dedup_trades(events: DataFrame, delay: str = "10 hours") -> DataFrame:
     return t.withColumn("_rec", key).dropDuplicatesWithinWatermark(["symbol", "date", "_rec"]).drop("_rec")
 
 
-def flow_bins(trades: DataFrame, width: str = "5 minutes", slide: str | None = None, delay: str = "1 minute") -> DataFrame:
-    """Tumbling or sliding buy and sell volume."""
-    t = trades if trades.isStreaming is False else trades.withWatermark("ts", delay)
+def flow_bins(events: DataFrame, width: str = "5 minutes", slide: str | None = None, delay: str = "1 minute") -> DataFrame:
+    """Tumbling or sliding buy and sell volume of trades.
+
+    The watermark follows all events, so a bin closes, and leaves the state, when
+    the clock has passed it, whether or not anything trades after it.
+    """
+    t = events.withWatermark("ts", delay) if events.isStreaming else events
+    # A filter here would be moved below the watermark and hold it back between trades.
+    trade = (F.col("source_action") == "TRADE") & (F.col("source_volume") > 0)
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     buy = F.col("source_side") == "B"
     return t.groupBy("symbol", w).agg(
-        X.sum0("source_volume", buy).alias("buy_volume"), X.sum0("source_volume", ~buy).alias("sell_volume"),
-        F.count(F.lit(1)).alias("trades")).select(
+        X.sum0("source_volume", trade & buy).alias("buy_volume"), X.sum0("source_volume", trade & ~buy).alias("sell_volume"),
+        X.count_if(trade).alias("trades")).filter("trades > 0").select(
         "symbol", F.col("window.start").alias("bin_start"), F.col("window.end").alias("bin_end"), "buy_volume", "sell_volume", "trades")
 
 
