@@ -44,7 +44,7 @@ from .textbatch import binary_list, column_chunks, covered, mix, runs_hash
 
 LENGTH = 50
 GRAM = 20
-GROUP = 2_000
+GROUP = 20_000  # about 2 MB of bytes in one task
 SEGMENT = 1 << 20  # starts looked at together
 BWT_BYTES = 1 << 20
 BUCKETS_PER_PARTITION = 8

@@ -46,7 +46,7 @@ def tangled(seed=3):
     return out
 
 
-@pytest.mark.parametrize("group", [2_000, 1])
+@pytest.mark.parametrize("group", [20_000, 1])
 def test_against_lookup(spark, group):
     for texts in (tangled(), odd_texts()):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.dedup_substrings(docs(spark, texts, extra=True), group=group).collect()}
