@@ -31,9 +31,12 @@ def _rows(events: DataFrame) -> DataFrame:
 
 
 def episodes(rows: DataFrame) -> DataFrame:
-    """Runs of consecutive trade rows of one aggressor."""
+    """Runs of consecutive trade rows of one aggressor.
+
+    Only another action, side or order ends a run; a trade row without volume does not.
+    """
     is_trade = F.col("source_action") == "TRADE"
-    usable = is_trade & F.col("source_side").isin("B", "S") & F.col("oid").isNotNull() & (F.col("source_volume") > 0)
+    usable = is_trade & F.col("source_side").isin("B", "S") & F.col("oid").isNotNull()
     run = islands(rows, F.coalesce(usable, F.lit(False)), [F.col("source_side"), F.col("oid")], out="episode")
     e = run.filter(F.col("episode").isNotNull()).groupBy(
         *S, F.col("source_side").alias("side"), F.col("oid").alias("order_id"), "episode").agg(

@@ -77,6 +77,17 @@ def test_retained_impact_of_a_sell_episode(spark):
     assert late.d07_permanent_ratio == pytest.approx(0.0, abs=1e-9)
 
 
+def test_trade_without_volume_keeps_an_episode_whole(spark):
+    raw = [(100000000, 1, "ORDER_ADD", None, 5, "S", 700, [200000], [200200]), (100000100, 2, "TRADE", 61, 5, "S", 300, [199800], [200000]),
+           (100000200, 3, "TRADE", 62, 5, "S", 0, [199800], [200000]), (100000300, 4, "TRADE", 63, 5, "S", 100, [199600], [199800])]
+    names = "time row_id source_action source_buy_order_id source_sell_order_id source_side source_volume bid_px ask_px"
+    rows = [r | {"source_price": 200000} for r in rows_of(names, raw)]
+    cut = spark.createDataFrame([("SH600000", 20260105, 100.0)], "symbol string, date int, mean_qty double")
+    out = retained.retained_impact(events(spark, rows), 1000.0, 5.0, thresholds=cut).filter(
+        (F.col("window_name") == "daily_0930_close") & (F.col("threshold_version") == "mean_x05"))
+    assert {r.episode_count for r in out.collect()} == {1}
+
+
 SELLS = [(41, 100100000, "ORDER_ADD", "S", 20020, 800, 20000, 20020, None, None), (42, 100102000, "TRADE", "S", 20000, 150, 19980, 20020, 31, 45),
          (43, 100103000, "TRADE", "S", 19980, 250, 19960, 20020, 32, 45), (44, 100109000, "ORDER_ADD", "B", 19980, 120, 19980, 20020, None, None),
          (45, 100111000, "TRADE", "S", 19980, 120, 19960, 20020, 33, 46), (46, 100145000, "ORDER_ADD", "S", 20020, 90, 20000, 20020, None, None)]
