@@ -198,6 +198,9 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
     a, b = a[: len(a) - hi], b[: len(b) - hi]
     if not a or not b or abs(len(a) - len(b)) > most:
         return max(len(a), len(b))
+    if len(a) > len(b):  # fewer steps, wider words
+        a, b = b, a
+    a, b = b, a
     where: dict[int, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
@@ -219,7 +222,13 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
 def similar(a: bytes, b: bytes, least: float) -> bool:
     longer = max(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
+    if abs(len(a) - len(b)) > most:
+        return False
+    # Replacing differing words one by one is one way to edit; if it is cheap enough, the distance is too.
+    x, y = a.split(b" "), b.split(b" ")
+    if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y, strict=True) if u != v) <= most:
+        return True
+    return edit_distance(a, b, most) <= most
 
 
 PROFILE = 256

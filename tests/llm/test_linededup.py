@@ -35,6 +35,18 @@ def test_edit_distance(seed):
         assert (got == d) if d <= most else (got > most)
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_similarity_is_the_distance_rule(seed):
+    r = random.Random(seed)
+    a = [r.choice([b"alpha", b"be", b"gamma", b"d"]) for _ in range(r.randrange(1, 30))]
+    b = list(a)
+    for _ in range(r.randrange(6)):
+        k = r.randrange(len(b)) if b else 0
+        b[k : k + r.randrange(2)] = [r.choice([b"alpa", b"zz", b"gammas"])] * r.randrange(2)
+    x, y = b" ".join(a), b" ".join(b)
+    assert ld.similar(x, y, 0.8) == (levenshtein(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9)
+
+
 def normal(line):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in line)
     return [re.sub("[0-9]", "0", w) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
