@@ -198,9 +198,8 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
     a, b = a[: len(a) - hi], b[: len(b) - hi]
     if not a or not b or abs(len(a) - len(b)) > most:
         return max(len(a), len(b))
-    if len(a) > len(b):  # fewer steps, wider words
+    if len(a) < len(b):  # fewer steps, wider words
         a, b = b, a
-    a, b = b, a
     where: dict[int, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
