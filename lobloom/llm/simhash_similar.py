@@ -9,16 +9,18 @@ with its position:
   each of ``DIMS``), and every bit is the sign of its product with a fixed random
   direction.
 * Posting lists are kept for runs of ``BAND_BYTES`` positional bytes, so a list
-  stays short at any corpus size that such a run can tell apart.
+  stays short at any corpus size that such a run can tell apart. The positions are
+  dealt to runs ``ROUNDS`` times over, each time in another order.
 * Members of a list are tallied: a pair goes on if it shares as many positional
-  bytes as a pair at the threshold does, less three standard deviations.
-* The pair is verified on all bits: the share of differing bits estimates the angle,
-  hence the similarity of the shingle sets.
+  bytes as a pair at the threshold does, less three standard deviations, and differs
+  in as many bits, plus three standard deviations (of the bits and of the sketch).
+* Groups that hang together by such pairs are joined with their distinct shingles,
+  and a pair is linked only if its sets are alike by count.
 
-With the defaults a pair at 0.8 meets in some list with probability 0.92, at 0.85
-with 0.99. Equal fingerprints are one class and one posting. Lists longer than
-``LIST`` are compared block against block in tasks of bounded size; each task
-returns the links of a spanning forest.
+With the defaults a pair at 0.8 meets in some list with probability 0.99. Equal
+fingerprints are one class and one posting. Lists longer than ``LIST`` and groups of
+more than ``LIST`` members or ``GROUP_BYTES`` are compared block against block in
+tasks of bounded size; each task returns the links of a spanning forest.
 
 Defined cases: null and empty texts have no shingles and are equal to each other; a
 text with fewer words than a shingle is one shingle; rows that repeat an id are one
@@ -46,7 +48,10 @@ DIMS = 1_024
 PLACES = 8
 BANDS = 128
 BAND_BYTES = 3
+ROUNDS = 2
 LIST = 2_048
+GROUP_BYTES = 8 << 20
+BROADCAST_ROWS = 500_000
 SEED = 42
 
 
@@ -54,8 +59,16 @@ def _directions(bits: int) -> np.ndarray:
     return np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), size=(DIMS, bits))
 
 
-def sketch(texts: list[bytes], words: int, directions: np.ndarray) -> np.ndarray:
-    """Fingerprints, one row of bytes for each text."""
+def _runs(bands: int, band_bytes: int) -> np.ndarray:
+    """Byte positions of each run, in every round."""
+    orders = np.random.default_rng(SEED + 1)
+    width = bands * band_bytes
+    rounds = [np.arange(width)] + [orders.permutation(width) for _ in range(ROUNDS - 1)]
+    return np.concatenate(rounds).reshape(ROUNDS * bands, band_bytes)
+
+
+def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct shingles of each text, in order."""
     w = Words(texts)
     at, h = w.windows(words)
     few = np.flatnonzero((w.per_doc > 0) & (w.per_doc < words))
@@ -65,7 +78,12 @@ def sketch(texts: list[bytes], words: int, directions: np.ndarray) -> np.ndarray
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    doc, h = doc[new], h[new]
+    return doc[new], h[new]
+
+
+def sketch(texts: list[bytes], words: int, directions: np.ndarray) -> np.ndarray:
+    """Fingerprints, one row of bytes for each text."""
+    doc, h = shingles(texts, words)
     vector = np.zeros(len(texts) * DIMS)
     for i in range(PLACES):
         # Ten bits of place and one of sign for each of the places, from a fresh mixture of the hash.
@@ -81,11 +99,28 @@ def threshold(similarity: float, width: int) -> tuple[int, int]:
     """(least number of shared positional bytes, most differing bits) for fingerprints of ``width`` bytes."""
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     same = (1 - differ) ** 8
-    return int(width * same - 3 * math.sqrt(width * same * (1 - same))), int(differ * 8 * width)
-
-
-def _forest(prints: np.ndarray, ids: list, left_of: np.ndarray, right_of: np.ndarray, bytes_shared: int, bits: int) -> list:
-    """Links of a spanning forest among pairs (left, right) that pass the tally and the verification."""
+    bits = 8 * width
+    # Shingles that meet in one of DIMS places move the cosine by (1 - cos^2) / sqrt(DIMS), the angle by sin / sqrt(DIMS).
+    sketched = math.sin(math.pi * differ) / math.sqrt(DIMS) / math.pi
+    deviation = math.sqrt(bits * differ * (1 - differ) + (bits * sketched) ** 2)
+    return int(width * same - 3 * math.sqrt(width * same * (1 - same))), int(differ * bits + 3 * deviation)
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``least`` or more; empty sets are equal."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) == 0:
+        return True
+    if len(a) < least * len(b) - 1e-9:
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def _forest(prints: np.ndarray, ids: list, left_of: np.ndarray, right_of: np.ndarray, bytes_shared: int, bits: int,
+            sets: list[np.ndarray] | None = None, least: float = 0.0) -> list:
+    """Links of a spanning forest among pairs (left, right) that pass the tally, the bits and, with ``sets``, the exact count."""
     links, waiting = [], right_of.copy()
     todo_left = left_of.copy()
     for start in np.flatnonzero(left_of):
@@ -100,12 +135,38 @@ def _forest(prints: np.ndarray, ids: list, left_of: np.ndarray, right_of: np.nda
                 continue
             rest = rest[(prints[rest] == prints[i]).sum(axis=1) >= bytes_shared]
             near = rest[np.bitwise_count(prints[rest] ^ prints[i]).sum(axis=1, dtype=np.int64) <= bits]
+            if sets is not None:
+                near = near[np.array([alike(sets[i], sets[j], least) for j in near.tolist()], bool)]
             waiting[near] = todo_left[near] = False
             links.extend((ids[i], ids[j]) for j in near.tolist())
             reached.extend(near.tolist())
     return links
 
 
+def _blocked(members: DataFrame, key: str) -> DataFrame:
+    """(rep, task, own) of members(key, rep, blocks): each meets its own block and every other one, as (smaller, larger) block."""
+    held = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    held = held.select(key, "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return held.select("rep", F.struct(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task"), "own")
+
+
+def _shingle_sets(pairs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(rep, shingles): sorted 64-bit hashes of the distinct shingles of the wanted(doc_id), one row for each."""
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+
+    def scan(batches):
+        for b in batches:
+            sets = []
+            for _, part in column_chunks(b.column(1)):
+                doc, h = shingles(part, words)
+                at = np.searchsorted(doc, np.arange(len(part) + 1))
+                sets += [h[lo:hi].tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    return pairs.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(scan, "rep long, shingles binary").groupBy("rep").agg(F.max("shingles").alias("shingles"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, band_bytes: int = BAND_BYTES,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row with an id; a component's smallest id names it."""
@@ -122,25 +183,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     prints = stage(pairs.mapInArrow(scan, "doc_id long, print binary"), "prints")
     classes = stage(prints.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
 
+    runs = _runs(bands, band_bytes)
+
     def post(batches):
         for b in batches:
-            p = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, bands, band_bytes).astype(np.int64)
+            p = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, width)[:, runs].astype(np.int64)
             key = np.zeros(p.shape[:2], np.int64)
             for i in range(band_bytes):
                 key = (key << 8) | p[:, :, i]
-            key |= np.arange(bands)[None, :] << (8 * band_bytes)
+            key |= np.arange(len(runs))[None, :] << (8 * band_bytes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.reshape(-1)), b.column(1).take(pa.array(np.repeat(np.arange(len(p)), bands)))], names=["key", "rep"])
+                [pa.array(key.reshape(-1)), b.column(1).take(pa.array(np.repeat(np.arange(len(p)), len(runs))))], names=["key", "rep"])
 
     postings = classes.select("print", "rep").mapInArrow(post, "key long, rep long")
     full = stage(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
-    held = postings.join(full, "key").withColumn("blocks", F.ceil(F.col("n") / LIST).cast("int"))
-    held = held.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # Each member meets its own block and every other one, as (smaller, larger) block.
-    held = held.select("key", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    held = held.select("rep", F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task"), "own")
-    members = held.join(classes, "rep")
-    lists = members.groupBy("task").agg(F.collect_list(F.struct("rep", "own", "print")).alias("m")).where(F.size("m") > 1)
+    held = _blocked(postings.join(full, "key").withColumn("blocks", F.ceil(F.col("n") / LIST).cast("int")), "key")
+    lists = held.join(classes, "rep").groupBy("task").agg(F.collect_list(F.struct("rep", "own", "print")).alias("m")).where(F.size("m") > 1)
 
     def verify(batches):
         for b in batches:
@@ -148,10 +206,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
             for task, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 p = np.frombuffer(b"".join(r["print"] for r in m), np.uint8).reshape(len(m), width)
                 own = np.array([r["own"] for r in m])
-                links += _forest(p, [r["rep"] for r in m], own == task["i"], own == task["j"], fewest, most)
+                sets = [np.frombuffer(r["shingles"], np.uint64) for r in m] if "shingles" in m[0] else None
+                links += _forest(p, [r["rep"] for r in m], own == task["i"], own == task["j"], fewest, most, sets, similarity)
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([a for _, a in links], pa.int64())], names=["a", "b"])
 
-    joined = components(lists.mapInArrow(verify, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])).distinct())
+    link = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    # What hangs together by fingerprints is compared again by its shingles.
+    met = stage(components(lists.mapInArrow(verify, link).distinct()), "met")
+    sets = stage(met.join(_shingle_sets(pairs, met.select(F.col("node").alias("doc_id")), words), F.col("node") == F.col("rep")).drop("node"), "sets")
+    sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / LIST), F.ceil(F.col("bytes") / GROUP_BYTES), F.lit(1)).cast("int")
+    grouped = _blocked(met.select("component", F.col("node").alias("rep")).join(sizes.select("component", blocks.alias("blocks")), "component"), "component")
+    groups = grouped.join(sets.drop("component"), "rep").join(classes, "rep").groupBy("task").agg(
+        F.collect_list(F.struct("rep", "own", "print", "shingles")).alias("m")).where(F.size("m") > 1)
+    joined = components(groups.mapInArrow(verify, link).distinct())
     labels = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
         F.col("print").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(stage(labels, "labels"), F.col("print") == F.col("of")).select("doc_id", "component_id")

@@ -53,3 +53,36 @@ def test_keep_one_and_empty(spark):
     assert ss.near_duplicates(empty(spark)).count() == 0
     nulls = rows.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text")
     assert ss.keep_one(nulls).count() == 3
+
+
+def pair_at(seed, least, below):
+    """Two texts of 250 words whose shingles are alike in [least, below)."""
+    r = random.Random(seed)
+    words = [f"w{seed}x{i}" for i in range(250)]
+    while True:
+        other = list(words)
+        for i in r.sample(range(250), r.randrange(3, 9)):
+            other[i] = f"v{seed}x{i}"
+        a, b = " ".join(words), " ".join(other)
+        x, y = shingles(a), shingles(b)
+        if least <= len(x & y) / len(x | y) < below:
+            return [a, b]
+
+
+@pytest.mark.parametrize("limit", [2_048, 3])
+def test_the_threshold_is_exact(spark, monkeypatch, limit):
+    monkeypatch.setattr(ss, "LIST", limit)
+    texts = [t for i in range(100) for t in pair_at(i, 0.8, 0.83)] + [t for i in range(100, 200) for t in pair_at(i, 0.75, 0.8)]
+    got = {r.doc_id: r.component_id for r in ss.near_duplicates(docs(spark, texts)).collect()}
+    linked = [got[i] == got[i + 1] for i in range(0, 400, 2)]
+    assert sum(linked[:100]) >= 97
+    assert not any(linked[100:])
+
+
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ss, "GROUP_BYTES", 4_000)
+    monkeypatch.setattr(ss, "BROADCAST_ROWS", -1)
+    base = prose(5, 300)
+    texts = [edited(base, 2, k) for k in range(20)] + [prose(6, 300)]
+    got = {r.doc_id: r.component_id for r in ss.near_duplicates(docs(spark, texts)).collect()}
+    assert {got[i] for i in range(20)} == {0} and got[20] == 20
