@@ -1,8 +1,8 @@
 """Fuzzy line de-duplication: SimHash, pigeonhole blocks, edit similarity, components.
 
 Lines are normalised (A-Z lower-cased, digits alike, words with one space between).
-Lines of at least ``MIN_WORDS`` words take part; shorter ones repeat by chance and
-stay. Equal normalised lines are one class. Classes are linked if their 64-bit
+Every line with a word takes part (``MIN_WORDS`` is 1), however short; lines without
+one stay. Equal normalised lines are one class. Classes are linked if their 64-bit
 SimHashes differ in at most ``K`` bits and their edit similarity (1 - distance /
 longer length, in bytes) is at least ``SIMILARITY``. Of each connected group the
 first occurrence stays, by (doc_id, line number); all others are cut.
@@ -39,7 +39,7 @@ from lobloom.session import stage
 from .tables import components
 from .textbatch import Words, binary_list, column_chunks, mix, runs_hash, text_chunks
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 K = 3
 SIMILARITY = 0.8
 LIST = 4_096

@@ -126,3 +126,9 @@ def test_odd_tables(spark):
     assert {r.line_dedup.n_removed for r in ld.dedup_lines(nulls).collect()} == {0}
     all_gone = docs(spark, [line, line + "\n" + line])
     assert {r.doc_id: r.text for r in ld.dedup_lines(all_gone).collect()} == {0: line, 1: ""}
+
+
+def test_short_lines_take_part(spark):
+    texts = ["All rights reserved.\nLes.\n--\n", "ALL RIGHTS RESERVED\nles\n--\n", "数据分析是一个重要的领域\nx", "数据分析是一个重要的领域。\ny"]
+    got = {r.doc_id: r.text for r in ld.dedup_lines(docs(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "--\n", 2: texts[2], 3: "数据分析是一个重要的领域。\ny"}
