@@ -12,8 +12,9 @@ equal, so classes meet under one of ten keys of two blocks. Keys are counted fir
 one with a single fingerprint ends there, one with more than ``LIST`` is cut further:
 of eight parts of its other bits five are equal, which leaves at most 2^15
 fingerprints to a key. Within a key only fingerprints that have another one within
-``K`` bits go on. These are verified in one task for each key and give the links of
-a spanning forest, never all pairs.
+``K`` bits go on. The lines of a key, of which any number may share a fingerprint, are
+dealt to blocks of about ``MEMBERS`` lines or ``MEMBER_BYTES``; each pair of blocks is
+verified in one task and gives the links of a spanning forest, never all pairs.
 
 Copies of a line, however many, are one row from the first aggregation on. The
 texts of candidates are read from the documents of their first occurrence; that
@@ -43,6 +44,8 @@ MIN_WORDS = 1
 K = 3
 SIMILARITY = 0.8
 LIST = 4_096
+MEMBERS = 2_048
+MEMBER_BYTES = 8 << 20
 BROADCAST_ROWS = 500_000
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 VOTE_WORDS = 1 << 16
@@ -242,19 +245,21 @@ def _profiles(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _forest(ids: list[bytes], sims: np.ndarray, texts: list[bytes], k: int, least: float, choice: int) -> list[tuple[bytes, bytes]]:
-    """Links of a spanning forest over pairs that are close in bits and in edits."""
-    links, left = [], np.ones(len(ids), bool)
+def _forest(ids: list[bytes], sims: np.ndarray, texts: list[bytes], k: int, least: float, choice: int,
+            left_of: np.ndarray, right_of: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Links of a spanning forest over pairs (left, right) that are close in bits and in edits."""
+    links, todo_left, waiting = [], left_of.copy(), right_of.copy()
+    nobody = np.zeros(len(ids), bool)
     profile = _profiles(texts)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    for start in range(len(ids)):
-        if not left[start]:
+    for start in np.flatnonzero(left_of).tolist():
+        if not todo_left[start]:
             continue
-        left[start] = False
+        todo_left[start] = waiting[start] = False
         reached = [start]
-        while reached and left.any():
+        while reached:
             i = reached.pop()
-            rest = np.flatnonzero(left)
+            rest = np.flatnonzero((waiting if left_of[i] else nobody) | (todo_left if right_of[i] else nobody))
             rest = rest[_close(sims[rest] ^ sims[i], k, choice)]
             if len(rest) == 0:
                 continue
@@ -263,7 +268,7 @@ def _forest(ids: list[bytes], sims: np.ndarray, texts: list[bytes], k: int, leas
             rest = rest[np.abs(profile[rest] - profile[i]).sum(axis=1) <= allowed]
             for j in rest.tolist():
                 if similar(texts[i], texts[j], least):
-                    left[j] = False
+                    todo_left[j] = waiting[j] = False
                     reached.append(j)
                     links.append((ids[i], ids[j]))
     return links
@@ -301,18 +306,31 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, simil
     members = keys.join(classes.select("sim", "id", "first"), "sim")
     members = stage(members, "members")
     texts = stage(_texts(docs, members.select("id", "first.doc_id", "first.line").distinct(), min_words), "texts")
-    groups = members.join(texts, "id").groupBy("key").agg(F.collect_list(F.struct("id", "sim", "body")).alias("m")).where(F.size("m") > 1)
+    sizes = members.join(texts.select("id", F.length("body").alias("size")), "id").groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("bytes") / MEMBER_BYTES), F.lit(1)).cast("int")
+    held = members.select("key", "id", "sim").join(sizes.select("key", blocks.alias("blocks")), "key")
+    held = held.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Each line meets its own block and every other one, as (smaller, larger) block.
+    held = held.select("key", "id", "sim", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    held = held.select(F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task"), "id", "sim", "own")
+    groups = held.join(texts, "id").groupBy("task").agg(F.collect_list(F.struct("id", "sim", "body", "own")).alias("m")).where(F.size("m") > 1)
 
     def verify(batches):
         for b in batches:
+            tasks, column = b.column(0), b.column(1)
+            choices, left, right = np.asarray(tasks.field("key").field("choice")).tolist(), np.asarray(tasks.field("i")), np.asarray(tasks.field("j"))
+            offsets = np.asarray(column.offsets) - column.offsets[0].as_py()
+            rows = column.flatten()
             links = []
-            for choice, m in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = m.as_py()
-                sims = np.array([r["sim"] for r in rows], np.int64).view(np.uint64)
-                links += _forest([r["id"] for r in rows], sims, [r["body"] for r in rows], k, similarity, choice)
+            for t, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                m = rows.slice(lo, hi - lo)
+                own = np.asarray(m.field("own"))
+                links += _forest(m.field("id").to_pylist(), np.asarray(m.field("sim")).view(np.uint64), m.field("body").to_pylist(), k, similarity, choices[t],
+                                 own == left[t], own == right[t])
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.binary()), pa.array([a for _, a in links], pa.binary())], names=["a", "b"])
 
-    joined = components(groups.select("key.choice", "m").mapInArrow(verify, "a binary, b binary").distinct())
+    joined = components(groups.mapInArrow(verify, "a binary, b binary").distinct())
     # Classes with more than one line, by themselves or with others, and the line that each group keeps.
     owned = classes.join(joined, F.col("id") == F.col("node"), "left").where("component is not null or first <> last")
     owned = stage(owned.select("id", F.coalesce("component", "id").alias("component"), "first"), "owned")

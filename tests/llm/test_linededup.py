@@ -132,3 +132,22 @@ def test_short_lines_take_part(spark):
     texts = ["All rights reserved.\nLes.\n--\n", "ALL RIGHTS RESERVED\nles\n--\n", "数据分析是一个重要的领域\nx", "数据分析是一个重要的领域。\ny"]
     got = {r.doc_id: r.text for r in ld.dedup_lines(docs(spark, texts)).collect()}
     assert got == {0: texts[0], 1: "--\n", 2: texts[2], 3: "数据分析是一个重要的领域。\ny"}
+
+
+@pytest.mark.parametrize("bound", ["MEMBERS", "MEMBER_BYTES"])
+def test_lines_of_one_fingerprint_are_compared_in_blocks(spark, monkeypatch, bound):
+    most = {"MEMBERS": 8, "MEMBER_BYTES": 400}[bound]
+    monkeypatch.setattr(ld, bound, most)
+    forest = ld._forest
+
+    def watched(ids, *rest):
+        assert len(ids) <= 40, "a whole fingerprint in one task"
+        return forest(ids, *rest)
+
+    monkeypatch.setattr(ld, "_forest", watched)
+    r = random.Random(3)
+    # More than half of the words are one number: every row has the fingerprint of that word.
+    table = [" ".join(["12"] * 9 + ["".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9))) for _ in range(3)]) for _ in range(150)]
+    texts = ["\n".join(table[i : i + 5]) for i in range(0, 150, 5)]
+    got = {r.doc_id: r.text for r in ld.dedup_lines(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(plain(texts)))
