@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, licenses, linededup, packing, sharding, simhash, suffixdedup, toxicity, urlfilter
+from . import decontaminate, embeddings, licenses, linededup, packing, sharding, simhash, suffixdedup, toxicity, turntrie, urlfilter
 from .ship import ensure_importable
 
 QUERIES: dict = {}
@@ -180,3 +180,54 @@ FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN least ON least.x = vec_id
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.9 or more."""
     return embeddings.near_duplicates(read(spark, sf, "embeddings"))
+
+
+_OP11 = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384::BIGINT)) AS crc
+  FROM (SELECT DISTINCT conv_id FROM t)),
+h AS (SELECT conv_id, base, xor(crc, 4294967295::BIGINT) % 4 AS h FROM c),
+parts AS (
+  SELECT h.conv_id, 0 AS part, t.pos, t.role, t.text FROM h JOIN t ON t.conv_id = h.base AND t.pos < h.h
+  UNION ALL SELECT h.conv_id, 1, t.pos, t.role, t.text FROM h JOIN t ON t.conv_id = h.conv_id AND t.pos >= h.h),
+seq AS (
+  SELECT h.conv_id, coalesce(s, []) AS s FROM h LEFT JOIN (
+    SELECT conv_id, list({'r': role, 't': text} ORDER BY part, pos) AS s FROM parts GROUP BY conv_id) p ON p.conv_id = h.conv_id),
+pre AS (SELECT conv_id, d, s[1:d] AS s, len(s) = d AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seq)),
+node AS (
+  SELECT min(conv_id) AS conv_id, d, s, count(*) AS n, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids
+  FROM pre GROUP BY d, s),
+up AS (
+  SELECT a.*, b.conv_id AS parent, CASE WHEN a.d = 0 THEN 0 ELSE (a.n - 1) * len(regexp_extract_all(a.s[a.d].t, '[^\x20\x09-\x0D]+')) END AS own
+  FROM node a LEFT JOIN node b ON b.d = a.d - 1 AND a.s[1:a.d - 1] = b.s),
+kids AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS k FROM up WHERE d > 0 GROUP BY ALL),
+u AS (SELECT up.*, coalesce(k, 0) AS k FROM up LEFT JOIN kids ON kids.conv_id = up.conv_id AND kids.d = up.d),
+below AS (
+  SELECT a.s, sum(CASE WHEN b.k = 0 THEN 1 ELSE 0 END) AS leaves, sum(b.own) AS saved FROM u a JOIN (
+    SELECT k, own, unnest(list_transform(range(0, d + 1), lambda i: s[1:i])) AS top FROM u) b ON b.top = a.s GROUP BY a.s)
+SELECT u.conv_id, d::BIGINT AS depth, parent AS parent_conv_id, n::BIGINT AS n_convs, k::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM u JOIN below ON below.s = u.s
+"""
+
+
+def rebuilt(seqs: DataFrame) -> DataFrame:
+    """Each conversation with its first h turns taken from the conversation whose id is the next multiple of 20 below."""
+    h = F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(4)).cast("int")
+    own = seqs.withColumn("h", h).withColumn("base", F.col("conv_id") - F.col("conv_id") % 20)
+    heads = seqs.where("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    return own.join(heads, "base", "left").select("conv_id", F.expr(
+        "concat(coalesce(slice(head, 1, h), array()), slice(turns, h + 1, greatest(size(turns), 1)))").alias("turns"))
+
+
+@query("op11_turn_trie", _OP11)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return turntrie.prefix_trie(rebuilt(turntrie.sequences(turns)))
