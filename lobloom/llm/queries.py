@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, licenses, linededup, packing, sharding, simhash, suffixdedup, toxicity, turntrie, urlfilter
+from . import collocations, decontaminate, embeddings, licenses, linededup, packing, sharding, simhash, suffixdedup, toxicity, turntrie, urlfilter
 from .ship import ensure_importable
 
 QUERIES: dict = {}
@@ -231,3 +231,39 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     """Every node of the prefix trie of the rebuilt conversations."""
     turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     return turntrie.prefix_trie(rebuilt(turntrie.sequences(turns)))
+
+
+_OP13 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS ph FROM (
+    SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(size))),
+f AS (SELECT lang, size, ph, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+often AS (SELECT lang, ph, f FROM f WHERE f >= 30),
+c AS (SELECT lang, size, ph, string_split(ph, ' ') AS ws, f AS a FROM f WHERE size > 1 AND f >= 30),
+parts AS (
+  SELECT lang, ph, a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:size], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+cut AS (
+  SELECT p.lang, p.ph, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM parts p JOIN often x ON x.lang = p.lang AND x.ph = lp JOIN often y ON y.lang = p.lang AND y.ph = rp),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(ws[i : i + s - 1], ' ') AS ph, max(a) AS longer FROM (
+    SELECT lang, ws, a, s, unnest(range(1, size - s + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS s FROM c)) GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.ph = best.ph
+  WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, ph) AS rank, ph AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", _OP13)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    return collocations.collocations(read(spark, sf, "documents").select("lang", "text"))
