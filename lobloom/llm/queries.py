@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, embeddings, licenses, linededup, packing, sharding, simhash, suffixdedup, toxicity, turntrie, urlfilter
+from . import collocations, decontaminate, embeddings, licenses, linededup, packing, personal, sharding, simhash, suffixdedup, toxicity, turntrie, urlfilter
 from .ship import ensure_importable
 
 QUERIES: dict = {}
@@ -267,3 +267,11 @@ FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     """The first 2000 phrases of each language."""
     return collocations.collocations(read(spark, sf, "documents").select("lang", "text"))
+
+
+@query("op12_personal_data")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data of each document: base spans, and those that their contexts reveal."""
+    d = personal.scan(read(spark, sf, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(personal.KINDS)]
+    return d.select("doc_id", *counts, F.sha2(personal.listed("base"), 256).alias("base_sha256"), personal.listed("spans").alias("spans"))
