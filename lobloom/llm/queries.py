@@ -273,5 +273,5 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data of each document: base spans, and those that their contexts reveal."""
     d = personal.scan(read(spark, sf, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(personal.KINDS)]
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) AS bigint) AS n_{k}") for i, k in enumerate(personal.KINDS)]
     return d.select("doc_id", *counts, F.sha2(personal.listed("base"), 256).alias("base_sha256"), personal.listed("spans").alias("spans"))
