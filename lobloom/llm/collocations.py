@@ -157,7 +157,7 @@ def packed(first: np.ndarray, rest: list[np.ndarray], n: np.ndarray, skip: int)
     quotient = (local >> np.uint64(64 - q)).astype(np.int64) if q else np.zeros(size, np.int64)
     used = np.zeros(1 << q, bool)
     used[quotient] = True
-    last = np.append(quotient[1:] != quotient[:-1], True)
+    last = np.append(quotient[1:] != quotient[:-1], True)[:size]
     keep = -(-(64 - skip - q) // 8)
     remainder = (local << np.uint64(q)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :keep]
     short = np.minimum(n, 255).astype(np.uint8)
