@@ -13,31 +13,45 @@ from lobloom.catalog.sqlgen import fin
 from lobloom.catalog.views import lob_views, sql
 from lobloom.session import shared_folder
 from lobloom.sources.derived import lob, sessions
-from lobloom.streaming import flows
+from lobloom.streaming import flows, processors
 
 V = lob_views()
 END = "end of input"
 
 
-def replay(spark: SparkSession, sf: str, files: int = 3) -> DataFrame:
-    """The event table as a file stream in event order, one file per trigger.
-
-    A last file holds one row of a day after all others, of no stock: it moves the
-    watermark past every session, so that what is still open is closed.
-    """
-    e = lob(spark, sf)
-    root = f"{shared_folder(spark)}/lobloom/replay-{uuid.uuid4().hex}"
-    top, last = e.agg(F.max("row_id"), F.max("date")).first()
+def _files(e: DataFrame, root: str, files: int, parts: range) -> None:
+    """Parts of the event table in event order, one file per trigger, closed by :func:`_end`."""
+    top = e.agg(F.max("row_id")).first()[0]
     part = F.least(F.lit(files - 1), F.floor(F.col("row_id") * files / (top + 1))).cast("int")
-    for i in range(files):
+    for i in parts:
         e.filter(part == i).coalesce(1).write.mode("append").parquet(root)
+
+
+def _end(e: DataFrame, root: str) -> None:
+    """A row of a day after all others, of no stock: it moves the watermark past every session."""
+    top, last = e.agg(F.max("row_id"), F.max("date")).first()
     after = int((datetime.strptime(str(last), "%Y%m%d") + timedelta(days=2)).strftime("%Y%m%d"))
     end = {"symbol": F.lit(END), "date": F.lit(after), "time": F.lit(100_000_000), "row_id": F.lit(top + 1), "source_action": F.lit("ORDER_ADD")}
-    spark.range(1).select(*[
+    e.sparkSession.range(1).select(*[
         end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in e.schema]).write.mode("append").parquet(root)
+
+
+def _stream(spark: SparkSession, e: DataFrame, root: str) -> DataFrame:
     return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(root)
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/lobloom/replay-{uuid.uuid4().hex}"
+
+
+def replay(spark: SparkSession, sf: str, files: int = 3) -> DataFrame:
+    """The event table as a file stream in event order."""
+    e, root = lob(spark, sf), _folder(spark)
+    _files(e, root, files, range(files))
+    _end(e, root)
+    return _stream(spark, e, root)
+
+
 _DD = "dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date, source_recid, CASE WHEN source_recid IS NULL THEN row_id END ORDER BY row_id) AS k FROM lob WHERE source_action='TRADE' AND source_volume>0) WHERE k=1)"
 
 
@@ -67,28 +81,45 @@ def r02_sliding(spark, sf):
     return _bins(spark, flows.flow_bins(flows.with_event_time(replay(spark, sf)), "10 minutes", "5 minutes"))
 
 
-_LATE = "l AS (SELECT *, epoch_ms(strptime(date::VARCHAR, '%Y%m%d'))+ms AS ev, epoch_ms(strptime(date::VARCHAR, '%Y%m%d'))+ms+CASE WHEN row_id%7=0 THEN 180000 ELSE 0 END AS got FROM sess)"
+# Every seventh row comes one file later than its neighbours.
+_LATE = ("l AS (SELECT *, epoch_ms(strptime(date::VARCHAR, '%Y%m%d'))+ms AS ev, row_id*4//(SELECT max(row_id)+1 FROM sess)+(row_id%7=0)::INT AS file FROM sess)",
+         "m AS (SELECT symbol, file, max(ev) AS newest FROM l GROUP BY 1,2)")
 
 
-@query("r06_late_rows", sql(V, _LATE, "m AS (SELECT got//60000 AS mi, max(ev) AS mx FROM l GROUP BY 1)",
-    "s AS (SELECT mi, max(mx) OVER (ORDER BY mi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m)",
-    "SELECT symbol, date, row_id, ms FROM l JOIN s ON s.mi=l.got//60000 WHERE ev<seen-60000"))
+@query("r06_late_rows", sql(V, *_LATE, """
+    SELECT symbol, date, row_id, ms FROM l WHERE ev < (SELECT max(newest) FROM m WHERE m.symbol=l.symbol AND m.file<l.file)-60000"""))
 def r06(spark, sf):
-    e = flows.with_event_time(sessions(lob(spark, sf)))
-    delay = F.when(F.col("row_id") % 7 == 0, 180_000).otherwise(0)
-    e = e.withColumn("arrived", F.timestamp_millis(F.unix_millis("ts") + delay))
-    return flows.late_rows(e, "1 minute").select("symbol", "date", "row_id", F.col("ms").cast("long").alias("ms"))
+    e = sessions(lob(spark, sf))
+    root, top = _folder(spark), e.agg(F.max("row_id")).first()[0]
+    file = F.floor(F.col("row_id") * 4 / (top + 1)).cast("int") + (F.col("row_id") % 7 == 0).cast("int")
+    for i in range(5):
+        e.filter(file == i).coalesce(1).write.mode("append").parquet(root)
+    marked = processors.mark_late(flows.with_event_time(_stream(spark, e, root)), 60_000)
+    return flows.run_once(spark, marked).where("is_late").select("symbol", "date", "row_id", "ms")
+
 
+_CUT = "(SELECT quantile_disc(date, 0.3) FROM lob)"
 
+
+# The stream starts in the middle of the calendar, from history, and is stopped and taken up again on its way.
 @query("r08_signal_with_history", sql(V, """s AS (SELECT symbol, date, coalesce(sum(source_volume) FILTER (source_side='B'),0)::BIGINT AS buy_30m FROM sess WHERE source_action='TRADE' AND source_volume>0 AND ms>=36000000 AND ms<37800000 GROUP BY 1,2)""",
-    "k AS (SELECT DISTINCT symbol, date FROM sess WHERE ms<38400000 AND session='AM')",
+    "k AS (SELECT DISTINCT symbol, date FROM sess WHERE ms<38400000 AND session='AM' AND date>=" + _CUT + ")",
     "SELECT k.symbol, k.date, coalesce(buy_30m,0)::BIGINT AS buy_30m, (SELECT count(*) FROM lob h WHERE h.symbol=k.symbol AND h.date<k.date)::BIGINT AS earlier_rows FROM k LEFT JOIN s USING (symbol, date)"))
 def r08(spark, sf):
-    days = lob(spark, sf).groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
-    history = days.select("symbol", "date", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier_rows"))
-    s = flows.with_history(flows.signal_snapshot(flows.with_event_time(replay(spark, sf))), history)
-    return flows.run_once(spark, s).select("symbol", "date", "buy_30m", "earlier_rows")
+    e = lob(spark, sf)
+    # The day that holds the row at 30 % of the table, as a discrete quantile over days.
+    days = e.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # one row per day of the calendar
+    cut = days.select("date", F.sum("n").over(by).alias("upto")).where(F.col("upto") >= 0.3 * e.count()).agg(F.min("date")).first()[0]
+    history = e.where(F.col("date") < cut).groupBy("symbol").agg(F.count(F.lit(1)).alias("earlier_rows"))
+    rest, root, out = e.where(F.col("date") >= cut), _folder(spark), _folder(spark)
+    for parts, last in ((range(0, 2), False), (range(2, 4), True)):
+        _files(rest, root, 4, parts)
+        if last:
+            _end(rest, root)
+        stream = flows.with_event_time(_stream(spark, e, root))
+        got = flows.run_once(spark, processors.signal_snapshot(stream, history=history), root=out)
+    return got.where(F.col("symbol") != END).select("symbol", "date", "buy_30m", "earlier_rows")
 
 
 @query("r03_r05_r07_stream_chains", sql(V, """x AS (SELECT *, coalesce(source_action='TRADE' AND source_volume>0 AND oid IS NOT NULL, false) AS t FROM sess)""",
@@ -96,7 +127,7 @@ def r08(spark, sf):
     "z AS (SELECT *, sum((t AND NOT c)::INTEGER) OVER (PARTITION BY symbol, date, session ORDER BY row_id) AS g FROM y)",
     "SELECT symbol, date, session, any_value(source_side) AS side, any_value(oid) AS order_id, sum(source_volume)::BIGINT AS volume, count(*) AS children, min(row_id) AS first_row, max(row_id) AS last_row, CASE WHEN max(row_id)=any_value(top) THEN 'censored' ELSE 'closed' END AS status FROM (SELECT *, max(row_id) OVER (PARTITION BY symbol, date, session) AS top FROM z) WHERE t GROUP BY symbol, date, session, g"))
 def r05(spark, sf):
-    s = flows.trade_chains(flows.with_event_time(replay(spark, sf)))
+    s = processors.trade_chains(flows.with_event_time(replay(spark, sf)))
     return flows.run_once(spark, s).select(
         "symbol", "date", "session", "side", "order_id", "volume", "children", "first_row", "last_row", "status")
 
@@ -105,5 +136,5 @@ def r05(spark, sf):
     arg_max(mid,row_id) FILTER (mid IS NOT NULL AND ms<37800000) AS last_mid, coalesce(sum(source_volume) FILTER (t AND source_side='B' AND ms>=37800000),0)::BIGINT AS future_buy_10m, coalesce(sum(source_volume) FILTER (t AND source_side='S' AND ms>=37800000),0)::BIGINT AS future_sell_10m, count(*) FILTER (ms>=37800000) AS future_events
    FROM (SELECT *, source_action='TRADE' AND source_volume>0 AS t FROM sess WHERE ms<38400000) GROUP BY 1,2)""", fin("SELECT * FROM s", "last_mid")))
 def r04(spark, sf):
-    s = flows.signal_snapshot(flows.with_event_time(replay(spark, sf)))
-    return rounded(flows.run_once(spark, s))
+    s = processors.signal_snapshot(flows.with_event_time(replay(spark, sf)))
+    return rounded(flows.run_once(spark, s).where(F.col("symbol") != END).drop("earlier_rows"))

@@ -7,21 +7,16 @@ resumable and history comes from a static table joined to the stream.
 
 from __future__ import annotations
 
-import sys
 import uuid
-from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lobloom.functions import expr as X
 from lobloom.session import shared_folder
 
 DAY_MS = 86_400_000
-SIGNAL_MS, LABEL_MS = 37_800_000, 38_400_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def with_event_time(events: DataFrame) -> DataFrame:
@@ -55,149 +50,20 @@ def flow_bins(events: DataFrame, width: str = "5 minutes", slide: str | None = N
         "symbol", F.col("window.start").alias("bin_start"), F.col("window.end").alias("bin_end"), "buy_volume", "sell_volume", "trades")
 
 
-def late_rows(events: DataFrame, watermark: str) -> DataFrame:
-    """Batch check on a stored stream: rows that arrived after their watermark.
+def run_once(spark: SparkSession, stream: DataFrame, mode: str = "append", root: str | None = None) -> DataFrame:
+    """Drain the available input into a table in the shared folder and read it back.
 
-    Needs ``arrived`` (arrival time); the watermark is the largest earlier event
-    time per arrival minute less the allowed delay.
+    A second call with the same ``root`` goes on from the checkpoint of the first.
     """
-    minute = F.date_trunc("minute", "arrived")
-    per = events.groupBy(minute.alias("_m")).agg(F.max("ts").alias("_max"))
-    from pyspark.sql import Window
-
-    w = Window.orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
-    seen = per.withColumn("_seen", F.max("_max").over(w)).drop("_max")
-    return events.withColumn("_m", minute).join(seen, "_m").filter(
-        F.col("ts") < F.col("_seen") - F.expr(f"interval {watermark}")).drop("_m", "_seen")
-
-
-CHAIN_OUT = ("symbol string, date int, session string, side string, order_id long, volume long, children long, "
-             "first_row long, last_row long, first_ms long, last_ms long, status string")
-CHAIN_STATE = "side string, order_id long, volume long, children long, first_row long, last_row long, first_ms long, last_ms long, seen_row long"
-
-
-def _chain_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    cols = ["side", "order_id", "volume", "children", "first_row", "last_row", "first_ms", "last_ms"]
-    names = ["symbol", "date", "session", *cols, "status"]
-    symbol, date, session = key
-    held = state.get if state.exists else None
-    if state.hasTimedOut:
-        state.remove()
-        if held and held[3]:
-            yield pd.DataFrame([[symbol, date, session, *held[:8], "censored"]], columns=names)
-        return
-    rows = pd.concat(list(batches)).sort_values("row_id", kind="stable")
-    seen = held[8] if held else -1
-    late = rows["row_id"] <= seen
-    out = [pd.DataFrame({
-        "symbol": symbol, "date": date, "session": session, "side": r.source_side, "order_id": None, "volume": r.source_volume,
-        "children": 0, "first_row": r.row_id, "last_row": r.row_id, "first_ms": r.ms, "last_ms": r.ms, "status": "order_break"},
-        index=[0]) for r in rows[late].itertuples()]
-    rows = rows[~late]
-    if len(rows):
-        trade = rows["is_trade"].to_numpy()
-        same = (rows["source_side"].eq(rows["source_side"].shift()) & rows["oid"].eq(rows["oid"].shift())
-                & rows["is_trade"] & rows["is_trade"].shift(fill_value=False))
-        joins = bool(held and held[3] and trade[0] and rows["source_side"].iloc[0] == held[0] and rows["oid"].iloc[0] == held[1])
-        run = (~same).cumsum()
-        g = rows.assign(run=run).loc[trade].groupby("run").agg(
-            side=("source_side", "first"), order_id=("oid", "first"), volume=("source_volume", "sum"), children=("row_id", "size"),
-            first_row=("row_id", "first"), last_row=("row_id", "last"), first_ms=("ms", "first"), last_ms=("ms", "last"))
-        chains = [list(r) for r in g[cols].itertuples(index=False)]
-        if held and held[3]:
-            if joins:
-                c = chains[0]
-                chains[0] = [c[0], c[1], c[2] + held[2], c[3] + held[3], held[4], c[5], held[6], c[7]]
-            else:
-                chains.insert(0, list(held[:8]))
-        last_row = int(rows["row_id"].iloc[-1])
-        is_open = bool(trade[-1])
-        closed = chains[:-1] if is_open else chains
-        if closed:
-            out.append(pd.DataFrame([[symbol, date, session, *c, "closed"] for c in closed], columns=names))
-        tail = chains[-1] if is_open else [None, None, 0, 0, 0, 0, 0, 0]
-        clean = [tail[0], *[None if v is None else int(v) for v in tail[1:]]]
-        state.update((*clean, last_row))
-        end = 41_400_000 if session == "AM" else 53_820_000
-        day = pd.Timestamp(str(date)).value // 1_000_000
-        state.setTimeoutTimestamp(max(day + end, state.getCurrentWatermarkMs() + 1))
-    for o in out:
-        yield o[names]
-
-
-def trade_chains(events: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Contiguous trades of one aggressor per (symbol, day, session).
-
-    Any other row closes the chain; a chain still open when the watermark passes
-    the session end is emitted as censored; a row that goes back in row order is
-    reported as an order break and left out.
-    """
-    e = events.filter(X.in_session()).select(
-        "symbol", "date", X.session_of().alias("session"), "row_id", "ms", "ts", "source_side", "source_volume",
-        X.own_side_id().alias("oid"),
-        F.coalesce((F.col("source_action") == "TRADE") & (F.col("source_volume") > 0) & X.own_side_id().isNotNull(), F.lit(False)).alias("is_trade"))
-    return e.withWatermark("ts", delay).groupBy("symbol", "date", "session").applyInPandasWithState(
-        _chain_step, CHAIN_OUT, CHAIN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-SIGNAL_OUT = ("symbol string, date int, buy_30m long, sell_30m long, last_mid double, future_buy_10m long, future_sell_10m long, future_events long")
-SIGNAL_STATE = "buy long, sell long, mid double, mid_row long, fbuy long, fsell long, fevents long"
-
-
-def _signal_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = list(state.get) if state.exists else [0, 0, None, -1, 0, 0, 0]
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([[key[0], key[1], held[0], held[1], held[2], held[4], held[5], held[6]]],
-                           columns=["symbol", "date", "buy_30m", "sell_30m", "last_mid", "future_buy_10m", "future_sell_10m", "future_events"])
-        return
-    for b in batches:
-        before, after = b["ms"] < SIGNAL_MS, (b["ms"] >= SIGNAL_MS) & (b["ms"] < LABEL_MS)
-        window, t = before & (b["ms"] >= 36_000_000), b["is_trade"]
-        buy = b["source_side"] == "B"
-        held[0] += int(b.loc[window & t & buy, "source_volume"].sum())
-        held[1] += int(b.loc[window & t & ~buy, "source_volume"].sum())
-        held[4] += int(b.loc[after & t & buy, "source_volume"].sum())
-        held[5] += int(b.loc[after & t & ~buy, "source_volume"].sum())
-        held[6] += int(after.sum())
-        books = b.loc[before & b["mid"].notna()]
-        if len(books):
-            i = books["row_id"].idxmax()
-            if int(books.at[i, "row_id"]) > held[3]:
-                held[2], held[3] = float(books.at[i, "mid"]), int(books.at[i, "row_id"])
-    state.update(tuple(held))
-    day = pd.Timestamp(str(key[1])).value // 1_000_000
-    state.setTimeoutTimestamp(max(day + LABEL_MS, state.getCurrentWatermarkMs() + 1))
-
-
-def signal_snapshot(events: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """10:30 flow and mid with 10-minute labels, emitted by a timer at 10:40."""
-    e = events.filter(X.in_window(X.AM_OPEN, X.AM_CLOSE) & (F.col("ms") < LABEL_MS)).select(
-        "symbol", "date", "row_id", "ms", "ts", "source_side", "source_volume",
-        F.coalesce((F.col("source_action") == "TRADE") & (F.col("source_volume") > 0), F.lit(False)).alias("is_trade"),
-        F.when(X.book_ok("strict"), (X.best("bid").cast("double") + X.best("ask")) / 2.0).alias("mid"))
-    return e.withWatermark("ts", delay).groupBy("symbol", "date").applyInPandasWithState(
-        _signal_step, SIGNAL_OUT, SIGNAL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def with_history(stream: DataFrame, history: DataFrame, keys: Sequence[str] = ("symbol", "date")) -> DataFrame:
-    """Join per-day history (thresholds, fill odds) kept as a table: the resume point."""
-    return stream.join(history, list(keys), "left")
-
-
-def run_once(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Drain the available input into a table in the shared folder and read it back."""
-    root = f"{shared_folder(spark)}/lobloom/stream-{uuid.uuid4().hex}"
+    root = root or f"{shared_folder(spark)}/lobloom/stream-{uuid.uuid4().hex}"
     out = f"{root}/out"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
-    def save(df: DataFrame, _epoch: int) -> None:
-        df.write.mode("append" if mode == "append" else "overwrite").parquet(out)
+    def save(df: DataFrame, epoch: int) -> None:
+        # A batch that is run again after a failure replaces its own rows.
+        df.write.mode("overwrite").parquet(f"{out}/batch={epoch}" if mode == "append" else out)
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(
         availableNow=True).foreachBatch(save).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
-# State functions travel with the query, so workers need no copy of this module.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
