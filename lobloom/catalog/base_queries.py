@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lobloom.catalog.book_queries import CH, PW, QT, RT, SIG, _SC
-from lobloom.catalog.registry import query, rounded
+from lobloom.catalog.book_queries import BP, CH, FP, PR, PRN, PW, QT, RT, SIG, WP, _SC
+from lobloom.catalog.registry import ORACLES, query, rounded
 from lobloom.catalog.sqlgen import avg_rank, fin, pct
 from lobloom.catalog.views import CONTROLS, PANEL, STUDY, lob_views, sql
 from lobloom.functions import expr as X
@@ -17,7 +17,7 @@ from lobloom.operators import history as H
 from lobloom.operators import lifecycle as L
 from lobloom.operators.asof import asof
 from lobloom.operators.ordered import dense_order, shift_dense
-from lobloom.plans import impact, primitives, summaries
+from lobloom.plans import impact, primitives, summaries, window_path
 from lobloom.plans import evaluation as E
 from lobloom.session import shared_folder, stage
 from lobloom.sources import readers as R
@@ -48,15 +48,31 @@ def clock_scan(spark, sf):
     return e.groupBy(*DAY, "source_action").agg(F.count(F.lit(1)).alias("n"), F.sum("source_volume").alias("volume"))
 
 
-@query("s01_s04_file_scan_round_trip", sql(V, "SELECT symbol, date, count(*) AS n, sum(source_volume)::BIGINT AS volume, max(time) AS last_time FROM lob GROUP BY 1,2"))
+def _event_files(spark, sf) -> str:
+    """The event table as month/symbol files, once per session and input."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FILES:
+        root = f"{shared_folder(spark)}/lobloom/files-{uuid.uuid4().hex}"
+        R.write_event_files(lob(spark, sf), root)
+        _FILES[key] = root
+    return _FILES[key]
+
+
+_FILES: dict = {}
+# Two months, so that a look-back can cross a month end.
+_MONTHS = "(SELECT DISTINCT date//100 AS m FROM lob ORDER BY m LIMIT 2)"
+
+
+@query("s01_s04_file_scan_round_trip", sql(V, f"""SELECT symbol, count(*) AS n, sum(source_volume)::BIGINT AS volume, max(time) AS last_time, count(DISTINCT date//100) AS files
+    FROM lob WHERE date//100 IN {_MONTHS} AND time>=93000000 AND time<145700000 GROUP BY 1"""))
 def file_scan(spark, sf):
-    """Writes month/symbol files and reads them back with the symbol from the path."""
-    out = f"{shared_folder(spark)}/lobloom/files-{uuid.uuid4().hex}"
-    e = lob(spark, sf)
-    (e.withColumns({"m": F.floor(F.col("date") / 100).cast("string"), "s": F.col("symbol")}).drop("symbol")
-     .repartition("m", "s").write.partitionBy("m", "s").parquet(out))
-    back = spark.read.parquet(out).withColumnRenamed("s", "symbol")
-    return back.groupBy(*DAY).agg(F.count(F.lit(1)).alias("n"), F.sum("source_volume").alias("volume"), F.max("time").alias("last_time"))
+    """Two months of month/symbol files: only their folders are opened, two columns and a clock range read."""
+    root = _event_files(spark, sf)
+    months = [str(r.m) for r in lob(spark, sf).select(F.floor(F.col("date") / 100).alias("m")).distinct().orderBy("m").limit(2).collect()]
+    e = R.read_events(spark, root, ["date", "time", "source_volume"], (93000000, 145700000), months)
+    return e.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("source_volume").alias("volume"), F.max("time").alias("last_time"),
+        F.count_distinct(F.floor(F.col("date") / 100)).alias("files"))
 
 
 _CSV = "symbol string, date int, ret double, cap double, style1 double"
@@ -81,12 +97,28 @@ def lending(spark, sf):
     return rounded(R.read_lending_balances(spark, out))
 
 
-@query("s06_certified_inputs", """SELECT '202401' AS month, 'SYM' || c_custkey AS symbol, '/data/202401/SYM' || c_custkey || '.parquet' AS path, c_mktsegment<>'BUILDING' AS is_certified FROM customer""")
+_UNIVERSE = "un AS (SELECT symbol, CASE WHEN crc%5=0 THEN 2 ELSE 1 END AS security_category FROM (SELECT DISTINCT symbol, length(symbol)+right(symbol, 3)::INT AS crc FROM lob))"
+
+
+def _universe(spark, sf):
+    c = F.length("symbol") + F.right("symbol", F.lit(3)).cast("int")
+    return lob(spark, sf).select("symbol").distinct().select("symbol", F.when(c % 5 == 0, 2).otherwise(1).alias("security_category"))
+
+
+@query("s06_certified_inputs", sql(V, _UNIVERSE, "SELECT DISTINCT (date//100)::VARCHAR AS month, symbol, security_category=1 AS is_certified FROM lob JOIN un USING (symbol)"))
 def s06(spark, sf):
-    c = read_table(spark, sf, "customer").withColumn("symbol", F.concat(F.lit("SYM"), F.col("c_custkey").cast("string")))
-    files = c.select(F.concat(F.lit("/data/202401/"), F.col("symbol"), F.lit(".parquet")).alias("path"))
-    universe = c.select("symbol", F.when(F.col("c_mktsegment") == "BUILDING", 2).otherwise(1).alias("security_category"))
-    return R.certified_inputs(files, universe)
+    """The files on disk, each with whether its symbol is a stock of the universe."""
+    files = R.list_files(spark, _event_files(spark, sf))
+    return R.certified_inputs(files, _universe(spark, sf)).select("month", "symbol", "is_certified")
+
+
+@query("s06_certified_scan", sql(V, _UNIVERSE, "SELECT symbol, count(*) AS n, sum(source_volume)::BIGINT AS volume FROM lob JOIN un USING (symbol) WHERE security_category=1 GROUP BY 1"))
+def s06_scan(spark, sf):
+    """Reads the certified files of an input list; a file outside the universe would stop the job."""
+    inputs = R.certified_inputs(R.list_files(spark, _event_files(spark, sf)), _universe(spark, sf)).filter("is_certified")
+    paths = [r.path for r in R.assert_certified(inputs).filter("is_certified").select("path").collect()]  # the input list: names only
+    return R.read_events(spark, paths, ["source_volume"]).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("source_volume").alias("volume"))
 
 
 @query("s07_point_in_time_universe", """WITH ls AS (SELECT o_custkey AS symbol, min(o_orderdate)::DATE AS listed, CASE WHEN count(*)%3=0 THEN max(o_orderdate)::DATE END AS delisted FROM orders GROUP BY 1),
@@ -141,6 +173,20 @@ def s14(spark, sf):
     return R.pending_only(li.select("symbol", "month").distinct(), li.filter(F.col("l_returnflag") == "R"))
 
 
+@query("s14_month_rerun", """SELECT l_suppkey AS symbol, strftime(l_shipdate,'%Y%m') AS month, count(*) AS n, sum(l_quantity)::BIGINT AS quantity FROM lineitem GROUP BY 1, 2""")
+def s14_rerun(spark, sf):
+    """A table by month in which every third month was left half done and is run again: each month is replaced once."""
+    li = read_table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.date_format("l_shipdate", "yyyyMM").alias("month"), "l_quantity", "l_returnflag")
+    out = f"{shared_folder(spark)}/lobloom/months-{uuid.uuid4().hex}"
+    done = lambda rows: rows.groupBy("symbol", "month").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
+    again = F.col("month").cast("int") % 3 == 0
+    R.replace_partitions(done(li.filter(~again | (F.col("l_returnflag") == "N"))), out, ["month"])
+    R.replace_partitions(done(li.filter(again)), out, ["month"])
+    R.replace_partitions(done(li.filter(again)), out, ["month"])
+    back = spark.read.schema("symbol long, n long, quantity long, month string").parquet(out)
+    return back.select("symbol", "month", "n", "quantity")
+
+
 @query("p08_add_class", sql(V, """SELECT s.symbol, s.date, s.row_id, CASE WHEN s.symbol LIKE 'SZ%' OR s.oid IS NULL THEN 'unclassified' WHEN ft<row_id THEN 'aggressive_remainder' ELSE 'genuine_passive' END AS add_class
   FROM sess s LEFT JOIN (SELECT symbol, date, source_side AS sd, oid, min(row_id) AS ft FROM sess WHERE source_action='TRADE' AND oid IS NOT NULL GROUP BY 1,2,3,4) t ON t.symbol=s.symbol AND t.date=s.date AND t.oid=s.oid AND sd=source_side WHERE source_action='ORDER_ADD'"""))
 def p08(spark, sf):
@@ -450,3 +496,32 @@ s1 AS (SELECT *, (cb[1]+ca[1])/2.0::DOUBLE-(pb[1]+pa[1])/2.0::DOUBLE AS d FROM s
         "active_take_mid_gap active_take_mid_gap_signed all_mid_gap active_take_share")))
 def f01(spark, sf):
     return rounded(summaries.fifo_active_take(_snapshots(spark, sf)))
+
+
+@query("s12_f01_json_snapshots", ORACLES["f01_fifo_active_take"])
+def s12(spark, sf):
+    """Snapshots as JSON lines with broken lines among them, read back with their types into the FIFO measure."""
+    out = f"{shared_folder(spark)}/lobloom/snapshots-{uuid.uuid4().hex}"
+    rows = _snapshots(spark, sf)
+    rows.write.json(out)
+    spark.range(3).select(F.lit('{"symbol": "SH600000", "row_id": "not a num').alias("value")).write.mode("append").text(out)
+    good, _ = R.read_snapshots(spark, out)
+    return rounded(summaries.fifo_active_take(good))
+
+
+@query("p15_full_coverage", sql(V, PR, PRN, BP, FP, WP, fin("SELECT symbol, date, book30m_coverage_ratio, book5m_coverage_ratio FROM wp WHERE book30m_coverage_ratio>=0.999999 AND book5m_coverage_ratio>=0.999999",
+    "book30m_coverage_ratio book5m_coverage_ratio")))
+def p15(spark, sf):
+    """Window paths whose book was known throughout: the gate before every window-path study."""
+    full = window_path.full_coverage(window_path.window_path(lob(spark, sf)))
+    return rounded(full.select(*DAY, "book30m_coverage_ratio", "book5m_coverage_ratio"))
+
+
+_XM = ("1030", "1045", "1100", "1445")
+
+
+@query("x01_fixed_minutes", sql(V, _BARS, "mc AS (SELECT symbol, date, " + ", ".join(f"max(close) FILTER (stamp='{t}') AS c{t}" for t in ("1015", *_XM)) + " FROM bars GROUP BY 1,2)",
+    fin("SELECT symbol, date, " + ", ".join(f"c{t}/c1015-1 AS ret_1015_{t}, abs(c{t}/c1015-1) AS abs_ret_1015_{t}" for t in _XM) + " FROM mc WHERE c1015>0",
+        " ".join(f"ret_1015_{t} abs_ret_1015_{t}" for t in _XM))))
+def x01_minutes(spark, sf):
+    return rounded(E.fixed_minute_returns(_bars(spark, sf), "1015", _XM))

@@ -276,11 +276,13 @@ _SH = "coalesce(({a}-{b})/nullif({a}+{b},0)::DOUBLE,0)"
     """lb0 AS (SELECT *, CASE WHEN ok THEN (b1+a1)/2.0::DOUBLE END AS m FROM sr),
 lb1 AS (SELECT *, last_value(m IGNORE NULLS) OVER (PARTITION BY symbol, date ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM lb0),
 lb AS (SELECT symbol, date, coalesce(sum(source_volume) FILTER (w AND trd AND source_side='B'),0)::BIGINT AS future_buy_volume, coalesce(sum(source_volume) FILTER (w AND trd AND source_side='S'),0)::BIGINT AS future_sell_volume, count(*) FILTER (w) AS future_event_count,
+    count(*) FILTER (w AND trd AND source_side='B') AS future_buy_count, count(*) FILTER (w AND trd AND source_side='S') AS future_sell_count,
     sqrt(coalesce(sum(ln(m/pm)**2) FILTER (w),0))*10000 AS future_realized_vol_bps, count(ln(m/pm)) FILTER (w) AS future_mid_moves, max_by({'b':b1,'a':a1,'bd':bid3,'ad':ask3},row_id) FILTER (ok AND ms<37800000) AS nw, max_by({'b':b1,'a':a1,'bd':bid3,'ad':ask3},row_id) FILTER (ok AND ms<38400000) AS en
   FROM (SELECT *, ms>=37800000 AND ms<38400000 AS w FROM lb1) GROUP BY 1,2),
 pf AS (SELECT symbol, date, state, max(pred_fill) FILTER (side='B') AS pred_fill_buy, max(cell_n) FILTER (side='B') AS fill_history_buy, max(pred_fill) FILTER (side='S') AS pred_fill_sell, max(cell_n) FILTER (side='S') AS fill_history_sell FROM fpb WHERE distance='best' GROUP BY 1,2,3),
 s30 AS (SELECT gs.* EXCLUDE (grid), CASE WHEN buy_cut IS NOT NULL AND sell_cut IS NOT NULL THEN 'B'||(active_buy_volume>buy_cut)::INTEGER||'S'||(active_sell_volume>sell_cut)::INTEGER ELSE 'unknown' END AS state FROM gs LEFT JOIN ct ON ct.symbol=gs.symbol AND ct.date=gs.date AND ct.bk=gs.grid//1800000 WHERE grid=37800000)""",
     fin(f"""SELECT * EXCLUDE (nw, en), {_SH.format(a='active_buy_volume', b='active_sell_volume')} AS active_net_share, {_SH.format(a='chain_buy_volume', b='chain_sell_volume')} AS chain_net_share, coalesce(multi_chain_count/nullif(chain_count,0)::DOUBLE,0) AS multi_chain_share,
+      chain_count-multi_chain_count AS single_chain_count, future_buy_volume-future_sell_volume AS future_net_flow, future_buy_volume+future_sell_volume AS future_total_active_volume,
       aggressive_add_buy-aggressive_add_sell AS quote_aggressive_net, near_cancel_sell-near_cancel_buy AS quote_cancel_net, {_sp('nw')} AS spread_bps, nw.bd::BIGINT AS bid_depth3, nw.ad::BIGINT AS ask_depth3, {_bi('nw')} AS book_imbalance3, pred_fill_buy-pred_fill_sell AS fill_opportunity_diff,
       {_sp('en')} AS end_spread_bps, en.bd::BIGINT AS end_bid_depth3, en.ad::BIGINT AS end_ask_depth3 FROM s30 JOIN pf USING (symbol,date,state) JOIN lb USING (symbol,date) WHERE pred_fill_buy IS NOT NULL AND pred_fill_sell IS NOT NULL AND nw IS NOT NULL""",
       "future_realized_vol_bps pred_fill_buy pred_fill_sell active_net_share chain_net_share multi_chain_share spread_bps book_imbalance3 fill_opportunity_diff end_spread_bps")))

@@ -575,7 +575,7 @@ def x37(spark, sf):
     return rounded(out, 5)
 
 
-_NP = ["symbol", "date", "domain", "active_buy_volume", "active_sell_volume", "active_count", "near_cancel_buy", "near_cancel_sell", "bid_depth3", "ask_depth3", "pred_fill_buy", "pred_fill_sell", "book_imbalance3", "spread_bps"]
+_NP = ["symbol", "date", "domain", "active_buy_volume", "active_sell_volume", "active_count", "near_cancel_buy", "near_cancel_sell", "bid_depth3", "ask_depth3", "pred_fill_buy", "pred_fill_sell", "book_imbalance3", "spread_bps", "fill_history_buy", "fill_history_sell"]
 _NPD = ("m1 np01_execution_pressure np02_fillability np02_logit_fillability np03_confirmation np05_cancel_intensity np05_abs_cancel_imbalance np05_signed_cancel_imbalance np05_buy_cancel_shock np05_sell_cancel_shock "
         "np01_m1_linear np01_m1_cubic np02_activity_residual np04_flow_minus_book")
 NPSQL = [f"""
@@ -583,11 +583,11 @@ np0 AS (SELECT symbol, date, domain, (active_buy_volume-active_sell_volume)/(act
   (pred_fill_buy+pred_fill_sell)/2 AS np02_fillability, (ln(pred_fill_buy/(1-pred_fill_buy))+ln(pred_fill_sell/(1-pred_fill_sell)))/2 AS np02_logit_fillability,
   (near_cancel_buy+near_cancel_sell)/(bid_depth3+ask_depth3+1e-12) AS np05_cancel_intensity, abs(near_cancel_sell-near_cancel_buy)/(near_cancel_buy+near_cancel_sell+1e-12) AS np05_abs_cancel_imbalance,
   (near_cancel_sell-near_cancel_buy)/(near_cancel_buy+near_cancel_sell+1e-12) AS np05_signed_cancel_imbalance, near_cancel_buy/(bid_depth3+1e-12) AS np05_buy_cancel_shock, near_cancel_sell/(ask_depth3+1e-12) AS np05_sell_cancel_shock,
-  ln(1+active_buy_volume+active_sell_volume) AS lv, ln(1+active_count) AS lc, ln(1+bid_depth3+ask_depth3) AS ld, spread_bps, book_imbalance3 AS bk, count(*) OVER (PARTITION BY date, domain) AS slice_n FROM study),
+  ln(1+active_buy_volume+active_sell_volume) AS lv, ln(1+active_count) AS lc, ln(1+bid_depth3+ask_depth3) AS ld, ln(1+fill_history_buy) AS hb, ln(1+fill_history_sell) AS hs, spread_bps, book_imbalance3 AS bk, count(*) OVER (PARTITION BY date, domain) AS slice_n FROM study),
 np1 AS (SELECT *, m1*np01_execution_pressure AS np03_confirmation, m1*m1 AS m2, m1*m1*m1 AS m3, bk*bk AS b2, bk*bk*bk AS b3, abs(m1) AS am, abs(np01_execution_pressure) AS ae, abs(bk) AS ab FROM np0 WHERE slice_n>=15),
 np2 AS (SELECT *, quantile_cont(am, {1 / 3}) OVER g AS mlo, quantile_cont(am, {2 / 3}) OVER g AS mhi, quantile_cont(ae, {1 / 3}) OVER g AS elo, quantile_cont(ae, {2 / 3}) OVER g AS ehi, quantile_cont(ab, {2 / 3}) OVER g AS bhi FROM np1 WINDOW g AS (PARTITION BY date, domain))""",
     residual("l1", "np2", DD, {"np01_m1_linear": "np01_execution_pressure"}, ["m1"]), residual("l2", "l1", DD, {"np01_m1_cubic": "np01_execution_pressure"}, ["m1", "m2", "m3"]),
-    residual("l3", "l2", DD, {"np02_activity_residual": "np02_fillability"}, ["lv", "lc", "spread_bps", "ld"]), residual("l4", "l3", DD, {"np04_flow_minus_book": "m1"}, ["bk", "b2", "b3"])]
+    residual("l3", "l2", DD, {"np02_activity_residual": "np02_fillability"}, ["lv", "lc", "hb", "hs", "spread_bps", "ld"]), residual("l4", "l3", DD, {"np04_flow_minus_book": "m1"}, ["bk", "b2", "b3"])]
 
 
 @query("f38_fill_pressure_candidates", sql(STUDY, *NPSQL, fin(f"""SELECT symbol, date, domain, slice_n, {_NPD.replace(' ', ', ')},

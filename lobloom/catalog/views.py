@@ -102,7 +102,7 @@ study AS (
   SELECT *, CASE WHEN prev_cap<500000 THEN 'low' WHEN prev_cap<5000000 THEN 'mid' ELSE 'high' END || '_' ||
       CASE WHEN symbol LIKE 'SH688%' THEN 'star' WHEN price<10 THEN 'lt10' ELSE 'ge10' END AS domain,
     ((bid5-ask5)/(bid5+ask5)) AS endpoint_book, (flow5-flow30) AS flow_shift, (book5-book30) AS book_shift,
-    buy5 AS active_buy_volume, sell5 AS active_sell_volume, n_obs AS active_count, style5*10 AS near_cancel_buy, style3*4 AS near_cancel_sell,
+    buy5 AS active_buy_volume, sell5 AS active_sell_volume, n_obs AS active_count, n_obs*3+style3 AS fill_history_buy, depth+style1*2 AS fill_history_sell, style5*10 AS near_cancel_buy, style3*4 AS near_cancel_sell,
     style3*3 AS aggressive_add_buy, style5*6 AS aggressive_add_sell, (flow/5) AS active_net_share, (flow1/5) AS chain_net_share,
     (style2/100) AS multi_chain_share, (0.1::DOUBLE+style1/200) AS pred_fill_buy, (0.1::DOUBLE+style2/200) AS pred_fill_sell,
     bid5 AS bid_depth3, ask5 AS ask_depth3, bid30 AS end_bid_depth3, ask30 AS end_ask_depth3, style2 AS spread_bps, style1 AS end_spread_bps,

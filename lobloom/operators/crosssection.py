@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_ONE_IN = 16_384
+WIDE = 512
 
 
 def attach(df: DataFrame, group: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
@@ -142,26 +143,38 @@ def position(
     """1-based position (running weight) of each row in its group's order.
 
     ``order`` must identify a row.  A hashed sample of the keys (one in
-    ``one_in``) gives the bounds: every eighth sampled key cuts a group into
-    ranges of about ``8 * one_in`` rows, however large it is, ranked on their own.
-    Positions are exact whatever the sample, because each range adds the size of
-    those before it.  An ordinary group has no bound and stays whole.
+    ``one_in``) cuts a group into ranges of about ``8 * one_in`` rows, however
+    large it is, ranked on their own.  A row finds its range in two steps: first
+    among the few keys of a sample ``WIDE`` times thinner, then among the bounds
+    of that wide range, so no row is compared with all bounds of its group and no
+    list holds them.  Positions are exact whatever the sample, because each range
+    adds the size of those before it.  An ordinary group has no bound and stays
+    whole.
     """
     group = list(group)
     w_ = F.col(weight) if weight else F.lit(1).cast("long")
     key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     keyed = df.withColumn("_key", key)
-    # Sampled rows only reach the list, so the aggregate stays small.
-    sample = (
-        keyed.filter(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0)
-        .groupBy(*group).agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
+
+    def below(bounds: str) -> Column:
+        return F.when(F.col(bounds).isNull(), 0).otherwise(
+            F.size(F.filter(bounds, lambda b: b < F.col("_key")))).cast("long")
+
+    # Sampled rows only reach the lists, so the aggregates stay small.
+    sample = keyed.withColumn("_hash", F.xxhash64(*order)).filter(
+        F.pmod("_hash", F.lit(one_in)) == 0).select(*group, "_key", "_hash")
+    listed = F.sort_array(F.collect_list("_key"))
+    top = sample.filter(F.pmod("_hash", F.lit(one_in * WIDE)) == 0).groupBy(*group).agg(listed.alias("_top"))
+    fine = (
+        sample.join(top, group, "left").withColumn("_wide", below("_top"))
+        .groupBy(*group, "_wide").agg(listed.alias("_keys"))
+        .select(*group, "_wide", F.filter("_keys", lambda _k, i: i % 8 == 7).alias("_bounds"))
+    )
+    ranged = (
+        keyed.join(top, group, "left").withColumn("_wide", below("_top")).drop("_top")
+        .join(fine, [*group, "_wide"], "left")
+        .withColumn("_range", F.struct("_wide", below("_bounds").alias("_narrow"))).drop("_bounds", "_wide")
     )
-    bounds = sample.select(
-        *group, F.filter("_keys", lambda _k, i: i % 8 == 7).alias("_bounds"))
-    at = F.when(
-        F.col("_bounds").isNotNull(), F.size(F.filter("_bounds", lambda b: b < F.col("_key")))
-    ).otherwise(0)
-    ranged = keyed.join(bounds, group, "left").withColumn("_range", at).drop("_bounds")
     whole = Window.partitionBy(*group)
     before = (
         ranged.groupBy(*group, "_range").agg(F.sum(w_).alias("_rw"))

@@ -12,6 +12,8 @@ from lobloom.operators.ordered import SPAN, carry_forward
 
 # The largest double over the smallest one is below 2^2100.
 LASTING = 2_100
+# Half-lives of a super-block: values up to 2^120 scaled by them stay finite.
+REACH = 900
 
 
 def decayed_sums(
@@ -27,15 +29,17 @@ def decayed_sums(
     """Sum of earlier and current values, each halved every ``half_life`` of ``clock``.
 
     Values are scaled to the start of their clock block, so a running sum inside
-    the block is enough; what earlier blocks leave is a list of block totals, as
-    far back as a double can hold what is left of them (``LASTING`` half-lives:
-    anything older has become exactly 0 in a step-by-step decay too).
+    the block is enough. What earlier blocks leave is a running sum again: block
+    totals are scaled to the start of their super-block, which is as long as a
+    double's exponent allows (``REACH`` half-lives), so a decayed total is kept as a
+    plain number and a power of two. Of earlier super-blocks only the last few
+    count: what is older than ``LASTING`` half-lives has become exactly 0 in a
+    step-by-step decay too. Every step is a running sum or a bounded look back.
     ``block / half_life`` must stay well under 1000 to avoid overflow.
     """
     keys = list(keys)
-    if block / half_life > 900:
+    if block / half_life > REACH:
         raise ValueError("block too long for the half-life")
-    reach = math.ceil(LASTING * half_life / block) + 1
     b = F.floor(F.col(clock) / F.lit(block)).cast("long")
     tagged = df.withColumn("_block", b)
     up = F.pow(F.lit(2.0), (F.col(clock) - F.col("_block") * block) / F.lit(float(half_life)))
@@ -44,15 +48,26 @@ def decayed_sums(
     run = carry_forward(
         tagged, [*keys, "_block"], order, sums={f"_r_{n}": F.col(f"_v_{n}") for n in values},
         inclusive=True, span=span)
+    many = max(1, int(REACH * half_life / block))  # blocks of a super-block
+    halvings = block / half_life
+    inside = (F.col("_block") - F.col("_super") * many) * F.lit(halvings)
     totals = tagged.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    w = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-reach, -1)
-    past = totals.withColumn("_past", F.collect_list(F.struct("_block", *[f"_t_{n}" for n in values])).over(w))
+    totals = totals.withColumn("_super", F.floor(F.col("_block") / many).cast("long"))
+    totals = totals.withColumns({f"_t_{n}": F.col(f"_t_{n}") * F.pow(F.lit(2.0), inside) for n in values})
+    w = Window.partitionBy(*keys, "_super").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_t_{n}").over(w), F.lit(0.0)) for n in values})
+    older = math.ceil(LASTING / (many * halvings))
+    sums = totals.groupBy(*keys, "_super").agg(*[F.sum(f"_t_{n}").alias(f"_s_{n}") for n in values])
+    back = Window.partitionBy(*keys).orderBy("_super").rangeBetween(-older, -1)
+    sums = sums.withColumn("_past", F.collect_list(F.struct("_super", *[f"_s_{n}" for n in values])).over(back))
 
     def left(n):
-        return F.aggregate("_past", F.lit(0.0), lambda s, x: s + x[f"_t_{n}"] * F.pow(
-            F.lit(2.0), -(F.col("_block") - x["_block"]) * F.lit(block / half_life)))
+        return F.aggregate("_past", F.lit(0.0), lambda s, x: s + x[f"_s_{n}"] * F.pow(
+            F.lit(2.0), -(F.col("_super") - x["_super"]) * F.lit(many * halvings)))
 
-    carry = past.select(*keys, "_block", *[left(n).alias(f"_c_{n}") for n in values])
+    sums = sums.select(*keys, "_super", *[left(n).alias(f"_o_{n}") for n in values])
+    carry = totals.join(sums, [*keys, "_super"]).select(*keys, "_block", *[
+        ((F.col(f"_i_{n}") + F.col(f"_o_{n}")) * F.pow(F.lit(2.0), -inside)).alias(f"_c_{n}") for n in values])
     down = F.pow(F.lit(2.0), -(F.col(clock) - F.col("_block") * block) / F.lit(float(half_life)))
     out = run.join(carry, [*keys, "_block"], "left")
     return out.withColumns({

@@ -6,6 +6,7 @@ plain windows by symbol are safe here.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,15 +70,38 @@ def surprise(
     return df
 
 
+EWMA_CHUNK = 64
+
+
 def recursive_ewma(df: DataFrame, keys: Sequence[str], value: str, span: int, out: str, order: str = "date") -> DataFrame:
-    """EWMA over the whole series, seeded with its first value.
+    """EWMA over the whole series, seeded with its first value; a missing value leaves it as it is.
 
-    The prefix list is as long as the series of trading days at most.
+    Each step is an affine map of the last state, s -> keep * s + a * x, and affine
+    maps compose. A series is cut into chunks of ``EWMA_CHUNK`` values: inside a
+    chunk the composed map is a running sum of values scaled to the chunk's start;
+    what comes before is the composition of the chunks before, a list of one pair
+    of numbers per chunk.
     """
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_h", F.collect_list(value).over(w)).withColumn(
-        out, ewma_of(F.col("_h"), span)
-    ).drop("_h")
+    a = 2.0 / (span + 1.0)
+    if a >= 1.0:  # a span of one keeps the last value only
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.last(F.col(value).cast("double"), ignorenulls=True).over(w))
+    keep, chunk = 1.0 - a, min(EWMA_CHUNK, max(1, int(600 / -math.log2(1.0 - a))))
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.greatest(F.col("_n") - 1, F.lit(0))
+    step = F.pmod(at, F.lit(chunk))
+    part = F.when(F.col("_n") == 1, F.col(value)).otherwise(F.lit(a) * F.col(value)) * F.pow(F.lit(keep), -F.col("_step"))
+    rows = df.withColumn("_n", F.count(value).over(upto)).withColumns({"_chunk": F.floor(at / chunk), "_step": step.cast("double")})
+    rows = rows.withColumn("_own", F.sum(F.when(F.col(value).isNotNull(), part)).over(inside) * F.pow(F.lit(keep), "_step"))
+    whole = rows.groupBy(*keys, "_chunk").agg(
+        F.max_by("_own", "_n").alias("_end"), F.pow(F.lit(keep), F.max("_step") + 1).alias("_left"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = whole.select(*keys, "_chunk", F.aggregate(
+        F.collect_list(F.struct("_left", "_end")).over(before), F.lit(0.0), lambda s, c: c["_left"] * s + c["_end"]).alias("_carry"))
+    return rows.join(carried, [*keys, "_chunk"]).withColumn(
+        out, F.when(F.col("_n") > 0, F.coalesce("_own", F.lit(0.0)) + F.pow(F.lit(keep), F.col("_step") + 1) * F.col("_carry"))
+    ).drop("_n", "_chunk", "_step", "_own", "_carry")
 
 
 def persistence(df: DataFrame, keys: Sequence[str], value: str, prefix: str, order: str = "date", n: int = 5) -> DataFrame:

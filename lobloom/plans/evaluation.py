@@ -45,6 +45,20 @@ def forward_returns(panel: DataFrame, ret: str = "ret", horizons: Sequence[int]
         "symbol", "date", *[e.alias(n) for n, e in out.items()])
 
 
+def fixed_minute_returns(bars: DataFrame, entry: str, exits: Sequence[str]) -> DataFrame:
+    """Returns from the close of one minute to those of later ones, signed and absolute.
+
+    ``bars(symbol, date, stamp, close)``; a stock-day without a positive entry close is left out, a missing exit is NULL.
+    """
+    close = {t: F.max(F.when(F.col("stamp") == t, F.col("close"))).alias(f"_c{t}") for t in (entry, *exits)}
+    g = bars.filter(F.col("stamp").isin(list(close))).groupBy("symbol", "date").agg(*close.values()).filter(F.col(f"_c{entry}") > 0)
+    out = []
+    for t in exits:
+        r = F.col(f"_c{t}") / F.col(f"_c{entry}") - 1.0
+        out += [r.alias(f"ret_{entry}_{t}"), F.abs(r).alias(f"abs_ret_{entry}_{t}")]
+    return g.select("symbol", "date", *out)
+
+
 def plain_t(value, cond=None) -> dict[str, Column]:
     """Mean and t of a column (sample deviation), as aggregates."""
     v = X.col(value)

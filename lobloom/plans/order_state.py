@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import insort
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,20 +119,28 @@ def bucket_of(ms: Column) -> Column:
 def history_thresholds(samples: DataFrame) -> DataFrame:
     """Median of the symbol's own samples on earlier days, per half-hour bucket.
 
-    A series has at most four samples per day, so the ordered list is bounded by
-    the calendar.
+    A series (one stock, one bucket) has a few numbers a day, so it is bounded by
+    the calendar; it is walked once, with its values kept in order.
     """
     s = samples.select("symbol", "date", bucket_of(F.col("grid")).alias("bucket"), "active_buy_volume", "active_sell_volume")
-    w = Window.partitionBy("symbol", "bucket").orderBy("date").rangeBetween(Window.unboundedPreceding, -1)
-    lists = s.withColumns({"_b": F.sort_array(F.collect_list("active_buy_volume").over(w)),
-                           "_s": F.sort_array(F.collect_list("active_sell_volume").over(w))})
 
-    def middle(a):
-        n = F.size(a)
-        return F.when(n > 0, (F.try_element_at(a, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(a, F.floor(n / 2).cast("int") + 1)) / 2.0)
-
-    return lists.groupBy("symbol", "date", "bucket").agg(
-        F.any_value(middle(F.col("_b")), True).alias("buy_cut"), F.any_value(middle(F.col("_s")), True).alias("sell_cut"))
+    def so_far(key, samples):
+        """Medians of all earlier days, for each day of one series."""
+        samples = samples.sort_values("date")
+        kept = {c: [] for c in ("active_buy_volume", "active_sell_volume")}
+        out = []
+        for date, day in samples.groupby("date"):
+            middle = []
+            for c, values in kept.items():
+                n = len(values)
+                middle.append((values[n // 2] + values[(n - 1) // 2]) / 2.0 if n else None)
+                for v in day[c]:
+                    insort(values, v)
+            out.append((key[0], int(date), key[1], *middle))
+        return pd.DataFrame(out, columns=["symbol", "date", "bucket", "buy_cut", "sell_cut"])
+
+    return s.groupBy("symbol", "bucket").applyInPandas(
+        so_far, "symbol string, date int, bucket string, buy_cut double, sell_cut double")
 
 
 def state_name(buy, sell) -> Column:
@@ -214,6 +223,8 @@ def labels(rows: DataFrame) -> DataFrame:
     return m.groupBy(*DAY).agg(
         X.sum0("source_volume", trade & (c("source_side") == "B")).alias("future_buy_volume"),
         X.sum0("source_volume", trade & (c("source_side") == "S")).alias("future_sell_volume"),
+        X.count_if(trade & (c("source_side") == "B")).alias("future_buy_count"),
+        X.count_if(trade & (c("source_side") == "S")).alias("future_sell_count"),
         X.count_if(inside).alias("future_event_count"),
         (F.sqrt(F.coalesce(F.sum(sq), F.lit(0.0))) * 10000.0).alias("future_realized_vol_bps"),
         F.count(sq).alias("future_mid_moves"), last(SIGNAL).alias("_now"), last(LABEL_END).alias("_end"),
@@ -247,6 +258,9 @@ def order_state_1030(events: DataFrame, minimum: int = 100) -> DataFrame:
         "active_net_share": share(c("active_buy_volume"), c("active_sell_volume")),
         "chain_net_share": share(c("chain_buy_volume"), c("chain_sell_volume")),
         "multi_chain_share": F.coalesce(X.ratio("multi_chain_count", "chain_count"), F.lit(0.0)),
+        "single_chain_count": c("chain_count") - c("multi_chain_count"),
+        "future_net_flow": c("future_buy_volume") - c("future_sell_volume"),
+        "future_total_active_volume": c("future_buy_volume") + c("future_sell_volume"),
         "quote_aggressive_net": c("aggressive_add_buy") - c("aggressive_add_sell"),
         "quote_cancel_net": c("near_cancel_sell") - c("near_cancel_buy"),
         "spread_bps": spread("_now"), "bid_depth3": c("_now.bid3"), "ask_depth3": c("_now.ask3"),
@@ -254,8 +268,3 @@ def order_state_1030(events: DataFrame, minimum: int = 100) -> DataFrame:
         "fill_opportunity_diff": c("pred_fill_buy") - c("pred_fill_sell"),
         "end_spread_bps": spread("_end"), "end_bid_depth3": c("_end.bid3"), "end_ask_depth3": c("_end.ask3"),
     }).drop("_now", "_end", "_last")
-
-
-def used_columns() -> Sequence[str]:
-    return ("symbol", "date", "time", "row_id", "source_action", "source_side", "source_recid", "source_price",
-            "source_volume", "source_buy_order_id", "source_sell_order_id", "bid_px", "ask_px", "bid_vol", "ask_vol")

@@ -94,6 +94,7 @@ def fill_pressure_candidates(df: DataFrame, minimum: int = 15) -> DataFrame:
         "np05_buy_cancel_shock": cb / (c("bid_depth3") + eps),
         "np05_sell_cancel_shock": cs / (c("ask_depth3") + eps),
         "_lv": F.log1p(buy + sell), "_ld": F.log1p(depth), "_lc": F.log1p(c("active_count")),
+        "_hb": F.log1p(c("fill_history_buy")), "_hs": F.log1p(c("fill_history_sell")),
     })
     m1, ep, book = c("m1"), c("np01_execution_pressure"), c("book_imbalance3")
     base = base.withColumns({
@@ -108,7 +109,7 @@ def fill_pressure_candidates(df: DataFrame, minimum: int = 15) -> DataFrame:
     rows = residualise(rows, SLICE, {
         "np01_m1_linear": ("np01_execution_pressure", ["m1"]),
         "np01_m1_cubic": ("np01_execution_pressure", ["m1", "_m2", "_m3"]),
-        "np02_activity_residual": ("np02_fillability", ["_lv", "_lc", "spread_bps", "_ld"]),
+        "np02_activity_residual": ("np02_fillability", ["_lv", "_lc", "_hb", "_hs", "spread_bps", "_ld"]),
         "np04_flow_minus_book": ("m1", ["book_imbalance3", "_b2", "_b3"]),
     })
     weak, strong = c("_am") <= c("_mlo"), c("_am") >= c("_mhi")

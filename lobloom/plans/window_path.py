@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,6 +188,11 @@ def window_path(events: DataFrame) -> DataFrame:
         "endpoint_minus_book5m": c("endpoint_bi3") - c("book5m_bi3_twap")})
 
 
+def full_coverage(paths: DataFrame, windows: Sequence[str] = ("book30m", "book5m"), least: float = 0.999999) -> DataFrame:
+    """Paths whose book was valid over (all but rounding of) each of ``windows``; a missing ratio does not pass."""
+    return paths.filter(reduce(and_, [F.col(f"{w}_coverage_ratio") >= least for w in windows]))
+
+
 def quality_report(paths: DataFrame) -> DataFrame:
     """Output checks in one pass: keys, coverage bounds and nested windows."""
     c = F.col

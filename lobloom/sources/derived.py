@@ -221,6 +221,7 @@ def build_study(base: DataFrame) -> DataFrame:
         "bid_depth3": c("bid5"), "ask_depth3": c("ask5"), "end_bid_depth3": c("bid30"), "end_ask_depth3": c("ask30"),
         "spread_bps": c("style2"), "end_spread_bps": c("style1"),
         "future_buy_volume": c("depth") * 2, "future_sell_volume": c("style5") * 30,
+        "fill_history_buy": c("n_obs") * 3 + c("style3"), "fill_history_sell": c("depth") + c("style1") * 2,
         "future_event_count": c("n_obs").cast("double"), "future_realized_vol_bps": c("style3"),
     }).withColumn("book_imbalance3", c("endpoint_book")).filter(c("domain").isNotNull())
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,39 @@ def symbol_of_path(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.parquet$", 1)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for ``path``: works wherever Spark can write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def write_event_files(events: DataFrame, root: str) -> None:
+    """Events as ``<month>/<symbol>.parquet``, sorted by row id; files of the same name are replaced.
+
+    Spark writes one file for each month and symbol; the driver only renames them.
+    """
+    spark = events.sparkSession
+    tmp = f"{root.rstrip('/')}/_new-{uuid.uuid4().hex}"
+    keyed = events.withColumns({"_m": F.floor(F.col("date") / 100).cast("string"), "_s": F.col("symbol")}).drop("symbol")
+    keyed.repartition("_m", "_s").sortWithinPartitions("_m", "_s", "row_id").write.partitionBy("_m", "_s").option(
+        "maxRecordsPerFile", 0).option("compression", "zstd").parquet(tmp)
+    fs, _ = _hadoop(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for found in fs.globStatus(path(f"{tmp}/_m=*/_s=*/*.parquet")):
+        month, symbol = (found.getPath().toString().split("/")[i].split("=", 1)[1] for i in (-3, -2))
+        fs.mkdirs(path(f"{root}/{month}"))
+        to = path(f"{root}/{month}/{symbol}.parquet")
+        fs.delete(to, False)
+        if not fs.rename(found.getPath(), to):
+            raise OSError(f"could not place {to.toString()}")
+    fs.delete(path(tmp), True)
+
+
+def list_files(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path) of the files under ``root``; their content is not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
+
+
 def read_events(
     spark: SparkSession, paths: Sequence[str] | str, columns: Sequence[str] | None = None,
     clock: tuple[int, int] | None = None, months: Sequence[str] | None = None,
@@ -122,11 +156,20 @@ def limit_states(
     return j.select("symbol", "date", "up_limit", "down_limit", *[e.alias(n) for n, e in out.items()])
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Legacy full-depth rows, with the per-order queues next to the ladders."""
-    fields = [*EVENT_SCHEMA.fields, T.StructField("bid_ordvol", LONGS), T.StructField("ask_ordvol", LONGS)]
-    return spark.read.schema(T.StructType(fields)).parquet(path).withColumn(
-        "symbol", symbol_of_path(F.col("_metadata.file_path")))
+SNAPSHOT_SCHEMA = T.StructType([
+    T.StructField("symbol", T.StringType()), *EVENT_SCHEMA.fields, T.StructField("bid_ordvol", LONGS), T.StructField("ask_ordvol", LONGS),
+    T.StructField("corrupt", T.StringType())])
+
+
+def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Legacy full-depth rows kept as JSON lines, with the per-order queues next to the ladders.
+
+    Typed as declared. Returns the rows, and the lines that are no such row, as text.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", SNAPSHOT_SCHEMA, options).alias("r"))
+    rows = lines.filter(F.col("r.corrupt").isNull()).select("r.*").drop("corrupt")
+    return rows, lines.filter(F.col("r.corrupt").isNotNull()).select("r.corrupt")
 
 
 def read_lending_balances(spark: SparkSession, path: str) -> DataFrame:
@@ -142,6 +185,15 @@ def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Writes ``df`` into its own partitions only: what they held is replaced, other partitions stay.
+
+    Running a month again replaces that month once.
+    """
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+        "compression", "zstd").partitionBy(*by).parquet(path)
+
+
 def pending_only(work: DataFrame, done: DataFrame, keys: Sequence[str] = ("symbol", "month")) -> DataFrame:
     """Work items whose keys are not in the existing output."""
     return work.join(done.select(*keys).distinct(), list(keys), "left_anti")

@@ -133,3 +133,14 @@ def test_hysteresis_matches_loop(spark):
         for s, d, p in sorted(r for r in rows if r[0] == f"s{k}"):
             held = p >= 0.5 if held else p >= 0.8
             assert got[s, d] == held
+
+
+@pytest.mark.parametrize(("one_in", "wide"), [(4, 2), (2, 8), (64, 4)])
+def test_position_with_two_levels_of_ranges(spark, monkeypatch, one_in, wide):
+    monkeypatch.setattr(C, "WIDE", wide)
+    df = spark.range(6000).select(
+        (F.col("id") % 17 == 0).cast("int").alias("g"), (F.xxhash64("id") % 500).alias("x"), F.col("id").alias("k"), (F.col("id") % 3).alias("w"))
+    got = C.position(df, ["g"], [F.col("x"), F.col("k")], weight="w", total="n", one_in=one_in).toPandas()
+    got = got.sort_values(["g", "x", "k"])
+    want = got.groupby("g")["w"]
+    assert len(got) == 6000 and (got["pos"] == want.cumsum()).all() and (got["n"] == want.transform("sum")).all()
