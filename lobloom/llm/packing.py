@@ -34,12 +34,13 @@ from pyspark.sql import types as T
 from lobloom.session import stage
 
 from .tables import ranked
+from .textbatch import column_chunks
 from .tokens import encoder
 
 CAPACITY = 2048
 NODES = 20_000
 WIDTH = 4  # fillings tried at a branch
-ENCODE_ROWS = 256
+ENCODE_BYTES = 2 << 20
 
 Pattern = tuple[int, tuple[int, ...]]  # how many sequences, lengths in each, largest first
 
@@ -57,8 +58,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(batches):
         model = encoder(tokenizer)
         for b in batches:
-            for at in range(0, b.num_rows, ENCODE_ROWS):
-                texts = [t or "" for t in b.column(1).slice(at, ENCODE_ROWS).to_pylist()]
+            for at, raw_texts in column_chunks(b.column(1), ENCODE_BYTES):
+                texts = [t.decode() for t in raw_texts]
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, raw in enumerate(model.encode(texts), at):
                     raw += end

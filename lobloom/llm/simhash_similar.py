@@ -8,9 +8,12 @@ with its position:
 * The distinct shingles of a document are hashed into a signed vector (eight places
   each of ``DIMS``), and every bit is the sign of its product with a fixed random
   direction.
-* Posting lists are kept for runs of ``BAND_BYTES`` positional bytes, so a list
-  stays short at any corpus size that such a run can tell apart. The positions are
-  dealt to runs ``ROUNDS`` times over, each time in another order.
+* Posting lists are kept for runs of ``BAND_BYTES`` positional bytes; the positions are
+  dealt to runs ``ROUNDS`` times over, each time in another order. A posting carries
+  ``SLICE`` bytes of the fingerprint: a member stays in its list only if another
+  one's slice is near enough for a pair at the threshold. Chance meetings, which grow
+  with the square of the corpus, end there, and whole fingerprints are fetched once
+  for lists of the same members.
 * Members of a list are tallied: a pair goes on if it shares as many positional
   bytes as a pair at the threshold does, less three standard deviations, and differs
   in as many bits, plus three standard deviations (of the bits and of the sketch).
@@ -24,7 +27,8 @@ tasks of bounded size; each task returns the links of a spanning forest.
 
 Defined cases: null and empty texts have no shingles and are equal to each other; a
 text with fewer words than a shingle is one shingle; rows that repeat an id are one
-document; rows with a null id have no component.
+document, linked by any of its texts; rows with a null id have no component; further
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ from pyspark.sql import types as T
 
 from lobloom.session import stage
 
-from .tables import components
+from .tables import components, fresh
 from .textbatch import Words, column_chunks, runs_hash
 
 WORDS = 5
@@ -49,6 +53,7 @@ PLACES = 8
 BANDS = 128
 BAND_BYTES = 3
 ROUNDS = 2
+SLICE = 8
 LIST = 2_048
 GROUP_BYTES = 8 << 20
 BROADCAST_ROWS = 500_000
@@ -95,7 +100,7 @@ def sketch(texts: list[bytes], words: int, directions: np.ndarray) -> np.ndarray
     return np.packbits(signs, axis=1)
 
 
-def threshold(similarity: float, width: int) -> tuple[int, int]:
+def threshold(similarity: float, width: int, deviations: int = 3) -> tuple[int, int]:
     """(least number of shared positional bytes, most differing bits) for fingerprints of ``width`` bytes."""
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     same = (1 - differ) ** 8
@@ -103,7 +108,7 @@ def threshold(similarity: float, width: int) -> tuple[int, int]:
     # Shingles that meet in one of DIMS places move the cosine by (1 - cos^2) / sqrt(DIMS), the angle by sin / sqrt(DIMS).
     sketched = math.sin(math.pi * differ) / math.sqrt(DIMS) / math.pi
     deviation = math.sqrt(bits * differ * (1 - differ) + (bits * sketched) ** 2)
-    return int(width * same - 3 * math.sqrt(width * same * (1 - same))), int(differ * bits + 3 * deviation)
+    return int(width * same - deviations * math.sqrt(width * same * (1 - same))), int(differ * bits + deviations * deviation)
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -151,7 +156,7 @@ def _blocked(members: DataFrame, key: str) -> DataFrame:
 
 
 def _shingle_sets(pairs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles): sorted 64-bit hashes of the distinct shingles of the wanted(doc_id), one row for each."""
+    """(rep, shingles): sorted 64-bit hashes of the distinct shingles of the wanted(doc_id), one row for each of its texts."""
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
 
@@ -164,7 +169,61 @@ def _shingle_sets(pairs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets += [h[lo:hi].tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
-    return pairs.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(scan, "rep long, shingles binary").groupBy("rep").agg(F.max("shingles").alias("shingles"))
+    return pairs.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(scan, "rep long, shingles binary").distinct()
+
+
+def _near_members(slices: np.ndarray, bits: int) -> np.ndarray:
+    """Marks members that another one's slice is near to."""
+    near = np.zeros(len(slices), bool)
+    for at in range(0, len(slices), 256):
+        apart = np.bitwise_count(slices[at : at + 256, None] ^ slices[None, :])
+        near[at : at + 256] = (apart <= bits).sum(axis=1) > 1  # each is near to itself
+    return near
+
+
+def _meetings(bits: int, longest: int):
+    """Reads postings (key, rep, slice) in order of their keys.
+
+    Gives (members, null, null) for each list, and (null, key, rep) for members of lists longer than ``longest``.
+    """
+    def scan(batches):
+        key, rep, part = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        hot = None
+        for b in batches:
+            key = np.concatenate([key, np.asarray(b.column(0))])
+            rep = np.concatenate([rep, np.asarray(b.column(1))])
+            part = np.concatenate([part, np.asarray(b.column(2)).view(np.uint64)])
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            # The last list may go on in the next batch, unless it is too long already.
+            done = len(starts) - (sizes[-1] <= longest and key[-1] != hot)
+            over = (sizes > longest) | (key[starts] == hot)
+            yield from out(key, rep, part, starts[:done], sizes[:done], over[:done])
+            cut = starts[done] if done < len(starts) else len(key)
+            hot = int(key[-1]) if cut == len(key) else None
+            key, rep, part = key[cut:], rep[cut:], part[cut:]
+        if len(key):
+            yield from out(key, rep, part, np.array([0]), np.array([len(key)]), np.array([False]))
+
+    def out(key, rep, part, starts, sizes, over):
+        two = starts[(sizes == 2) & ~over]
+        two = two[np.bitwise_count(part[two] ^ part[two + 1]) <= bits]
+        lists = np.sort(np.stack([rep[two], rep[two + 1]], axis=1), axis=1).tolist()
+        for at, n in zip(starts[(sizes > 2) & ~over].tolist(), sizes[(sizes > 2) & ~over].tolist(), strict=True):
+            near = _near_members(part[at : at + n], bits)
+            if near.any():
+                lists.append(np.sort(rep[at : at + n][near]).tolist())
+        long = np.repeat(over, sizes)
+        if len(starts):
+            rest = np.flatnonzero(long) + starts[0]
+            lone = [None] * len(rest)
+            if lists or len(rest):
+                none = pa.nulls(len(lists), pa.int32()), pa.nulls(len(lists), pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(lists + lone, pa.list_(pa.int64())), pa.concat_arrays([none[0], pa.array(key[rest], pa.int32())]),
+                    pa.concat_arrays([none[1], pa.array(rep[rest], pa.int64())])], names=["members", "key", "rep"])
+
+    return scan
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, band_bytes: int = BAND_BYTES,
@@ -192,12 +251,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
             for i in range(band_bytes):
                 key = (key << 8) | p[:, :, i]
             key |= np.arange(len(runs))[None, :] << (8 * band_bytes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.reshape(-1)), b.column(1).take(pa.array(np.repeat(np.arange(len(p)), len(runs))))], names=["key", "rep"])
-
-    postings = classes.select("print", "rep").mapInArrow(post, "key long, rep long")
-    full = stage(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
-    held = _blocked(postings.join(full, "key").withColumn("blocks", F.ceil(F.col("n") / LIST).cast("int")), "key")
+            part = np.ascontiguousarray(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, width)[:, :SLICE]).view("<i8").ravel()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(key.reshape(-1).astype(np.uint32).view(np.int32)), b.column(1).take(pa.array(np.repeat(np.arange(len(p)), len(runs)))),
+                pa.array(np.repeat(part, len(runs)))], names=["key", "rep", "slice"])
+
+    postings = classes.select("print", "rep").mapInArrow(post, "key int, rep long, slice long")
+    met = stage(postings.repartition("key").sortWithinPartitions("key").mapInArrow(
+        _meetings(threshold(similarity, SLICE, 4)[1], LIST), "members array<long>, key int, rep long"), "meetings")
+    short = stage(met.where("members IS NOT NULL").select("members").distinct(), "lists").select(
+        F.monotonically_increasing_id().alias("key"), "members")
+    short = short.select(F.explode("members").alias("rep"), F.struct("key", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("task"), F.lit(0).alias("own"))
+    long = met.where("members IS NULL").select((-1 - F.col("key").cast("long") - (1 << 33)).alias("key"), "rep")
+    full = long.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("blocks"))
+    held = short.unionByName(_blocked(long.join(full, "key"), "key"))
     lists = held.join(classes, "rep").groupBy("task").agg(F.collect_list(F.struct("rep", "own", "print")).alias("m")).where(F.size("m") > 1)
 
     def verify(batches):
@@ -228,5 +295,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; null ids stay."""
     found = near_duplicates(docs, similarity, words, doc_id=doc_id, text=text)
-    gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, docs[doc_id] == gone[name], "left_anti")

@@ -13,6 +13,15 @@ def parallel(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ranked(df: DataFrame, key: str, order: list[Column], salt: Column, out: str = "rank") -> DataFrame:
     """Adds a gapless rank from 0 of each row among the rows of its ``key``.
 

@@ -91,8 +91,9 @@ def text_chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[
 
 def column_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """The same over an Arrow column, a few rows at a time; null counts as empty."""
-    for at in range(0, len(column), CHUNK_ROWS):
-        for first, texts in text_chunks(binary_list(column.slice(at, CHUNK_ROWS)), limit):
+    rows = CHUNK_ROWS * max(1, limit // CHUNK_BYTES)
+    for at in range(0, len(column), rows):
+        for first, texts in text_chunks(binary_list(column.slice(at, rows)), limit):
             yield at + first, texts
 
 

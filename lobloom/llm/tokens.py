@@ -2,9 +2,10 @@
 
 The pre-tokenizers used here cut at blanks, so a text's ids are the ids of its
 blank-separated parts, one after the other. Each part is encoded once per Python
-worker and then looked up; the cache is emptied when it holds ``CACHE_WORDS``
-parts, which bounds a worker's memory. Only for tokenizers that drop white space
-(``drops_blanks``); others encode whole texts.
+worker and then looked up. The cache has two generations of ``CACHE_WORDS / 2`` parts:
+a full one becomes the old one, parts found there move back, and what no text has
+used since is forgotten. Whether a tokenizer's file allows this is tried on a probe
+text with every kind of blank and stop; others encode whole texts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
+
+# Blanks, stops, digits, marks and letters side by side: ids of parts must add up to ids of the whole.
+PROBE = "A b.  c, d.e 1.5 x.\ny, (z) über naïve 数据. it's  \n\n.,; Ab\tc end."
 
 # A full stop or comma after a letter or digit and before a blank is a token of its own.
 _STOP = re.compile(r"[.,](?=[ \n])(?<=[^\W_][.,])")
@@ -25,16 +29,21 @@ class WordEncoder:
     def __init__(self, path: str):
         self.model = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         ends = np.zeros(self.model.get_vocab_size(), bool)
         for token, i in self.model.get_vocab().items():
             ends[i] = token.endswith("</w>")
         self.ends = ends
+        self.by_parts = self._by_parts([PROBE])[0] == self._whole([PROBE])[0]
 
     def _learn(self, parts: set[str]) -> None:
-        missing = list(parts - self.cache.keys())
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = list(parts)
+        missing = parts - self.cache.keys()
+        if len(self.cache) + len(missing) > CACHE_WORDS // 2:
+            self.old, self.cache = self.cache, {}
+            missing = parts
+        back = missing & self.old.keys()
+        self.cache.update((w, self.old[w]) for w in back)
+        missing = missing - back
         plain = [w for w in missing if w.isalpha()]
         # Words of letters only are encoded as one text; each ends with its one end-of-word token.
         for at in range(0, len(plain), 5_000):
@@ -54,13 +63,19 @@ class WordEncoder:
         for word, e in zip(words, self.model.encode_batch(words, add_special_tokens=False), strict=True):
             self.cache[word] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
         parts = [_STOP.sub(r" \g<0>", t).replace("\n", " ").split(" ") for t in texts]
         self._learn(set().union(*parts))
         get = self.cache.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        return self._by_parts(texts) if self.by_parts else self._whole(texts)
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:

@@ -86,3 +86,24 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     texts = [edited(base, 2, k) for k in range(20)] + [prose(6, 300)]
     got = {r.doc_id: r.component_id for r in ss.near_duplicates(docs(spark, texts)).collect()}
     assert {got[i] for i in range(20)} == {0} and got[20] == 20
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    d = docs(spark, [prose(1, 200), prose(2, 200), prose(3, 200), prose(2, 200)]).selectExpr("CASE WHEN doc_id = 1 THEN 0 ELSE doc_id END AS doc_id", "text")
+    got = {r.doc_id: r.component_id for r in ss.near_duplicates(d).collect()}
+    assert got == {0: 0, 2: 2, 3: 0}
+
+
+def test_lists_over_batches_and_long_lists():
+    import numpy as np
+    import pyarrow as pa
+
+    keys = [1, 1, 2, 3, 3, 3, 3, 3, 3, 3, 4, 4, 4, 9, 9]
+    parts = [0, 1, 0, *[0] * 7, 0, (1 << 62) - 1, 1, 0, (1 << 40) - 1]
+    rows = [pa.array(keys, pa.int32()), pa.array(range(100, 115), pa.int64()), pa.array(parts, pa.int64())]
+    for size in (1, 2, 3, 4, 15):
+        batches = [pa.RecordBatch.from_arrays([c.slice(i, size) for c in rows], names=["key", "rep", "slice"]) for i in range(0, 15, size)]
+        got = [r for b in ss._meetings(8, 4)(batches) for r in b.to_pylist()]
+        assert sorted(r["members"] for r in got if r["members"]) == [[100, 101], [110, 112]]
+        assert [(r["key"], r["rep"]) for r in got if not r["members"]] == [(3, k) for k in range(103, 110)]
+    assert ss._near_members(np.arange(600, dtype=np.uint64) << np.uint64(20), 1).all()
