@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import fresh, result_name
 from .textbatch import Words, binary_list, column_chunks, covered, runs_hash
 
 WIDTH = 10
@@ -126,20 +127,19 @@ def scan(docs: DataFrame, items: DataFrame, width: int = WIDTH, text: str = "tex
     if len(held) > broadcast_windows:
         return _scan_joined(docs, windows, text)
     shared = docs.sparkSession.sparkContext.broadcast(WindowTable(held))
-    return _apply(docs, text, lambda batch, i: None, shared)
+    return _apply(docs, text, None, shared)
 
 
-def _apply(docs: DataFrame, text: str, own, shared) -> DataFrame:
-    schema = T.StructType([*docs.schema.fields, T.StructField("decontamination", _RESULT)])
+def _apply(docs: DataFrame, text: str, own_table: str | None, shared) -> DataFrame:
+    schema = T.StructType([*docs.schema.fields, T.StructField(result_name(docs, "decontamination"), _RESULT)])
     at = docs.columns.index(text)
-    own_table = "__candidates" in docs.columns
     kinds = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("clean_text", pa.string())]
 
     def judge(batches):
         for b in batches:
             cols: list[list] = [[], [], [], []]
             if own_table:
-                given = b.column(b.schema.get_field_index("__candidates")).to_pylist()
+                given = b.column(b.num_columns - 1).to_pylist()
                 parts = (([t], WindowTable([(c["n"], c["hash"], c["words"], c["item"]) for c in given[i] or ()]))
                          for i, t in enumerate(binary_list(b.column(at))))
             else:
@@ -169,20 +169,22 @@ def _scan_joined(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
                         names=["row", "n", "hash"])
 
     # Rows are told apart by their text's digest, not by an id that may repeat.
-    keyed = docs.withColumn("__row", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    seen = keyed.select("__row", text).mapInArrow(cut, "row string, n int, hash long").distinct()
-    found = seen.join(windows, ["n", "hash"]).groupBy("row").agg(
-        F.collect_set(F.struct("n", "hash", "words", "item")).alias("__candidates"))
-    joined = keyed.join(found, keyed["__row"] == found["row"], "left").drop("row", "__row")
-    return _apply(joined, text, None, None).drop("__candidates")
+    row, of, given = fresh(docs, "row"), fresh(docs, "of"), fresh(docs, "candidates")
+    keyed = docs.withColumn(row, F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
+    seen = keyed.select(row, f"`{text}`").mapInArrow(cut, "row string, n int, hash long").distinct()
+    found = seen.join(windows, ["n", "hash"]).groupBy(F.col("row").alias(of)).agg(
+        F.collect_set(F.struct("n", "hash", "words", "item")).alias(given))
+    joined = keyed.join(found, keyed[row] == found[of], "left").drop(row, of)
+    return _apply(joined, text, given, None).drop(given)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, remove: str = "documents", text: str = "text") -> DataFrame:
     """``docs`` without contaminated documents, or without their hit spans (``remove="spans"``)."""
     judged = scan(docs, items, width, text)
+    name = result_name(docs, "decontamination")
     if remove == "documents":
-        return judged.where("decontamination.n_hit = 0").drop("decontamination")
-    return judged.withColumn(text, F.when(F.col(text).isNotNull(), F.col("decontamination.clean_text"))).drop("decontamination")
+        return judged.where(F.col(f"{name}.n_hit") == 0).drop(name)
+    return judged.withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), F.col(f"{name}.clean_text"))).drop(name)
 
 
 def items_digest(items: list[int]) -> str:

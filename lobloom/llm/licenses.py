@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .tables import result_name
 from .textbatch import Words, column_chunks
 
 # Phrases that the query's contract names.
@@ -183,7 +184,7 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] | None = None
     base = BASE_PHRASES if base is None else base
     notices = NOTICES if notices is None else notices
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("licenses", _RESULT)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(result_name(docs, "licenses"), _RESULT)])
 
     def judge(batches):
         machine = automaton(base, notices, tags)

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from lobloom.session import stage
 
-from .tables import components
+from .tables import components, fresh, result_name
 from .textbatch import Words, binary_list, column_chunks, mix, runs_hash, text_chunks
 
 MIN_WORDS = 1
@@ -344,27 +344,28 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, similar
                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated lines cut, and ``line_dedup`` (n_lines, n_removed)."""
     pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    removed = stage(removed_lines(pairs, min_words, k, similarity), "removed").withColumnsRenamed({"doc_id": "__doc", "removed": "__removed"})
+    doc, gone = fresh(docs, "doc"), fresh(docs, "removed")
+    removed = stage(removed_lines(pairs, min_words, k, similarity), "removed").withColumnsRenamed({"doc_id": doc, "removed": gone})
     # A merge join at every size: the removed lines grow with the corpus.
-    joined = docs.join(removed.hint("merge"), F.col(doc_id) == F.col("__doc"), "left").drop("__doc")
+    joined = docs.join(removed.hint("merge"), docs[doc_id] == removed[doc], "left").drop(doc)
     result = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("line_dedup", result)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(result_name(docs, "line_dedup"), result)])
     at, last = docs.columns.index(text), len(docs.columns)
 
     def cut(batches):
         for b in batches:
-            texts, counts, gone = [], [], []
+            texts, counts, cuts = [], [], []
             for t, r in zip(b.column(at).to_pylist(), b.column(last).to_pylist(), strict=True):
                 lines = t.split("\n") if t is not None else []
                 counts.append(len(lines))
-                gone.append(len(r or ()))
+                cuts.append(len(r or ()))
                 if r:
                     drop = set(r)
                     t = "\n".join(x for i, x in enumerate(lines) if i not in drop)
                 texts.append(t)
-            struct = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=result.names)
+            struct = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(cuts, pa.int64())], names=result.names)
             cols = [*b.columns[:last], struct]
             cols[at] = pa.array(texts, b.column(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return joined.select(*[joined[f"`{c}`"] for c in docs.columns], "__removed").mapInArrow(cut, schema)
+    return joined.select(*[joined[f"`{c}`"] for c in docs.columns], gone).mapInArrow(cut, schema)

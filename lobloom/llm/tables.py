@@ -15,8 +15,12 @@ def parallel(df: DataFrame) -> int:
 
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""
+    return result_name(df, f"__{name}")
+
+
+def result_name(df: DataFrame, name: str) -> str:
+    """``name`` for a column of results, with underscores after it where ``df`` has such a column already."""
     taken = {c.lower() for c in df.columns}
-    name = f"__{name}"
     while name.lower() in taken:
         name += "_"
     return name

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from lobloom.session import stage
 
+from .tables import result_name
 from .textbatch import Words, column_chunks, runs_hash
 
 BITS = 18
@@ -198,7 +199,7 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT, text: str = "te
     at = docs.columns.index(text)
     result = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()),
                            T.StructField("p_toxic", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", result)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(result_name(docs, "toxicity"), result)])
 
     def judge(batches):
         m = shared.value
@@ -220,4 +221,5 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT, text: str = "te
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the model finds toxic."""
-    return score(docs, fit(docs, labels)).where("not toxicity.toxic").drop("toxicity")
+    name = result_name(docs, "toxicity")
+    return score(docs, fit(docs, labels)).where(~F.col(f"{name}.toxic")).drop(name)
