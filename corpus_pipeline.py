@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lobloom.llm import decontaminate, linededup, packing, simhash_similar, toxicity
 from lobloom.llm.ship import ensure_importable
+from lobloom.llm.tables import result_name
 from lobloom.session import stage
 
 ORACLE_SQL = None  # training, fingerprints and packing have no SQL form; see tests/llm
@@ -31,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with lines cut that repeat (nearly) in or before them."""
     ensure_importable(spark)
-    out = linededup.dedup_lines(docs).drop("line_dedup")
+    out = linededup.dedup_lines(docs).drop(result_name(docs, "line_dedup"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out
