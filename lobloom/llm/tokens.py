@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 
 # Blanks, stops, digits, marks and letters side by side: ids of parts must add up to ids of the whole.
 PROBE = "A b.  c, d.e 1.5 x.\ny, (z) über naïve 数据. it's  \n\n.,; Ab\tc end."
