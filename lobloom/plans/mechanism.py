@@ -27,6 +27,7 @@ SIDES = ("B", "S")
 HORIZONS = (5, 10, 20, 50)
 HALF_LIVES = (1, 5, 30)
 TRADE_HALF_LIVES = (5, 20, 50)
+PRICE_WINDOWS = (10, 30, 60)
 KEEP = 500
 STRIDE = 10
 NEAR_MID_BPS = 10.0
@@ -147,6 +148,13 @@ def price_states(rows: DataFrame, warmup_until: int, window_s: int = 30, k: floa
     return s.select(*S, "row_id", state.alias("price_state"))
 
 
+def price_window_states(
+    rows: DataFrame, warmup_until: int, windows: Sequence[int] = PRICE_WINDOWS, k: float = 1.5, minimum: int = 1,
+) -> dict[str, DataFrame]:
+    """Price states of several return windows, by name (window and deviations)."""
+    return {f"w{w}_k{k:g}": price_states(rows, warmup_until, w, k, minimum) for w in windows}
+
+
 def moments(df: DataFrame, value: str = "value", keys: Sequence[str] = ("symbol", "date", "mechanism", "variant", "group_key"), weight: Column | None = None) -> DataFrame:
     """Sufficient statistics of finite values with positive weights."""
     v = F.col(value)
@@ -167,20 +175,29 @@ def _explode_stats(df: DataFrame, stats: Sequence[Column]) -> DataFrame:
     return df.withColumn("_s", F.explode(F.array_compact(F.array(*stats)))).select(*DAY, "_s.*")
 
 
-def trigger_labels(states: DataFrame, prices: DataFrame, profile: str = "hl5", horizons: Sequence[int] = HORIZONS, prefix: str = "") -> DataFrame:
+def trigger_labels(
+    states: DataFrame, prices: DataFrame, profile: str = "hl5", horizons: Sequence[int] = HORIZONS, prefix: str = "",
+    trade_profile: str | None = None, price_windows: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
     """Future signed volume, count and heat change k events after a trade, by state.
 
     A label that would pass the session end is dropped (its lead is NULL).
+    ``trade_profile`` adds the labels by the state of the trade clock, for triggers
+    with a state on both clocks; ``price_windows`` adds heat changes by further
+    price states, each under the name of its window.
     """
     c = F.col
     heat = c(f"{profile}_B") + c(f"{profile}_S")
-    run = carry_forward(states.withColumn("heat", heat), S, inclusive=True, sums={
+    second = c(f"{trade_profile}_B") + c(f"{trade_profile}_S") if trade_profile else F.lit(None).cast("double")
+    run = carry_forward(states.withColumns({"heat": heat, "trade_heat": second}), S, inclusive=True, sums={
         "cb": F.coalesce(_vol("B"), F.lit(0)), "cs": F.coalesce(_vol("S"), F.lit(0)),
         "nb": _vol("B").isNotNull().cast("long"), "ns": _vol("S").isNotNull().cast("long")})
-    now = F.struct("cb", "cs", "nb", "ns", "heat")
+    now = F.struct("cb", "cs", "nb", "ns", "heat", "trade_heat")
     ahead = shift_dense(run.withColumn("now", now), S, "seq", {f"f{h}": (c("now"), h) for h in horizons})
     trig = ahead.filter(c("is_trade") & c(f"state_{profile}").isNotNull()).join(prices, [*S, "row_id"], "left").withColumn(
         "price_state", F.coalesce("price_state", F.lit("unknown")))
+    for i, table in enumerate((price_windows or {}).values()):
+        trig = trig.join(table.select(*S, "row_id", c("price_state").alias(f"_price{i}")), [*S, "row_id"], "left")
     sgn = F.when(c("source_side") == "B", 1.0).otherwise(-1.0)
     side, st, pr = c("source_side"), c(f"state_{profile}"), c("price_state")
     g1 = F.concat(F.lit("trigger="), side, F.lit("|state="), st)
@@ -200,11 +217,28 @@ def trigger_labels(states: DataFrame, prices: DataFrame, profile: str = "hl5", h
             _stat("M3", f"{prefix}n{h}_positive_heat", "all", F.greatest(d, F.lit(0.0)), hot),
             _stat("M3", f"{prefix}n{h}_positive_heat", "up_buy", F.greatest(d, F.lit(0.0)), hot & (pr == "up") & (side == "B")),
             _stat("M3", f"{prefix}n{h}_delta_heat", F.when(pr == "up", "buy_up").otherwise("buy_non_up"), d, hot & (side == "B"))]
+        for i, name in enumerate(price_windows or {}):
+            g = F.concat(F.lit("price="), F.coalesce(f"_price{i}", F.lit("unknown")), F.lit("|"), g1)
+            stats.append(_stat("M2", f"{prefix}{name}_n{h}_delta_heat", g, d, hot))
+        if trade_profile:
+            tst, td = c(f"state_{trade_profile}"), f["trade_heat"] - c("trade_heat")
+            t1 = F.concat(F.lit("trigger="), side, F.lit("|state="), tst)
+            on, thot = has & tst.isNotNull(), has & tst.isNotNull() & td.isNotNull()
+            stats += [
+                _stat("M1", f"{trade_profile}_n{h}_future_signed_volume", t1, volume, on),
+                _stat("M1", f"{trade_profile}_n{h}_future_signed_count", t1, count, on),
+                _stat("M2", f"{trade_profile}_n{h}_delta_heat", F.concat(F.lit("price="), pr, F.lit("|"), t1), td, thot),
+                _stat("M3", f"{trade_profile}_n{h}_delta_heat", F.when(pr == "up", "buy_up").otherwise("buy_non_up"), td, thot & (side == "B"))]
     return moments(_explode_stats(trig, stats))
 
 
-def depth_stats(states: DataFrame, profiles: Sequence[str], primary: str, heat_cut: DataFrame) -> DataFrame:
-    """Log depth before every tenth event by state, and daily means split by daily heat."""
+def depth_stats(
+    states: DataFrame, profiles: Sequence[str], primary: str, heat_cut: DataFrame, trade_profile: str | None = None,
+) -> DataFrame:
+    """Log depth before every tenth event by state, and daily means split by daily heat.
+
+    ``trade_profile`` adds the daily means by the state of the trade clock.
+    """
     c = F.col
     sample = states.filter(((c("seq") - 1) % STRIDE == 0) & c("pre").isNotNull())
     stats = [
@@ -213,12 +247,16 @@ def depth_stats(states: DataFrame, profiles: Sequence[str], primary: str, heat_c
         for p in profiles for k in (1, 3, 10) for s in ("bid", "ask")]
     m4 = moments(_explode_stats(sample, stats))
     total = c("pre.bid3") + c("pre.ask3")
-    day = sample.filter(c(f"state_{primary}").isNotNull() & total.isNotNull()).withColumn(
-        "st", F.explode(F.array(c(f"state_{primary}"), F.lit("all")))).groupBy(*DAY, "st").agg(F.avg(F.log1p(total)).alias("value"))
+    kinds = [(c(f"state_{primary}"), "mean_log_total_depth3")]
+    if trade_profile:
+        kinds.append((c(f"state_{trade_profile}"), f"{trade_profile}_mean_log_total_depth3"))
+    picks = [F.when(st.isNotNull(), F.struct(F.lit(n).alias("variant"), label.alias("st"))) for st, n in kinds for label in (st, F.lit("all"))]
+    day = sample.filter(total.isNotNull()).withColumn("_k", F.explode(F.array_compact(F.array(*picks)))).groupBy(
+        *DAY, "_k.variant", "_k.st").agg(F.avg(F.log1p(total)).alias("value"))
     heat = states.groupBy(*DAY).agg(F.coalesce(F.sum(F.when(c("is_trade"), c("source_volume"))), F.lit(0)).alias("daily_heat"))
     heat = heat.join(heat_cut, "symbol", "left").withColumn("heat", F.when(c("daily_heat") > c("heat_cut"), "high").otherwise("low"))
     m5 = day.join(heat, DAY).select(
-        *DAY, F.lit("M5").alias("mechanism"), F.lit("mean_log_total_depth3").alias("variant"),
+        *DAY, F.lit("M5").alias("mechanism"), "variant",
         F.concat(F.lit("heat="), c("heat"), F.lit("|state="), c("st")).alias("group_key"), "value")
     vol = heat.select(*DAY, F.lit("M5").alias("mechanism"), F.lit("daily_active_volume").alias("variant"),
                       F.concat(F.lit("heat="), c("heat")).alias("group_key"), c("daily_heat").cast("double").alias("value"))
@@ -244,18 +282,20 @@ def distance_bucket() -> Column:
     return F.when(out, "outside").when(at, "best").otherwise("near_mid")
 
 
-def passive_outcomes(states: DataFrame, profile: str = "hl5") -> DataFrame:
+def passive_outcomes(states: DataFrame, profile: str = "hl5", trade_profile: str | None = None) -> DataFrame:
     """Fills within 10 / 60 / 300 s and at all, and cancels, of resting orders.
 
     Orders whose id ever traded as aggressor that day are left out.
+    ``trade_profile`` adds every outcome by the state of the trade clock.
     """
     c = F.col
     adds = states.filter((c("source_action") == "ORDER_ADD") & c("source_side").isin(*SIDES) & (c("source_volume") > 0)
                          & c("oid").isNotNull() & c("pre").isNotNull()).withColumn("distance", distance_bucket()).filter(c("distance") != "outside")
     first = first_per_key(
         adds.select(*DAY, c("source_side").alias("side"), c("oid").alias("order_id"), "row_id", "ms", "source_volume", "distance",
-                    F.coalesce(f"state_{profile}", F.lit("unknown")).alias("state")), ORDER, "row_id",
-        ["ms", "source_volume", "distance", "state"])
+                    F.coalesce(f"state_{profile}", F.lit("unknown")).alias("state"),
+                    F.coalesce(f"state_{trade_profile or profile}", F.lit("unknown")).alias("trade_state")), ORDER, "row_id",
+        ["ms", "source_volume", "distance", "state", "trade_state"])
     trades = states.filter("is_trade")
     own = trades.select(*DAY, c("source_side").alias("side"), c("oid").alias("order_id")).filter(c("order_id").isNotNull()).distinct()
     first = first.join(own, ORDER, "left_anti")
@@ -269,10 +309,13 @@ def passive_outcomes(states: DataFrame, profile: str = "hl5") -> DataFrame:
         *[X.sum0("_v", fill & (age <= s * 1000)).alias(f"v{s}") for s in (10, 60, 300)],
         X.sum0("_v", fill).alias("vall"), X.sum0("_v", ~fill).alias("cancelled"))
     o = first.join(agg, ORDER, "left").withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in ("v10", "v60", "v300", "vall", "cancelled")})
-    g = F.concat(F.lit("side="), c("side"), F.lit("|state="), c("state"), F.lit("|distance="), c("distance"))
-    stats = [_stat("M6", "submitted_orders", g, F.lit(1)), _stat("M6", "submitted_volume", g, c("source_volume")), _stat("M6", "cancel_volume", g, c("cancelled"))]
-    for n, col in (("10s", "v10"), ("60s", "v60"), ("300s", "v300"), ("continuous", "vall")):
-        stats += [_stat("M6", f"filled_orders_{n}", g, (c(col) > 0).cast("int")), _stat("M6", f"filled_volume_{n}", g, c(col))]
+    stats = []
+    for pre, state in [("", "state")] + ([(f"{trade_profile}_", "trade_state")] if trade_profile else []):
+        g = F.concat(F.lit("side="), c("side"), F.lit("|state="), c(state), F.lit("|distance="), c("distance"))
+        stats += [_stat("M6", f"{pre}submitted_orders", g, F.lit(1)), _stat("M6", f"{pre}submitted_volume", g, c("source_volume")),
+                  _stat("M6", f"{pre}cancel_volume", g, c("cancelled"))]
+        for n, col in (("10s", "v10"), ("60s", "v60"), ("300s", "v300"), ("continuous", "vall")):
+            stats += [_stat("M6", f"{pre}filled_orders_{n}", g, (c(col) > 0).cast("int")), _stat("M6", f"{pre}filled_volume_{n}", g, c(col))]
     return moments(_explode_stats(o, stats))
 
 
