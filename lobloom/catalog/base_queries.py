@@ -382,14 +382,14 @@ def f39(spark, sf):
     return summaries.stratified_symbols(un, 40, DOMAINS)
 
 
-_CD = """SELECT symbol, date, coalesce(m.n, 0) AS multi_chain_rows, a.* EXCLUDE (symbol, date, vol), a.vol::DOUBLE AS chain_volume, m.vol/a.vol::DOUBLE AS multi_chain_volume_share, m.mean_multi_duration, m.median_multi_duration
+_CD = """SELECT symbol, date, coalesce(m.n, 0) AS multi_chain_rows, a.* EXCLUDE (symbol, date, vol), a.vol::DOUBLE AS chain_volume, m.vol/a.vol::DOUBLE AS multi_chain_volume_share, m.mean_multi_duration, m.median_multi_duration, m.p90_multi_duration
   FROM (SELECT symbol, date, count(*) AS chain_rows, sum(volume) AS vol, sum(trade_count)/count(*)::DOUBLE AS mean_fragments, median(trade_count)::DOUBLE AS median_fragments, quantile_cont(trade_count, 0.9)::DOUBLE AS p90_fragments,
       sum(acceleration_seconds)/count(acceleration_seconds) AS mean_acceleration, count(acceleration_seconds) AS acceleration_rows FROM chr GROUP BY 1,2) a
-  LEFT JOIN (SELECT symbol, date, count(*) AS n, sum(volume) AS vol, sum(duration_seconds)/count(duration_seconds) AS mean_multi_duration, median(duration_seconds) AS median_multi_duration
+  LEFT JOIN (SELECT symbol, date, count(*) AS n, sum(volume) AS vol, sum(duration_seconds)/count(duration_seconds) AS mean_multi_duration, median(duration_seconds) AS median_multi_duration, quantile_cont(duration_seconds, 0.9) AS p90_multi_duration
       FROM chr WHERE trade_count>1 GROUP BY 1,2) m USING (symbol, date)"""
 
 
-@query("f36_chain_day", sql(V, PW, CH, fin(_CD, "chain_volume multi_chain_volume_share mean_fragments median_fragments p90_fragments mean_multi_duration median_multi_duration mean_acceleration")))
+@query("f36_chain_day", sql(V, PW, CH, fin(_CD, "chain_volume multi_chain_volume_share mean_fragments median_fragments p90_fragments mean_multi_duration median_multi_duration p90_multi_duration mean_acceleration")))
 def f36a(spark, sf):
     return rounded(summaries.chain_day(primitives.primitives(lob(spark, sf))["chains"]))
 

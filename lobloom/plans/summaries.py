@@ -33,7 +33,7 @@ def chain_day(chains: DataFrame) -> DataFrame:
         X.ratio(F.sum(F.when(multi, c("volume"))), F.sum("volume")).alias("multi_chain_volume_share"),
         F.avg("trade_count").alias("mean_fragments"), F.percentile("trade_count", F.lit(0.5)).alias("median_fragments"),
         F.percentile("trade_count", F.lit(0.9)).alias("p90_fragments"), F.avg(dur).alias("mean_multi_duration"),
-        F.percentile(dur, F.lit(0.5)).alias("median_multi_duration"), F.avg("acceleration_seconds").alias("mean_acceleration"),
+        F.percentile(dur, F.lit(0.5)).alias("median_multi_duration"), F.percentile(dur, F.lit(0.9)).alias("p90_multi_duration"), F.avg("acceleration_seconds").alias("mean_acceleration"),
         F.count("acceleration_seconds").alias("acceleration_rows"))
 
 
@@ -141,6 +141,59 @@ def price_cap_grid(features: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("dates"), F.sum("stocks").alias("stock_days"), F.avg("i5").alias("immediate_bps_5s"), F.avg("r30").alias("reversal_share_30s"))
 
 
+def date_equal(
+    rows: DataFrame, keys: Sequence[str], means: dict[str, str], counts: dict[str, str] | None = None, by: str = "month", errors: dict[str, str] | None = None,
+) -> DataFrame:
+    """Means over the rows of a date, then over dates, per key and month (and ALL) or exchange.
+
+    ``means``: output -> column; ``counts`` are summed; ``errors`` gives the standard
+    error over dates of some output.  A date counts once however many rows it has.
+    """
+    if by == "exchange":
+        rows = rows.withColumn("exchange", F.substring("symbol", 1, 2))
+    g = ["exchange", *keys] if by == "exchange" else list(keys)
+    d = rows.groupBy("date", *g).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.avg(v).alias(n) for n, v in means.items()], *[F.sum(v).alias(n) for n, v in (counts or {}).items()])
+    d = d if by == "exchange" else with_month_and_all(d)
+    return d.groupBy(by, *keys).agg(
+        F.count(F.lit(1)).alias("dates"), F.sum("_n").alias("stock_days"), *[F.sum(n).alias(n) for n in counts or {}],
+        *[F.avg(n).alias(n) for n in means],
+        *[(F.stddev_samp(v) / F.sqrt(F.count(F.lit(1)).cast("double"))).alias(n) for n, v in (errors or {}).items()])
+
+
+# Fixed output names of the depth-bin and grid tables: output -> stock-day column.
+BIN_MEANS = {
+    "rehit_share": "rehit_share", "restored_share_closed": "restored_share_closed", "trade_removal_share_closed": "trade_removal_share_closed",
+    "censored_share": "censored_share", "median_lifetime_seconds": "median_lifetime_closed"}
+GRID_MEANS = {
+    "thin_share": "new_quote_thin_share_lt_0_5", "rehit_share": "new_quote_rehit_share", "restored_share": "new_quote_restored_share",
+    "reversal_30s": "impact_reversal_share_30s", "reversal_60s": "impact_reversal_share_60s",
+    "multi_chain_volume_share": "multi_trade_chain_volume_share", "chain_hhi": "chain_volume_hhi"}
+
+
+def depth_bin_summary(bins: DataFrame, by: str = "month") -> DataFrame:
+    """Quote outcomes by relative depth, each date alike; by month with the re-hit error, or by exchange."""
+    return date_equal(bins, ["depth_bin"], BIN_MEANS, {"quote_events": "quote_events"}, by, {"rehit_se": "rehit_share"} if by == "month" else None)
+
+
+def liquidity_grid(enriched: DataFrame, by: str = "month") -> DataFrame:
+    """Thin quotes, reversals and chains on the price x cap tercile grid, each date alike."""
+    return date_equal(enriched, ["price_tercile", "cap_tercile"], GRID_MEANS, None, by)
+
+
+def chain_structure(signals: DataFrame, days: DataFrame) -> DataFrame:
+    """Chain counts, concentration, fragments and durations: stock-day means by month and over all."""
+    j = signals.join(days.drop("chain_volume"), DAY, "left")
+    means = {
+        "mean_chain_count": "chain_count", "mean_multi_chain_count": "multi_trade_chain_count", "mean_multi_chain_volume_share": "multi_trade_chain_volume_share",
+        "mean_chain_volume_hhi": "chain_volume_hhi", "mean_chain_volume_entropy": "chain_volume_entropy",
+        "mean_largest_chain_volume_share": "largest_chain_volume_share", "mean_chain_fragments": "mean_fragments",
+        "mean_stock_day_p90_fragments": "p90_fragments", "mean_multi_chain_duration_seconds": "mean_multi_duration",
+        "mean_stock_day_p90_duration_seconds": "p90_multi_duration", "mean_acceleration_seconds": "mean_acceleration"}
+    return with_month_and_all(j).groupBy("month").agg(
+        F.count(F.lit(1)).alias("stock_days"), F.count_distinct("date").alias("dates"), *[F.avg(v).alias(n) for n, v in means.items()])
+
+
 def quality_summary(signals: DataFrame) -> DataFrame:
     """Totals by month and over everything, from grouping sets."""
     s = signals.withColumn("m", F.floor(F.col("date") / 100).cast("string"))
