@@ -21,6 +21,9 @@ CACHE_WORDS = 400_000
 # Blanks, stops, digits, marks and letters side by side: ids of parts must add up to ids of the whole.
 PROBE = "A b.  c, d.e 1.5 x.\ny, (z) über naïve 数据. it's  \n\n.,; Ab\tc end."
 
+# Stands between parts that are not of letters only; one token in the tokenizers used here.
+DIVIDER = "which"
+
 # A full stop or comma after a letter or digit and before a blank is a token of its own.
 _STOP = re.compile(r"[.,](?=[ \n])(?<=[^\W_][.,])")
 
@@ -34,34 +37,53 @@ class WordEncoder:
         for token, i in self.model.get_vocab().items():
             ends[i] = token.endswith("</w>")
         self.ends = ends
+        divider = self._ids([DIVIDER])[0]
+        self.divider = int(divider[0]) if len(divider) == 1 else None
         self.by_parts = self._by_parts([PROBE])[0] == self._whole([PROBE])[0]
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, parts: set[str]) -> None:
-        missing = parts - self.cache.keys()
-        if len(self.cache) + len(missing) > CACHE_WORDS // 2:
-            self.old, self.cache = self.cache, {}
-            missing = parts
-        back = missing & self.old.keys()
-        self.cache.update((w, self.old[w]) for w in back)
-        missing = missing - back
-        plain = [w for w in missing if w.isalpha()]
-        # Words of letters only are encoded as one text; each ends with its one end-of-word token.
-        for at in range(0, len(plain), 5_000):
-            group = plain[at : at + 5_000]
-            ids = np.array(self.model.encode(" ".join(group), add_special_tokens=False).ids, dtype="<u4")
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) == len(group):
-                raw, last = ids.tobytes(), 0
-                for word, end in zip(group, (stop * 4).tolist(), strict=True):
-                    self.cache[word] = raw[last:end]
-                    last = end
+        cache = self.cache
+        missing = [w for w in parts if w not in cache]
+        if len(cache) + len(missing) > CACHE_WORDS // 2:
+            self.old, self.cache = cache, {}
+            missing = list(parts)
+        new = []
+        for w in missing:
+            known = self.old.get(w)
+            if known is None:
+                new.append(w)
             else:
-                self._one_by_one(group)
-        self._one_by_one([w for w in missing if not w.isalpha()])
+                self.cache[w] = known
+        # Words of letters only are encoded as one text; each ends with its one end-of-word token.
+        plain = [w for w in new if w.isalpha()]
+        groups = [plain[at : at + 5_000] for at in range(0, len(plain), 5_000)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            self._store(group, ids, np.flatnonzero(self.ends[ids]) + 1)
+        # Others stand between dividers; a part that holds the divider itself shows in their number.
+        odd = [w for w in new if not w.isalpha()]
+        groups = [odd[at : at + 500] for at in range(0, len(odd), 500)]
+        if self.divider is None:
+            self._one_by_one(odd)
+            return
+        for group, ids in zip(groups, self._ids([f" {DIVIDER} ".join([*g, ""]).rstrip(" ") for g in groups]), strict=True):
+            self._store(group, ids, np.flatnonzero(ids == self.divider) + 1, 1)
+
+    def _store(self, words: list[str], ids: np.ndarray, stop: np.ndarray, tail: int = 0) -> None:
+        """Keep the ids of each word, which ends at its ``stop`` less ``tail`` ids."""
+        if len(stop) != len(words):
+            self._one_by_one(words)
+            return
+        raw, last = ids.tobytes(), 0
+        for word, end in zip(words, (stop * 4).tolist(), strict=True):
+            self.cache[word] = raw[last : end - 4 * tail]
+            last = end
 
     def _one_by_one(self, words: list[str]) -> None:
-        for word, e in zip(words, self.model.encode_batch(words, add_special_tokens=False), strict=True):
-            self.cache[word] = np.array(e.ids, dtype="<u4").tobytes()
+        for word, ids in zip(words, self._ids(words), strict=True):
+            self.cache[word] = ids.tobytes()
 
     def _by_parts(self, texts: list[str]) -> list[bytes]:
         parts = [_STOP.sub(r" \g<0>", t).replace("\n", " ").split(" ") for t in texts]
@@ -70,7 +92,7 @@ class WordEncoder:
         return [b"".join(map(get, p)) for p in parts]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        return [ids.tobytes() for ids in self._ids(texts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
