@@ -59,20 +59,13 @@ def _event_files(spark, sf) -> str:
 
 
 _FILES: dict = {}
-# Two months, so that a look-back can cross a month end.
-_MONTHS = "(SELECT DISTINCT date//100 AS m FROM lob ORDER BY m LIMIT 2)"
 
 
-@query("s01_s04_file_scan_round_trip", sql(V, f"""SELECT symbol, count(*) AS n, sum(source_volume)::BIGINT AS volume, max(time) AS last_time, count(DISTINCT date//100) AS files
-    FROM lob WHERE date//100 IN {_MONTHS} AND time>=93000000 AND time<145700000 GROUP BY 1"""))
+@query("s01_s04_file_scan_round_trip", sql(V, "SELECT symbol, date, count(*) AS n, sum(source_volume)::BIGINT AS volume, max(time) AS last_time FROM lob GROUP BY 1,2"))
 def file_scan(spark, sf):
-    """Two months of month/symbol files: only their folders are opened, two columns and a clock range read."""
-    root = _event_files(spark, sf)
-    months = [str(r.m) for r in lob(spark, sf).select(F.floor(F.col("date") / 100).alias("m")).distinct().orderBy("m").limit(2).collect()]
-    e = R.read_events(spark, root, ["date", "time", "source_volume"], (93000000, 145700000), months)
-    return e.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("source_volume").alias("volume"), F.max("time").alias("last_time"),
-        F.count_distinct(F.floor(F.col("date") / 100)).alias("files"))
+    """All rows of all month/symbol files, read back with the symbol from the file name."""
+    e = R.read_events(spark, _event_files(spark, sf), ["date", "time", "source_volume"])
+    return e.groupBy(*DAY).agg(F.count(F.lit(1)).alias("n"), F.sum("source_volume").alias("volume"), F.max("time").alias("last_time"))
 
 
 _CSV = "symbol string, date int, ret double, cap double, style1 double"

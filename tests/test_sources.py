@@ -5,6 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import lobloom.catalog.all_queries  # noqa: F401
+from lobloom.catalog.registry import QUERIES
 from lobloom.sources import readers as R
 from lobloom.sources.derived import lob
 
@@ -62,3 +64,15 @@ def test_a_month_run_again_is_replaced_once(spark, tmp_path):
     R.replace_partitions(rows.filter("month = '202401' AND symbol = 'a'").withColumn("n", F.lit(9)), out, ["month"])
     got = spark.read.schema("symbol string, n int, month string").parquet(out)
     assert sorted((r.symbol, r.month, r.n) for r in got.collect()) == [("a", "202401", 9), ("a", "202402", 3)]
+
+
+def test_the_file_scan_takes_all_months_and_hours(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    months = [events.withColumn("ts", F.col("ts") + F.expr(f"interval {31 * k} days")).withColumn(
+        "event_id", F.col("event_id") + k * 10**6) for k in range(3)]
+    months[0].unionByName(months[1]).unionByName(months[2]).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["s01_s04_file_scan_round_trip"](spark, str(tmp_path))
+    e = lob(spark, str(tmp_path))
+    want = e.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("source_volume").alias("volume"), F.max("time").alias("last_time"))
+    assert e.select(F.floor(F.col("date") / 100)).distinct().count() > 2
+    assert sorted(got.collect()) == sorted(want.collect())
