@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lobloom.operators.asof import asof
-from lobloom.operators.decay import decayed_sums
+from lobloom.operators.decay import decayed_sums, decayed_sums_near
 from lobloom.operators.lifecycle import islands
-from lobloom.operators.ordered import carry_forward, dense_order, first_per_key, flag_first, rolling_dense, shift_dense
+from lobloom.operators.ordered import carry_forward, dense_order, first_per_key, flag_first, rolling_dense, shift_dense, span_of
 
 
 def rows_of(n=120, seed=1):
@@ -114,3 +114,31 @@ def test_first_rows_keep_null_keys(spark):
     flags = {x.row_id: x.is_first for x in flag_first(df, ["r"]).collect()}
     assert flags == {5: False, 3: True, 4: True, 9: True}
     assert [tuple(x) for x in first_per_key(df.filter("r = 1"), ["r"], "row_id", ["p"]).collect()] == [(1, 3, "b")]
+
+
+def test_near_decays_are_exact_wherever_they_stand(spark):
+    # 150 values make three lists; sums by definition, and bit for bit where one value counts.
+    rnd, t, no, rows = random.Random(5), 0, 0, []
+    for i in range(400):
+        t += rnd.choice((0, 5, 40, 900))
+        held = rnd.random() < 0.4
+        no += held
+        rows.append(("s", i, t, no, held, rnd.choice("BS"), 100 * rnd.randint(1, 20)))
+    rows += [(f"one{k}", i, 7_000 * k + i, i, i == 1, "B", 1700) for k in range(40) for i in (1, 2)]
+    df = spark.createDataFrame([(*r[:3], min(r[3], 1) if r[0] != "s" else r[3], *r[4:]) for r in rows], "k string, row_id long, ms long, no long, held boolean, side string, v long")
+    got = decayed_sums_near(df, ["k"], "no", F.col("held"), {s: F.col("side") == s for s in "BS"}, "v",
+                            {"a": ("ms", 500.0, 1000), "b": ("no", 20.0, 200)}).collect()
+    assert len(got) == len(rows)
+    for g in (g for g in got if g.k == "s"):
+        for s in "BS":
+            past = [(r[2], r[3], r[6]) for r in rows if r[0] == "s" and r[4] and r[5] == s and r[3] <= g.no]
+            assert math.isclose(g[f"a_{s}"], sum(v * 2.0 ** (-(g.ms - m) / 500.0) for m, _, v in past), rel_tol=1e-12)
+            assert math.isclose(g[f"b_{s}"], sum(v * 2.0 ** (-(g.no - n) / 20.0) for _, n, v in past), rel_tol=1e-12)
+    assert {g.a_B for g in got if g.k != "s" and g.row_id == 1} == {1700.0}
+    assert len({g.a_B for g in got if g.k != "s" and g.row_id == 2}) == 1
+
+
+@pytest.mark.parametrize("span, most", [(3, None), (2, 2)])
+def test_plain_windows_only_for_counted_groups(spark, span, most):
+    df = spark.createDataFrame([("a", i) for i in range(3)] + [("b", 1)], "k string, row_id long")
+    assert span_of(df, ["k"], span) == most
