@@ -1,7 +1,7 @@
 """Keyed stream operators with their own state: chains, 10:30 signals, late rows.
 
-Rows wait in map state, a minute (or a day) to an entry, until the watermark has
-passed it; a timer then takes them in row order and clears the entry. So arrival
+Rows wait in keyed state (chains in one value, signals in a day's map entry) until the watermark has
+passed them; a timer then takes them, minute by minute in row order, and clears them. So arrival
 order inside the allowed delay does not matter, what is held per key is bounded by
 that delay, and no group is ever put together as one frame.
 """
@@ -48,22 +48,23 @@ class Chains(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "minute long", "rows binary")
-        self.open = handle.getValueState("open", "side int, oid long, volume long, children long, first_row long, last_row long, first_ms long, last_ms long")
-        self.done = handle.getValueState("done", "last_row long")
+        # One value: a key costs one read, one write and at most two timers a batch.
+        self.held = handle.getValueState("held", "waiting binary, side int, oid long, volume long, children long, first_row long, last_row long, first_ms long, last_ms long, done long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         _, date, session = key
-        start = midnight(date)
+        start, held, new = midnight(date), self.held.get(), []
         for b in rows:
             r = np.zeros(len(b), _ROW)
             for name in ("row_id", "ms", "oid", "volume", "side", "trade"):
                 r[name] = b[name].to_numpy()
-            for minute in np.unique(r["ms"] // MINUTE).tolist():
-                held = self.waiting.getValue((minute,))
-                self.waiting.updateValue((minute,), ((bytes(held[0]) if held else b"") + r[r["ms"] // MINUTE == minute].tobytes(),))
-                self.handle.registerTimer(start + (minute + 1) * MINUTE)
-        self.handle.registerTimer(start + self._end(session))
+            new.append(r)
+        r = np.concatenate(new)
+        if held is None:
+            self.handle.registerTimer(start + self._end(session))
+        self.held.update(((bytes(held[0]) if held else b"") + r.tobytes(), *(held[1:] if held else [None] * 8 + [-1])))
+        # The last minute of the batch takes the minutes before it along.
+        self.handle.registerTimer(start + (int(r["ms"].max()) // MINUTE + 1) * MINUTE)
         yield pd.DataFrame(columns=_CHAIN)
 
     @staticmethod
@@ -71,26 +72,26 @@ class Chains(StatefulProcessor):
         return (SESSION_END[session] // MINUTE + 1) * MINUTE
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() - midnight(key[1])
-        ready = sorted(m for (m,) in list(self.waiting.keys()) if (m + 1) * MINUTE <= now)
-        out = []
-        for minute in ready:
-            r = np.frombuffer(bytes(self.waiting.getValue((minute,))[0]), _ROW)
-            self.waiting.removeKey((minute,))
-            self._take(r[np.argsort(r["row_id"], kind="stable")], key, out)
+        now, held, out = expiredTimerInfo.getExpiryTimeInMs() - midnight(key[1]), self.held.get(), []
+        if held is None:
+            return
+        r = np.frombuffer(bytes(held[0]), _ROW)
+        ready = (r["ms"] // MINUTE + 1) * MINUTE <= now
+        take = r[ready]
+        take = take[np.lexsort((take["row_id"], take["ms"] // MINUTE))]
+        chain, last = self._take(take, key, tuple(held[1:9]) if held[2] is not None else None, held[9], out)
         if now >= self._end(key[2]):
-            if self.open.exists():
-                out.append(self._chain(key, self.open.get(), "censored"))
-            self.open.clear()
-            self.done.clear()
+            if chain:
+                out.append(self._chain(key, chain, "censored"))
+            self.held.clear()
+        elif len(take):
+            self.held.update((r[~ready].tobytes(), *(chain or [None] * 8), last))
         yield pd.DataFrame(out, columns=_CHAIN)
 
     def _chain(self, key, c, status: str) -> list:
         return [*key, SIDES[c[0]], *[int(v) for v in c[1:]], status]
 
-    def _take(self, rows: np.ndarray, key, out: list) -> None:
-        chain = tuple(self.open.get()) if self.open.exists() else None
-        last = self.done.get()[0] if self.done.exists() else -1
+    def _take(self, rows: np.ndarray, key, chain: tuple | None, last: int, out: list) -> tuple[tuple | None, int]:
         for row_id, ms, oid, volume, side, trade in rows.tolist():
             if row_id <= last:
                 out.append([*key, SIDES[side], None, volume, 0, row_id, row_id, ms, ms, "order_break"])
@@ -102,11 +103,7 @@ class Chains(StatefulProcessor):
             if chain:
                 out.append(self._chain(key, chain, "closed"))
             chain = (side, oid, volume, 1, row_id, row_id, ms, ms) if trade else None
-        self.done.update((last,))
-        if chain:
-            self.open.update(chain)
-        else:
-            self.open.clear()
+        return chain, last
 
     def close(self) -> None:
         pass

@@ -5,6 +5,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from lobloom.catalog import stream_queries
 from lobloom.sources.derived import lob
 from lobloom.streaming import flows, processors
 
@@ -81,3 +82,10 @@ def test_late_rows_stay_in_the_output(spark, tmp_path):
     write(spark, tmp_path / "in", [trade(6, 100_600_000), trade(7, 92_000_000, symbol="Y")], 2)
     got = flows.run_once(spark, processors.mark_late(stream(spark, tmp_path / "in"), 60_000))
     assert {r.row_id: r.is_late for r in got.collect()} == {1: False, 2: False, 3: True, 4: False, 5: False, 6: False, 7: True}
+
+
+def test_replay_follows_the_clock_not_the_row_ids(spark, tmp_path):
+    write(spark, tmp_path / "in", [trade(1, 100_000_000, date=20240105, symbol="A"), trade(2, 100_000_000, date=20240102, symbol="B")], 0)
+    e = spark.read.schema(lob(spark, SF).schema).parquet(str(tmp_path / "in" / "part=0"))
+    stream_queries._files(e, str(tmp_path / "out"), 2, range(1))
+    assert [r.symbol for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["B"]
