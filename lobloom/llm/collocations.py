@@ -25,6 +25,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +36,9 @@ from .tables import parallel
 from .textbatch import _BYTE, LOWER, column_chunks, mix, runs_hash
 
 SCAN_BYTES = 1 << 21
-FLUSH_BYTES = 1 << 25
+FLUSH_BYTES = 1 << 24
 HELD_WORDS = 400_000
+DRAIN_ROWS = 50_000
 BUCKET_ENTRIES = 1 << 20
 MAP_BITS = 28  # at most 2^28 bits, 32 MB, are broadcast
 LONGEST = 4
@@ -57,6 +59,15 @@ class Pieces:
     def word(self, i: int) -> bytes:
         return self.low[self.starts[i] : self.ends[i]].tobytes()
 
+    def words(self, at: np.ndarray) -> pa.Array:
+        """The words at positions ``at``, as an Arrow array."""
+        sizes = self.ends[at] - self.starts[at]
+        ends = np.cumsum(sizes)
+        step = np.arange(ends[-1] if len(at) else 0) - np.repeat(ends - sizes, sizes)
+        data = self.low[np.repeat(self.starts[at], sizes) + step]
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
     def ids(self, plain: bool) -> np.ndarray:
         if plain:
             return np.fromiter((xxhash.xxh64_intdigest(self.word(i), 13) for i in range(len(self.starts))), np.uint64, len(self.starts))
@@ -80,28 +91,50 @@ def by_lang(batch: pa.RecordBatch):
             yield lang, Pieces(part)
 
 
+def _summed(ids: np.ndarray, words: pa.Array, n: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Counts of equal words added up: by id, or by spelling if different words share an id."""
+    _, first, back = np.unique(ids, return_index=True, return_inverse=True)
+    if not pc.all(pc.equal(words, words.take(pa.array(first[back])))).as_py():
+        _, first, back = np.unique(np.asarray(words.dictionary_encode().indices), return_index=True, return_inverse=True)
+    return ids[first], words.take(pa.array(first)), np.bincount(back, n, len(first)).astype(np.int64)
+
+
 def _word_counts(plain: bool):
+    """Counts words held as flat arrays: a word takes its bytes and 20 more."""
     def scan(batches):
-        held: dict[str, dict[bytes, list[int]]] = defaultdict(dict)
+        held: dict[str, list] = defaultdict(list)
+        size, limit = 0, HELD_WORDS
         for b in batches:
             for lang, p in by_lang(b):
                 ids = p.ids(plain)
                 _, first, back, n = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
                 if not p.same_words(np.arange(len(ids)), first[back]):
                     first, n = np.arange(len(ids)), np.ones(len(ids), np.int64)
-                counts = held[lang]
-                for i, h, k in zip(first.tolist(), ids[first].view(np.int64).tolist(), n.tolist(), strict=True):
-                    counts.setdefault(p.word(i), [h, 0])[1] += k
-                if sum(map(len, held.values())) > HELD_WORDS:
-                    yield from drain(held)
+                held[lang].append((ids[first], p.words(first), n.astype(np.int64)))
+                size += len(first)
+                if size > limit:
+                    for key, parts in held.items():
+                        held[key] = [_summed(*joined(parts))]
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    limit = size + HELD_WORDS
+                    if size > HELD_WORDS:
+                        yield from drain(held)
+                        size, limit = 0, HELD_WORDS
         yield from drain(held)
 
+    def joined(parts):
+        ids, words, n = zip(*parts, strict=True)
+        return np.concatenate(ids), pa.concat_arrays(words), np.concatenate(n)
+
     def drain(held):
-        for lang, counts in held.items():
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(counts)), pa.array([h for h, _ in counts.values()], pa.int64()),
-                pa.array(list(counts), pa.binary()), pa.array([k for _, k in counts.values()], pa.int64())], names=["lang", "id", "word", "n"])
-        held.clear()
+        while held:
+            lang, parts = held.popitem()
+            ids, words, n = _summed(*joined(parts))
+            for at in range(0, len(ids), DRAIN_ROWS):
+                part = slice(at, at + DRAIN_ROWS)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(ids[part]), pa.string()), pa.array(ids[part].view(np.int64)),
+                    words.slice(at, DRAIN_ROWS), pa.array(n[part])], names=["lang", "id", "word", "n"])
 
     return scan
 
@@ -233,16 +266,19 @@ def _filters(n: int, plain: bool, known, skip: int):
         yield from drain(held)
 
     def drain(held):
-        for lang, parts in held.items():
+        while held:
+            lang, parts = held.popitem()
             lanes = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            first, rest, k = counted(permuted(lanes), lanes[1:])
+            del parts
+            first, rest = permuted(lanes), lanes[1:]
+            del lanes
+            first, rest, k = counted(first, rest)
             bucket = (first >> np.uint64(64 - skip)).astype(np.int64) if skip else np.zeros(len(first), np.int64)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
             rows = [packed(first[a:z], [x[a:z] for x in rest], k[a:z], skip) for a, z in zip(cuts, [*cuts[1:], len(first)], strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([lang] * len(cuts), pa.string()), pa.array(bucket[cuts], pa.int32()), pa.array(rows, pa.binary())],
                 names=["lang", "bucket", "filter"])
-        held.clear()
 
     return scan
 

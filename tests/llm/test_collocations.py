@@ -120,3 +120,19 @@ def test_different_words_of_a_chunk_are_told_apart(monkeypatch):
     batch = pa.record_batch([pa.array(["en"]), pa.array(["ab cd ab efg"])], names=["lang", "text"])
     rows = [r for b in co._word_counts(False)([batch]) for r in b.to_pylist()]
     assert {(r["id"], r["word"], r["n"]) for r in rows} == {(2, b"ab", 2), (2, b"cd", 1), (3, b"efg", 1)}
+
+
+def test_held_words_are_flat_and_summed_before_they_leave(monkeypatch):
+    monkeypatch.setattr(co, "HELD_WORDS", 50)
+    monkeypatch.setattr(co, "DRAIN_ROWS", 7)
+    batches = [pa.record_batch([pa.array(["en", "de"]), pa.array([prose(k % 3, 60), None])], names=["lang", "text"]) for k in range(30)]
+    want = Counter(w for b in batches for t in b.column(1).to_pylist() for ws in pieces(t) for w in ws)
+    out = list(co._word_counts(False)(batches))
+    got = Counter()
+    for b in out:
+        for r in b.to_pylist():
+            got[r["word"].decode()] += r["n"]
+    assert got == want and max(b.num_rows for b in out) <= 7
+
+    ids, words, n = co._summed(np.array([1, 2, 1, 3], np.uint64), pa.array([b"a", b"b", b"a", b"c"]), np.array([1, 2, 3, 4]))
+    assert (ids.tolist(), words.to_pylist(), n.tolist()) == ([1, 2, 3], [b"a", b"b", b"c"], [4, 2, 4])
