@@ -2,7 +2,10 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 from lobloom.plans import contrasts as C
+from lobloom.plans import mechanism as M
 
 
 def _stats(spark, rows):
@@ -72,3 +75,19 @@ def test_within_symbol_contrast(spark):
 def test_no_rows(spark):
     made = C.quote_contrasts()
     assert C.paired(C.leg_values(_stats(spark, []), made), made).count() == 0
+
+
+def test_statistics_deal_a_row_once_to_each_group(spark, monkeypatch):
+    monkeypatch.setattr(M, "SLOTS", 3)
+    df = spark.createDataFrame(
+        [("s", 1, "B", 1.0, 2.0), ("s", 1, "B", None, float("nan")), ("s", 1, "S", 3.0, float("inf")), ("s", 2, None, 5.0, 6.0)],
+        "symbol string, date int, side string, a double, b double")
+    a, b, side = F.col("a"), F.col("b"), F.col("side")
+    stats = [M.Stat("M", f"a{i}", side, a) for i in range(7)] + [M.Stat("M", "b", side, b), M.Stat("M", "b", "all", b, a > 1)]
+    for span in (None, 10):
+        dealt = M._stat_moments(df, stats, span)
+        got = {(r.date, r.variant, r.group_key): (r.observations, r.value_sum, r.value_sq_sum, r.weight_sum) for r in dealt.collect()}
+        want = {(d, f"a{i}", g): (1, v, v * v, 1.0) for i in range(7) for d, g, v in ((1, "B", 1.0), (1, "S", 3.0), (2, None, 5.0))}
+        assert got == want | {(1, "b", "B"): (1, 2.0, 4.0, 1.0), (2, "b", None): (1, 6.0, 36.0, 1.0), (2, "b", "all"): (1, 6.0, 36.0, 1.0)}
+    lead = M._stat_moments(df, [M.Stat("M", "x", side, a)], None, lead=F.lit("n5_"))
+    assert {r.variant for r in lead.collect()} == {"n5_x"}
