@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lobloom.functions import expr as X
 from lobloom.operators.crosssection import position
 from lobloom.operators.lifecycle import DAY, ORDER, order_facts
-from lobloom.operators.ordered import carry_forward
+from lobloom.operators.ordered import carry_forward, span_of
 from lobloom.sources.derived import sessions
 
 HORIZONS = (5, 30, 60)
@@ -284,29 +284,43 @@ def stratified_symbols(universe: DataFrame, n: int, domains: Sequence[str]) -> D
 
 # ---------------------------------------------------------------- FIFO takes
 
+def _ends(side: str, row: str) -> Column:
+    """Where each level's orders end in the flat queue."""
+    return F.aggregate(F.col(f"{row}.{side}_cnt"), F.array().cast("array<bigint>"), lambda s, x: F.array_append(
+        s, F.coalesce(F.element_at(F.when(F.size(s) > 0, s), -1), F.lit(0).cast("long")) + x))
+
+
 def _queues(side: str, row: str) -> Column:
-    """Per-level order queues of a ladder, cut from the flat queue by the counts."""
+    """Per-level order queues of a ladder, cut from the flat queue by the counts.
+
+    The ends stand as an argument, not inside the function of a level, so they are worked out once a ladder.
+    """
     px, cnt, flat = F.col(f"{row}.{side}_px"), F.col(f"{row}.{side}_cnt"), F.col(f"{row}.{side}_ordvol")
-    ends = F.aggregate(cnt, F.array().cast("array<bigint>"), lambda s, x: F.array_append(s, F.coalesce(F.element_at(F.when(F.size(s) > 0, s), -1), F.lit(0).cast("long")) + x))
-    return F.transform(px, lambda p, i: F.struct(
-        p.alias("px"), F.slice(flat, (ends[i] - cnt[i] + 1).cast("int"), cnt[i].cast("int")).alias("q")))
+    return F.zip_with(F.arrays_zip(px.alias("px"), cnt.alias("n")), _ends(side, row), lambda x, end: F.struct(
+        x["px"].alias("px"), F.slice(flat, (end - x["n"] + 1).cast("int"), x["n"].cast("int")).alias("q")))
 
 
 def _total(q: Column) -> Column:
     return F.aggregate(q, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def _swept(side: str) -> Column:
-    """Quantity consumed from the front through the old best, NULL if it does not fit."""
-    old, new = F.col(f"_old_{side}"), F.col(f"_new_{side}")
+def _with_swept(r: DataFrame, side: str, use: Column) -> DataFrame:
+    """Quantity consumed from the front through the old best where ``use`` holds, NULL if it does not fit.
+
+    Each step is a column of its own, as the next one reads it more than once.
+    """
+    z = F.lit(0).cast("long")
     ob, nb = F.col(f"pre.{side}_px")[0], F.col(f"cur.{side}_px")[0]
     inside = (lambda p: (p >= ob) & (p < nb)) if side == "ask" else (lambda p: (p <= ob) & (p > nb))
-    gone = F.filter(old, lambda l: inside(l["px"]))
-    still = F.exists(gone, lambda g: F.exists(new, lambda l: l["px"] == g["px"]))
-    full = F.aggregate(gone, F.lit(0).cast("long"), lambda s, l: s + _total(l["q"]))
-    before = F.try_element_at(F.filter(old, lambda l: l["px"] == nb), F.lit(1))["q"]
-    after = F.try_element_at(F.filter(new, lambda l: l["px"] == nb), F.lit(1))["q"]
-    used = _total(before) - _total(after)
+    c = lambda n: F.col(f"_{n}")
+    at_best = lambda q: F.try_element_at(F.filter(q, lambda l: l["px"] == nb), F.lit(1))["q"]
+    r = r.withColumn("_use", use)
+    r = r.withColumns({"_old": F.when(c("use"), _queues(side, "pre")), "_new": F.when(c("use"), _queues(side, "cur"))})
+    r = r.withColumns({"_gone": F.filter(c("old"), lambda l: inside(l["px"])), "_before": at_best(c("old")), "_after": at_best(c("new"))})
+    r = r.withColumns({
+        "_still": F.exists(c("gone"), lambda g: F.exists(c("new"), lambda l: l["px"] == g["px"])),
+        "_full": F.aggregate(c("gone"), z, lambda s, l: s + _total(l["q"])), "_used": _total(c("before")) - _total(c("after"))})
+    before, after, used = c("before"), c("after"), c("used")
     # Front-first consumption leaves a suffix of the old queue whose first order may shrink.
     n, m = F.size(before), F.size(after)
     tail = F.slice(before, F.greatest(n - m + 2, F.lit(1)), F.greatest(m - 1, F.lit(0)))
@@ -314,28 +328,30 @@ def _swept(side: str) -> Column:
         (m <= n) & tail.eqNullSafe(F.slice(after, 2, F.greatest(m - 1, F.lit(0))))
         & (F.try_element_at(after, F.lit(1)) <= F.try_element_at(before, F.greatest(n - m + 1, F.lit(1)))))
     part = F.when(before.isNotNull() & after.isNotNull() & (used > 0) & F.coalesce(kept, F.lit(False)), used).otherwise(F.lit(0))
-    return F.when((F.size(gone) > 0) & ~still & (full + part > 0), full + part)
+    r = r.withColumn("_sum", F.when((F.size(c("gone")) > 0) & ~c("still"), c("full") + part))
+    return r.withColumn(f"_{side}", F.when(c("sum") > 0, c("sum"))).drop(*[f"_{x}" for x in "use old new gone before after still full used sum".split()])
 
 
 def fifo_active_take(snapshots: DataFrame) -> DataFrame:
     """Mid moves explained by levels consumed from the front of the queue."""
     names = [f"{s}_{k}" for s in ("bid", "ask") for k in ("px", "cnt", "ordvol")]
     rows = snapshots.select(*DAY, "row_id", "time", F.struct(*names, X.in_session().alias("live")).alias("cur"))
-    r = carry_forward(rows, DAY, last={"pre": F.col("cur")})
+    # Each snapshot meets the one before it in one pass over its columns; long days are cut into chunks.
+    r = carry_forward(rows, DAY, last={"pre": F.col("cur")}, span=span_of(snapshots.select(*DAY), DAY))
     mid = lambda s: (F.try_element_at(F.col(f"{s}.bid_px"), F.lit(1)) + F.try_element_at(F.col(f"{s}.ask_px"), F.lit(1))) / 2.0
     r = r.filter(F.col("pre").isNotNull()).withColumns({"both": F.col("cur.live") & F.col("pre.live"), "d": mid("cur") - mid("pre")})
-    moved = r.filter("both AND d <> 0").withColumns({f"_{w}_{s}": _queues(s, row) for s in ("bid", "ask") for w, row in (("old", "pre"), ("new", "cur"))})
+    r = r.withColumn("moved", F.coalesce(F.expr("both AND d <> 0"), F.lit(False)))
     a_up = F.col("cur.ask_px")[0] > F.col("pre.ask_px")[0]
     b_dn = F.col("cur.bid_px")[0] < F.col("pre.bid_px")[0]
-    qty = F.when((F.col("d") > 0) & a_up, _swept("ask")).when((F.col("d") < 0) & b_dn, _swept("bid"))
-    m = moved.select(*DAY, "d", qty.alias("qty")).groupBy(*DAY).agg(
-        F.count(F.lit(1)).alias("mid_moves"), F.sum(F.abs("d")).alias("_all"), X.count_if(F.col("qty").isNotNull()).alias("active_take_events"),
-        F.coalesce(X.sum_if(F.abs("d"), F.col("qty").isNotNull()), F.lit(0.0)).alias("_gap"),
-        F.coalesce(X.sum_if("d", F.col("qty").isNotNull()), F.lit(0.0)).alias("_signed"), F.coalesce(F.sum("qty"), F.lit(0)).alias("active_take_qty"))
-    t = r.groupBy(*DAY).agg(X.count_if(F.col("both")).alias("transitions")).join(m, DAY, "left")
-    z = F.lit(0).cast("long")
+    up, down = F.col("moved") & (F.col("d") > 0) & a_up, F.col("moved") & (F.col("d") < 0) & b_dn
+    r = _with_swept(_with_swept(r, "ask", up), "bid", down)
+    taken = F.col("qty").isNotNull()
+    t = r.select(*DAY, "both", "moved", "d", F.coalesce("_ask", "_bid").alias("qty")).groupBy(*DAY).agg(
+        X.count_if(F.col("both")).alias("transitions"), X.count_if(F.col("moved")).alias("mid_moves"), X.count_if(taken).alias("active_take_events"),
+        F.coalesce(F.sum("qty"), F.lit(0)).alias("active_take_qty"),
+        *[F.coalesce(X.sum_if(v, cond), F.lit(0.0)).alias(n) for n, v, cond in (
+            ("_all", F.abs("d"), F.col("moved")), ("_gap", F.abs("d"), taken), ("_signed", F.col("d"), taken))])
     return t.select(
-        *DAY, "transitions", F.coalesce("mid_moves", z).alias("mid_moves"), F.coalesce("active_take_events", z).alias("active_take_events"),
-        F.coalesce("active_take_qty", z).alias("active_take_qty"),
-        *[(F.coalesce(c, F.lit(0.0)) / X.PRICE_SCALE).alias(n) for c, n in (("_gap", "active_take_mid_gap"), ("_signed", "active_take_mid_gap_signed"), ("_all", "all_mid_gap"))],
+        *DAY, "transitions", "mid_moves", "active_take_events", "active_take_qty",
+        *[(F.col(c) / X.PRICE_SCALE).alias(n) for c, n in (("_gap", "active_take_mid_gap"), ("_signed", "active_take_mid_gap_signed"), ("_all", "all_mid_gap"))],
         F.coalesce(X.ratio("_gap", "_all"), F.lit(0.0)).alias("active_take_share"))
