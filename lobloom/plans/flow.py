@@ -9,6 +9,7 @@ from lobloom.functions import expr as X
 from lobloom.operators.crosssection import percentile_ranks, quintile, residualise, winsorise
 from lobloom.operators.history import persistence, recursive_ewma, surprise
 from lobloom.operators.lifecycle import DAY, explode_windows, reconstruct_orders
+from lobloom.plans.evaluation import fits
 from lobloom.session import stage
 from lobloom.sources.derived import sessions
 
@@ -217,7 +218,9 @@ def flow_residuals(
     rows = rows.join(style, DAY).filter(F.col("window_return").isNotNull())
     dummies = [f"_board_{b}" for b in boards[1:]]
     rows = rows.withColumns({f"_board_{b}": (F.col("board") == b).cast("double") for b in boards[1:]})
-    rows = winsorise(stage(rows, "flow-long"), GROUP, {"alf_winsorized": "alf_raw"}, count="d04_cross_section_n", minimum=minimum)
+    rows = stage(rows, "flow-long")
+    whole = fits(rows)
+    rows = winsorise(rows, GROUP, {"alf_winsorized": "alf_raw"}, count="d04_cross_section_n", minimum=minimum, whole=whole)
     # Both residuals come from one pass over the moments.
     rows = residualise(stage(rows, "flow-clipped"), GROUP, {
         "d04_residual": ("alf_winsorized", ["window_return", *STYLES, *dummies]),
@@ -236,7 +239,7 @@ def flow_residuals(
     xy = rows.groupBy(*GROUP).agg(
         F.sum(F.col("d04_residual") * F.col("response")).alias("_xy"),
         F.sum(F.col("d04_residual") * F.col("d04_residual")).alias("_xx"))
-    rows = percentile_ranks(rows, GROUP, {"d04_rank_pct": "_fr", "response_rank_pct": "_rr"}).join(xy, GROUP)
+    rows = percentile_ranks(rows, GROUP, {"d04_rank_pct": "_fr", "response_rank_pct": "_rr"}, whole=whole).join(xy, GROUP)
     fb, rb = quintile("d04_rank_pct"), quintile("response_rank_pct")
     beta = F.when(F.col("_xx") > 0, F.col("_xy") / F.col("_xx")).otherwise(0.0)
     return rows.withColumns({
@@ -275,7 +278,9 @@ def intraday_residuals(primitives: DataFrame, controls: DataFrame, styles: list[
     today = controls.filter((F.col("security_category") == 1) & (F.col("is_st") == 0) & (F.col("is_suspended") == 0))
     rows = long_versions(primitives.filter("is_valid"), ["symbol", "date", "window_name"])
     rows = rows.join(today.select(*DAY), DAY, "left_semi").join(cal, "date").join(prior, ["symbol", "day_seq"])
-    rows = winsorise(stage(rows, "flow-long"), GROUP, {"alf_winsorized": "alf_raw"}, count="d04_cross_section_n", minimum=minimum)
+    rows = stage(rows, "flow-long")
+    whole = fits(rows)
+    rows = winsorise(rows, GROUP, {"alf_winsorized": "alf_raw"}, count="d04_cross_section_n", minimum=minimum, whole=whole)
     rows = residualise(stage(rows, "flow-clipped"), GROUP, {"d04_residual": ("alf_winsorized", styles)}, r2=True, sd=True)
     rows = stage(rows.withColumnRenamed("d04_residual_r2", "d04_regression_r2").drop("day_seq", *styles), "flow-intraday")
     sd = F.col("d04_residual_sd")
@@ -283,4 +288,4 @@ def intraday_residuals(primitives: DataFrame, controls: DataFrame, styles: list[
         "d04_z": F.when(sd > 1e-12, F.col("d04_residual") / sd).otherwise(0.0),
         "_fr": F.round("d04_residual", 10),
     }).drop("d04_residual_sd")
-    return percentile_ranks(rows, GROUP, {"d04_rank_pct": "_fr"}).drop("_fr")
+    return percentile_ranks(rows, GROUP, {"d04_rank_pct": "_fr"}, whole=whole).drop("_fr")
