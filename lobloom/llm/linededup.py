@@ -27,11 +27,12 @@ the same lines; rows with a null id are left as they are; other columns stay.
 
 from __future__ import annotations
 
+from functools import cached_property, lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +49,10 @@ MEMBERS = 2_048
 MEMBER_BYTES = 8 << 20
 BROADCAST_ROWS = 500_000
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
-VOTE_WORDS = 1 << 16
+REACH = 12  # words ahead within which an alignment looks for equal words
+STRIDE = 64  # characters between two looks at how far a distance has grown at least
+
+_EACH_BYTE = np.uint64(0x0101010101010101)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x30:0x3A] = 0x30
@@ -62,14 +66,21 @@ def _signed(m: int) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def _votes(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """How many of each owner's hashes set each bit; owners are in order."""
-    votes = np.zeros((n, 64), np.int32)
-    for at in range(0, len(hashes), VOTE_WORDS):
-        part, who = hashes[at : at + VOTE_WORDS], owner[at : at + VOTE_WORDS]
-        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        begin = np.flatnonzero(np.diff(who, prepend=-1))
-        votes[who[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+def _votes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """How many hashes of each run [first, last) set each bit; runs hold one hash at least and follow each other."""
+    # Eight counters of a byte to a number: runs are summed in parts of at most 255 hashes.
+    parts = -(-(last - first) // 255)
+    at = np.concatenate([[0], np.cumsum(parts)])
+    begin = np.repeat(first, parts) + 255 * (np.arange(at[-1]) - np.repeat(at[:-1], parts))
+    end = np.minimum(begin + 255, np.repeat(last, parts))
+    votes = np.empty((len(first), 64), np.int32)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    for bit in range(8):
+        np.cumsum((hashes >> np.uint64(bit)) & _EACH_BYTE, out=total[1:])
+        counts = np.ascontiguousarray(total[end] - total[begin]).view(np.uint8).reshape(-1, 8)
+        if len(counts) > len(first):
+            counts = np.add.reduceat(counts, at[:-1], axis=0, dtype=np.int32)
+        votes[:, bit::8] = counts
     return votes
 
 
@@ -88,13 +99,19 @@ class Lines:
         keep = np.flatnonzero(count >= min_words)
         self.w, self.fold, self.first, self.keep = w, fold, first, keep
         self.doc, self.number = doc[keep], number[keep]
-        words = runs_hash(fold, w.starts, w.ends)
+        self.words = words = runs_hash(fold, w.starts, w.ends)
         a, b = first[keep], first[keep + 1]
         self.ids = np.stack([runs_hash(words, a, b), runs_hash(mix(words ^ np.uint64(0x5851F42D4C957F2D)), a, b)], axis=1)
-        taking = np.flatnonzero(count[line] >= min_words) if len(line) else np.zeros(0, np.int64)
-        owner = np.searchsorted(keep, line[taking])
-        set_ = _votes(words[taking], owner, len(keep)) * 2 > count[keep][:, None]
-        self.sims = np.packbits(set_, axis=1, bitorder="little").view("<u8").reshape(-1) if len(keep) else np.zeros(0, np.uint64)
+
+    @cached_property
+    def sims(self) -> np.ndarray:
+        """The SimHash of each line; a line without a word has none set."""
+        a, b = self.first[self.keep], self.first[self.keep + 1]
+        sims, some = np.zeros(len(a), np.uint64), np.flatnonzero(b > a)
+        if len(some):
+            set_ = _votes(self.words, a[some], b[some]) * 2 > (b - a)[some][:, None]
+            sims[some] = np.packbits(set_, axis=1, bitorder="little").view("<u8").reshape(-1)
+        return sims
 
     def normal(self, k: int) -> bytes:
         a, b = self.first[self.keep[k]], self.first[self.keep[k] + 1]
@@ -118,6 +135,7 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").mapInArrow(scan, "doc_id long, line int, id binary, sim long")
 
 
+@lru_cache
 def _masks(k: int) -> list[int]:
     return [_bits(*a) | _bits(*b) for a, b in combinations(BLOCKS, len(BLOCKS) - k)]
 
@@ -144,49 +162,58 @@ def _partners(sims: np.ndarray, k: int, choice: int) -> np.ndarray:
     return has
 
 
+def _key(choice: int, part: int, mask: int) -> Column:
+    """One number for a choice of blocks, a part and the bits of ``sim`` in them.
+
+    The lowest bits hold the choice, the others a hash: should two keys fall together,
+    more fingerprints are compared, and those within ``K`` bits are linked as ever.
+    """
+    shared = F.xxhash64(F.lit(part), F.col("sim").bitwiseAND(F.lit(_signed(mask))))
+    return shared.bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(choice & 15).cast("long"))
+
+
+def _choice(key: str) -> Column:
+    low = F.col(key).bitwiseAND(F.lit(15)).cast("int")
+    return F.when(low == 15, F.lit(-1)).otherwise(low)
+
+
 def _candidates(classes: DataFrame, k: int) -> DataFrame:
     """(key, sim): fingerprints with another one within k bits, by the keys they share."""
     sims = classes.groupBy("sim").agg(F.count(F.lit(1)).alias("n"))
     masks = _masks(k)
-    keys = F.array(*[F.struct(
-        F.lit(i).alias("choice"), F.lit(0).alias("part"), F.col("sim").bitwiseAND(F.lit(_signed(m))).alias("shared")) for i, m in enumerate(masks)])
+    keys = F.array(*[_key(i, 0, m) for i, m in enumerate(masks)])
     postings = sims.select("sim", F.explode(keys).alias("key"))
     met = postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     # A key with very many fingerprints is cut by parts of its other bits.
-    finer: dict[int, list[tuple[int, int]]] = {}
+    cut_keys = F.array()
     for i, m in enumerate(masks):
         cuts = np.array_split(np.array([b for b in range(64) if not m >> b & 1]), 8)
-        finer[i] = [(p + 1, _signed(m | sum(1 << int(b) for b in np.concatenate(kept)))) for p, kept in enumerate(combinations(cuts, 8 - k))]
-    parts = F.create_map(*[x for i, cut in finer.items() for x in (
-        F.lit(i), F.array(*[F.struct(F.lit(p).alias("part"), F.lit(m).alias("mask")) for p, m in cut]))])
-    cut_keys = F.transform(F.element_at(parts, F.col("key.choice")), lambda f: F.struct(
-        F.col("key.choice").alias("choice"), f["part"].alias("part"), F.col("sim").bitwiseAND(f["mask"]).alias("shared")))
+        finer = [_key(i, p, m | sum(1 << int(b) for b in np.concatenate(kept))) for p, kept in enumerate(combinations(cuts, 8 - k), 1)]
+        cut_keys = F.when(_choice("key") == i, F.array(*finer)).otherwise(cut_keys)
     dealt = met.select("sim", F.explode(F.when(F.col("n") > LIST, cut_keys).otherwise(F.array("key"))).alias("key"))
     lists = dealt.groupBy("key").agg(F.collect_list("sim").alias("sims")).where(F.size("sims") > 1)
+    # Most lists are pairs, and most pairs differ in too many bits.
+    lists = lists.where((F.size("sims") > 2) | (F.bit_count(F.col("sims")[0].bitwiseXOR(F.col("sims")[1])) <= k))
+    lists = lists.select(_choice("key").alias("choice"), "key", "sims")
 
     def filter_lists(batches):
         for b in batches:
-            column = b.column(1)
-            choices = np.asarray(b.column(0).field("choice")).tolist()
+            column = b.column(2)
+            choices = np.asarray(b.column(0)).tolist()
             values = np.asarray(column.flatten()).view(np.uint64)
             offsets = np.asarray(column.offsets) - column.offsets[0].as_py()
             row, kept = [], []
             for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 own = values[lo:hi]
-                if hi - lo == 2 and int(own[0] ^ own[1]).bit_count() > k:
-                    continue
                 found = own[_partners(own, k, choices[i])]
                 if len(found):
                     row += [i] * len(found)
                     kept.append(found)
             sim = np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(sim)], names=["key", "sim"])
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(row, pa.int64())), pa.array(sim)], names=["key", "sim"])
 
-    key_type = "struct<choice: int, part: int, shared: bigint>"
-    near = lists.mapInArrow(filter_lists, f"key {key_type}, sim bigint")
-    same = sims.where("n > 1").select(
-        F.struct(F.lit(-1).alias("choice"), F.lit(0).alias("part"), F.col("sim").alias("shared")).alias("key"), "sim")
-    return near.union(same)
+    near = lists.mapInArrow(filter_lists, "key bigint, sim bigint")
+    return near.union(sims.where("n > 1").select(_key(-1, 0, _bits(0, 64)).alias("key"), "sim"))
 
 
 def edit_distance(a: bytes, b: bytes, most: int) -> int:
@@ -206,19 +233,53 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
     where: dict[int, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    ones, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    plus, minus, score = ones, 0, len(a)
-    for j, c in enumerate(b):
-        eq = where.get(c, 0)
-        x = (((eq & plus) + plus) ^ plus) | eq | minus
-        up, down = minus | (ones & ~(x | plus)), plus & x
-        score += bool(up & top) - bool(down & top)
-        if score - (len(b) - 1 - j) > most:
+    # plus, minus: where a column of the table of distances goes up and down by one.
+    ones, get = (1 << len(a)) - 1, where.get
+    plus, minus = ones, 0
+    for at in range(0, len(b), STRIDE):
+        if at and _least(plus & ones, minus, len(a), at, len(b)) > most:
+            return most + 1
+        for c in b[at : at + STRIDE]:
+            eq = get(c, 0)
+            x = ((((eq & plus) + plus) ^ plus) | eq | minus) & ones
+            up = ((minus | (ones ^ (x | plus) & ones)) << 1 | 1) & ones
+            plus, minus = (plus & x) << 1 | (ones ^ (x | up)), up & x
+    return len(b) + (plus & ones).bit_count() - minus.bit_count()
+
+
+def _least(plus: int, minus: int, n: int, at: int, m: int) -> int:
+    """The least that a distance can become after ``at`` of ``m`` columns of ``n`` rows."""
+    size = -(-n // 8)
+    up, down = (np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), count=n, bitorder="little").view(np.int8) for x in (plus, minus))
+    column = np.concatenate([[at], at + np.cumsum(up - down, dtype=np.int64)])
+    return int((column + np.abs(np.arange(n, -1, -1) - (m - at))).min())
+
+
+def aligned(x: list[bytes], y: list[bytes], most: int) -> int:
+    """Bytes changed by one alignment of two lists of words: the distance is that or less. A search that does not end well gives more than ``most``."""
+    i = j = cost = misses = 0
+    n, m = len(x), len(y)
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        p = q = 1
+        for s in range(1, REACH):
+            # The nearest two equal words that are followed by equal words or by an end.
+            p = next((p for p in range(s + 1) if i + p < n and j + s - p < m and x[i + p] == y[j + s - p]
+                      and (i + p + 1 == n or j + s - p + 1 == m or x[i + p + 1] == y[j + s - p + 1])), -1)
+            if p >= 0:
+                q = s - p
+                break
+        else:
+            p = q = 1
+            misses += 1
+        # Each word with the blank after it; both ends get one, which leaves the distance as it is.
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
+        if cost > most or misses > 3:
             return most + 1
-        up, down = ((up << 1) | 1) & ones, (down << 1) & ones
-        vertical = (((eq | minus)))
-        plus, minus = down | (ones & ~(vertical | up)), up & vertical
-    return score
+        i, j = i + p, j + q
+    return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j)
 
 
 def similar(a: bytes, b: bytes, least: float) -> bool:
@@ -230,7 +291,7 @@ def similar(a: bytes, b: bytes, least: float) -> bool:
     x, y = a.split(b" "), b.split(b" ")
     if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y, strict=True) if u != v) <= most:
         return True
-    return edit_distance(a, b, most) <= most
+    return aligned(x, y, most) <= most or edit_distance(a, b, most) <= most
 
 
 PROFILE = 256
@@ -248,6 +309,9 @@ def _profiles(texts: list[bytes]) -> np.ndarray:
 def _forest(ids: list[bytes], sims: np.ndarray, texts: list[bytes], k: int, least: float, choice: int,
             left_of: np.ndarray, right_of: np.ndarray) -> list[tuple[bytes, bytes]]:
     """Links of a spanning forest over pairs (left, right) that are close in bits and in edits."""
+    if len(ids) == 2:  # most keys
+        met = left_of[0] and right_of[1] or left_of[1] and right_of[0]
+        return [(ids[0], ids[1])] if met and _close(sims[:1] ^ sims[1], k, choice)[0] and similar(*texts, least) else []
     links, todo_left, waiting = [], left_of.copy(), right_of.copy()
     nobody = np.zeros(len(ids), bool)
     profile = _profiles(texts)
@@ -300,8 +364,13 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, removed): line numbers to cut from each document of docs(doc_id, text) that has any."""
     found = stage(occurrences(docs, min_words), "lines")
-    classes = stage(found.groupBy("id").agg(
-        F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last"), F.max("sim").alias("sim")), "classes")
+    # Places as one number: Spark sorts whole rows to find the smallest of a struct, but hashes them for numbers.
+    high = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32)
+    place = high + F.col("line")
+    classes = found.groupBy("id").agg(
+        F.min("doc_id").alias("doc_id"), F.min(place).alias("low"), F.max(place).alias("top"), F.max("sim").alias("sim"))
+    classes = stage(classes.select(
+        "id", F.struct("doc_id", (F.col("low") - high).cast("int").alias("line")).alias("first"), (F.col("low") != F.col("top")).alias("repeated"), "sim"), "classes")
     keys = stage(_candidates(classes, k), "keys")
     members = keys.join(classes.select("sim", "id", "first"), "sim")
     members = stage(members, "members")
@@ -314,12 +383,14 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, simil
     # Each line meets its own block and every other one, as (smaller, larger) block.
     held = held.select("key", "id", "sim", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     held = held.select(F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("task"), "id", "sim", "own")
-    groups = held.join(texts, "id").groupBy("task").agg(F.collect_list(F.struct("id", "sim", "body", "own")).alias("m")).where(F.size("m") > 1)
+    choice = _choice("task.key").alias("choice")
+    groups = held.join(texts, "id").groupBy("task").agg(F.collect_list(F.struct("id", "sim", "body", "own")).alias("m")).where(F.size("m") > 1).select(
+        "task", "m", choice)
 
     def verify(batches):
         for b in batches:
             tasks, column = b.column(0), b.column(1)
-            choices, left, right = np.asarray(tasks.field("key").field("choice")).tolist(), np.asarray(tasks.field("i")), np.asarray(tasks.field("j"))
+            choices, left, right = np.asarray(b.column(2)).tolist(), np.asarray(tasks.field("i")), np.asarray(tasks.field("j"))
             offsets = np.asarray(column.offsets) - column.offsets[0].as_py()
             rows = column.flatten()
             links = []
@@ -332,7 +403,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, simil
 
     joined = components(groups.mapInArrow(verify, "a binary, b binary").distinct())
     # Classes with more than one line, by themselves or with others, and the line that each group keeps.
-    owned = classes.join(joined, F.col("id") == F.col("node"), "left").where("component is not null or first <> last")
+    owned = classes.join(joined, F.col("id") == F.col("node"), "left").where("component is not null or repeated")
     owned = stage(owned.select("id", F.coalesce("component", "id").alias("component"), "first"), "owned")
     kept = owned.groupBy("component").agg(F.min("first").alias("kept"))
     keepers = stage(owned.join(kept, "component").select("id", "kept"), "kept")

@@ -151,3 +151,44 @@ def test_lines_of_one_fingerprint_are_compared_in_blocks(spark, monkeypatch, bou
     texts = ["\n".join(table[i : i + 5]) for i in range(0, 150, 5)]
     got = {r.doc_id: r.text for r in ld.dedup_lines(docs(spark, texts)).collect()}
     assert got == dict(enumerate(plain(texts)))
+
+
+def test_replaced_and_moved_words_need_no_distance_table(monkeypatch):
+    def never(*_):
+        raise AssertionError("a table of distances for words that line up")
+
+    r = random.Random(5)
+    words = [b"w%d" % r.randrange(10**6) for _ in range(80)]
+    monkeypatch.setattr(ld, "edit_distance", never)
+    assert ld.similar(b" ".join(words), b" ".join([*words[:20], b"new", *words[20:50], b"other", *words[51:70], *words[72:]]), 0.8)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_alignment_is_a_distance_or_more(seed):
+    r = random.Random(seed)
+    x = [r.choice([b"a", b"bc", b"def", "ü".encode()]) for _ in range(r.randrange(1, 40))]
+    y = [w for w in x if r.random() < 0.9] + [b"end"] * r.randrange(2)
+    r.random() < 0.3 and r.shuffle(y)
+    got = ld.aligned(x, y, 30)
+    assert got > 30 or got >= levenshtein(b" ".join(x), b" ".join(y))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_distance_of_long_texts(seed):
+    r = random.Random(seed)
+    a = bytes(r.choice(b"abcdef ") for _ in range(r.randrange(150, 400)))
+    b = bytearray(a) if seed % 2 else bytearray(r.choice(b"abcdef ") for _ in range(300))
+    for _ in range(r.randrange(60)):
+        b[r.randrange(len(b))] = r.choice(b"abcdef")
+    d = levenshtein(a, bytes(b))
+    for most in (d // 2, d - 1, d, d + 1, 400):
+        got = ld.edit_distance(a, bytes(b), most)
+        assert (got == d) if d <= most else (got > most)
+
+
+def test_votes_of_long_runs():
+    r = np.random.default_rng(2)
+    hashes = r.integers(0, 1 << 63, 2_000, dtype=np.uint64) | np.uint64(1)
+    first, last = np.array([0, 1, 256, 511, 767]), np.array([1, 256, 511, 767, 2_000])
+    want = [[int((hashes[a:b] >> np.uint64(bit) & np.uint64(1)).sum()) for bit in range(64)] for a, b in zip(first, last, strict=True)]
+    assert ld._votes(hashes, first, last).tolist() == want
