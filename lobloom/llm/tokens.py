@@ -10,6 +10,7 @@ text with every kind of blank and stop; others encode whole texts.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -17,6 +18,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 CACHE_WORDS = 400_000
+# Words encoded together; one group's tokens are held at a time.
+GROUP, ODD_GROUP = 5_000, 500
 
 # Blanks, stops, digits, marks and letters side by side: ids of parts must add up to ids of the whole.
 PROBE = "A b.  c, d.e 1.5 x.\ny, (z) über naïve 数据. it's  \n\n.,; Ab\tc end."
@@ -59,16 +62,18 @@ class WordEncoder:
                 self.cache[w] = known
         # Words of letters only are encoded as one text; each ends with its one end-of-word token.
         plain = [w for w in new if w.isalpha()]
-        groups = [plain[at : at + 5_000] for at in range(0, len(plain), 5_000)]
-        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+        for at in range(0, len(plain), GROUP):
+            group = plain[at : at + GROUP]
+            ids = self._ids([" ".join(group)])[0]
             self._store(group, ids, np.flatnonzero(self.ends[ids]) + 1)
         # Others stand between dividers; a part that holds the divider itself shows in their number.
         odd = [w for w in new if not w.isalpha()]
-        groups = [odd[at : at + 500] for at in range(0, len(odd), 500)]
         if self.divider is None:
             self._one_by_one(odd)
             return
-        for group, ids in zip(groups, self._ids([f" {DIVIDER} ".join([*g, ""]).rstrip(" ") for g in groups]), strict=True):
+        for at in range(0, len(odd), ODD_GROUP):
+            group = odd[at : at + ODD_GROUP]
+            ids = self._ids([f" {DIVIDER} ".join([*group, ""]).rstrip(" ")])[0]
             self._store(group, ids, np.flatnonzero(ids == self.divider) + 1, 1)
 
     def _store(self, words: list[str], ids: np.ndarray, stop: np.ndarray, tail: int = 0) -> None:
@@ -101,5 +106,9 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker, kept from task to task."""
+    """The encoder of this Python worker, kept from task to task.
+
+    Spark runs a worker on each core; the tokenizer's own threads would each keep freed memory besides.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordEncoder(path)

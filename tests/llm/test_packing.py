@@ -83,3 +83,15 @@ def test_repeated_rows_and_empty_table(spark):
     got = packing.pack_documents(twice, PATH).collect()
     assert len(got) == 4 and len({(r.sequence_id, r.offset) for r in got}) == 4
     assert packing.pack_documents(empty(spark), PATH).count() == 0
+
+
+def test_one_group_of_words_is_encoded_at_a_time(monkeypatch):
+    from lobloom.llm import tokens
+
+    model = tokens.WordEncoder(PATH)
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(8)) + r.choice(["", "1", ")"]) for _ in range(12_000)]
+    ask, most = model._ids, []
+    monkeypatch.setattr(model, "_ids", lambda texts: most.append(len(texts)) or ask(texts))
+    assert model.encode([" ".join(words)])[0] == np.array(Tokenizer.from_file(PATH).encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
+    assert max(most) == 1 and len(most) > 12
