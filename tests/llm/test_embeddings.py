@@ -52,3 +52,30 @@ def test_repeated_rows_and_empty(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [3.0, 0.0], 1), (3, [0.0, 1.0], 1)]
     got = em.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffle files."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_disk_grows_with_the_vectors_not_with_pairs_of_blocks(spark):
+    n, dims = 4000, 8
+    x = np.random.default_rng(5).normal(size=(n, dims)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    before = shuffled(spark)
+    got = em.near_duplicates(df, block=50, pivots=4).agg({"n_links": "sum"}).first()[0]
+    assert shuffled(spark) - before < 20 * x.nbytes
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    assert got == int((unit @ unit.T >= 0.9).sum()) - n
+
+
+def test_forest_connects_what_the_links_connect():
+    near = np.zeros((6, 5), bool)
+    near[[0, 0, 2, 4, 5], [1, 3, 3, 0, 0]] = True
+    top, end, column = em.forest(near)
+    assert sorted(zip(top.tolist(), end.tolist(), column.tolist(), strict=True)) == [
+        (0, 1, True), (0, 2, False), (0, 3, True), (4, 0, True), (4, 5, False)]
