@@ -1,9 +1,10 @@
 """Keyed stream operators with their own state: chains, 10:30 signals, late rows.
 
-Rows wait in keyed state (chains in one value, signals in a day's map entry) until the watermark has
-passed them; a timer then takes them, minute by minute in row order, and clears them. So arrival
-order inside the allowed delay does not matter, what is held per key is bounded by
-that delay, and no group is ever put together as one frame.
+Rows wait in keyed state (chains in two tables of a bucket, signals in a day's map entry) until the
+watermark has passed them; a timer then takes them, minute by minute in row order, and clears them. So
+arrival order inside the allowed delay does not matter, and what is held per key is bounded by that
+delay. Stock-days are many and small, so chains share buckets: a batch costs calls for each bucket,
+not for each stock-day, and rows are taken by columns.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,8 @@ MINUTE = 60_000
 SESSION_END = {"AM": 41_400_000, "PM": 53_820_000}
 SIGNAL_FROM_MS, SIGNAL_MS, LABEL_MS = 36_000_000, 37_800_000, 38_400_000
 SIDES = [None, "B", "S"]
-_ROW = np.dtype([("row_id", "<i8"), ("ms", "<i8"), ("oid", "<i8"), ("volume", "<i8"), ("side", "i1"), ("trade", "?")])
+BUCKETS = 512  # fixed, so that a checkpoint fits whatever the session's settings
+_GROUP = ["symbol", "date", "session"]
 
 CHAIN_OUT = ("symbol string, date int, session string, side string, order_id long, volume long, children long, "
              "first_row long, last_row long, first_ms long, last_ms long, status string")
@@ -43,72 +46,106 @@ def _traded() -> F.Column:
     return F.coalesce((F.col("source_action") == "TRADE") & (F.col("source_volume") > 0), F.lit(False))
 
 
+def _table(frame: pd.DataFrame) -> bytes:
+    """A frame as bytes for a state value."""
+    table, out = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _frame(held: bytes | None) -> pd.DataFrame | None:
+    return None if held is None else pa.ipc.open_stream(bytes(held)).read_pandas()
+
+
+def advance(rows: pd.DataFrame, live: pd.DataFrame | None, now: int) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+    """Takes rows that are final at ``now`` into their groups' chains: (what is emitted, live groups, rows that wait on).
+
+    A live group has one row: its open chain, if ``trade``, its newest row (``done``) and its session's end.
+    """
+    ready = (rows["at"] // MINUTE + 1) * MINUTE <= now
+    t = rows[ready]
+    t = t.assign(minute=t["at"] // MINUTE, children=1, opens=False)
+    t = t.assign(first_row=t["row_id"], last_row=t["row_id"], first_ms=t["ms"], last_ms=t["ms"], done=t["row_id"]).drop(columns=["row_id", "ms", "at"])
+    if live is not None and len(live):
+        t = pd.concat([live.assign(minute=-1, opens=True), t], ignore_index=True)
+    t["g"] = t.groupby(_GROUP, sort=False, dropna=False).ngroup()
+    t = t.iloc[np.lexsort((t["done"], t["minute"], t["g"]))].reset_index(drop=True)
+    newest = t.groupby("g")["done"].cummax()
+    before = newest.groupby(t["g"]).shift(fill_value=-1)
+    t["done"] = newest
+    back = ~t["opens"] & (t["first_row"] <= before)
+    broken = t[back].assign(status="order_break", order_id=pd.array([None] * int(back.sum()), "Int64"), children=0)
+    # A chain is a run of one group's rows in order that are trades of one aggressor.
+    t = t[~back].reset_index(drop=True)
+    g, trade = t["g"].to_numpy(), t["trade"].to_numpy(bool)
+    side, oid = t["side"].to_numpy(), t["oid"].to_numpy()
+    start = np.ones(len(t), bool)
+    start[1:] = ~((g[1:] == g[:-1]) & trade[1:] & trade[:-1] & (side[1:] == side[:-1]) & (oid[1:] == oid[:-1]))
+    first = np.flatnonzero(start)
+    last = np.append(first[1:], len(t))[: len(first)] - 1
+    runs = t.iloc[first].reset_index(drop=True)
+    for name in ("volume", "children"):
+        runs[name] = np.add.reduceat(t[name].to_numpy(), first) if len(first) else runs[name]
+    for name in ("last_row", "last_ms", "done"):
+        runs[name] = t[name].to_numpy()[last]
+    runs["open"] = ~runs["g"].duplicated(keep="last")
+    over = runs["open"] & (runs["end"] <= now)
+    out = runs[runs["trade"].astype(bool) & (~runs["open"] | over)]
+    out = out.assign(status=np.where(out["open"], "censored", "closed"), order_id=out["oid"].astype("Int64"))
+    stays = runs[runs["open"] & ~over]
+    return pd.concat([out, broken], ignore_index=True), stays[_LIVE], rows[~ready]
+
+
+_LIVE = [*_GROUP, "end", "side", "oid", "trade", "volume", "children", "first_row", "last_row", "first_ms", "last_ms", "done"]
+
+
 class Chains(StatefulProcessor):
     """Contiguous trades of one aggressor; see :func:`trade_chains`."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # One value: a key costs one read, one write and at most two timers a batch.
-        self.held = handle.getValueState("held", "waiting binary, side int, oid long, volume long, children long, first_row long, last_row long, first_ms long, last_ms long, done long")
+        # One value: a bucket costs one read, one write and at most two timers a batch.
+        self.held = handle.getValueState("held", "waiting binary, live binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        _, date, session = key
-        start, held, new = midnight(date), self.held.get(), []
-        for b in rows:
-            r = np.zeros(len(b), _ROW)
-            for name in ("row_id", "ms", "oid", "volume", "side", "trade"):
-                r[name] = b[name].to_numpy()
-            new.append(r)
-        r = np.concatenate(new)
-        if held is None:
-            self.handle.registerTimer(start + self._end(session))
-        self.held.update(((bytes(held[0]) if held else b"") + r.tobytes(), *(held[1:] if held else [None] * 8 + [-1])))
+        held, new = self.held.get(), pd.concat(list(rows), ignore_index=True)[_WAITING]
         # The last minute of the batch takes the minutes before it along.
-        self.handle.registerTimer(start + (int(r["ms"].max()) // MINUTE + 1) * MINUTE)
+        self.handle.registerTimer((int(new["at"].max()) // MINUTE + 1) * MINUTE)
+        self.handle.registerTimer(int(new["end"].min()))
+        waiting = _frame(held[0]) if held else None
+        if waiting is not None and len(waiting):
+            new = pd.concat([waiting, new], ignore_index=True)
+        self.held.update((_table(new), held[1] if held else None))
         yield pd.DataFrame(columns=_CHAIN)
 
-    @staticmethod
-    def _end(session: str) -> int:
-        return (SESSION_END[session] // MINUTE + 1) * MINUTE
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, held, out = expiredTimerInfo.getExpiryTimeInMs() - midnight(key[1]), self.held.get(), []
+        held = self.held.get()
         if held is None:
             return
-        r = np.frombuffer(bytes(held[0]), _ROW)
-        ready = (r["ms"] // MINUTE + 1) * MINUTE <= now
-        take = r[ready]
-        take = take[np.lexsort((take["row_id"], take["ms"] // MINUTE))]
-        chain, last = self._take(take, key, tuple(held[1:9]) if held[2] is not None else None, held[9], out)
-        if now >= self._end(key[2]):
-            if chain:
-                out.append(self._chain(key, chain, "censored"))
+        # Whatever the watermark has passed is final; later timers of this batch find nothing more.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        rows, live = _frame(held[0]), _frame(held[1])
+        taken = (rows["at"] // MINUTE + 1) * MINUTE <= now
+        if not taken.any() and (live is None or not (live["end"] <= now).any()):
+            return
+        out, live, rest = advance(rows, live, now)
+        if len(live) or len(rest):
+            self.held.update((_table(rest.reset_index(drop=True)), _table(live.reset_index(drop=True))))
+        else:
             self.held.clear()
-        elif len(take):
-            self.held.update((r[~ready].tobytes(), *(chain or [None] * 8), last))
-        yield pd.DataFrame(out, columns=_CHAIN)
-
-    def _chain(self, key, c, status: str) -> list:
-        return [*key, SIDES[c[0]], *[int(v) for v in c[1:]], status]
-
-    def _take(self, rows: np.ndarray, key, chain: tuple | None, last: int, out: list) -> tuple[tuple | None, int]:
-        for row_id, ms, oid, volume, side, trade in rows.tolist():
-            if row_id <= last:
-                out.append([*key, SIDES[side], None, volume, 0, row_id, row_id, ms, ms, "order_break"])
-                continue
-            last = row_id
-            if trade and chain and (side, oid) == chain[:2]:
-                chain = (side, oid, chain[2] + volume, chain[3] + 1, chain[4], row_id, chain[6], ms)
-                continue
-            if chain:
-                out.append(self._chain(key, chain, "closed"))
-            chain = (side, oid, volume, 1, row_id, row_id, ms, ms) if trade else None
-        return chain, last
+        if len(live):
+            self.handle.registerTimer(int(live["end"].min()))
+        out["side"] = np.array(SIDES, object)[out["side"].to_numpy(np.int64)]
+        yield out[_CHAIN]
 
     def close(self) -> None:
         pass
 
 
+_WAITING = [*_GROUP, "end", "at", "row_id", "ms", "oid", "volume", "side", "trade"]
+
+
 def trade_chains(events: DataFrame, delay: str = "1 minute") -> DataFrame:
     """Contiguous trades of one aggressor per (symbol, day, session).
 
@@ -116,12 +153,15 @@ def trade_chains(events: DataFrame, delay: str = "1 minute") -> DataFrame:
     the session end is emitted as censored; a row that goes back in row order is
     reported as an order break and left out.
     """
+    at, session = F.unix_millis("ts"), X.session_of()
+    ends = F.when(session == "AM", (SESSION_END["AM"] // MINUTE + 1) * MINUTE).otherwise((SESSION_END["PM"] // MINUTE + 1) * MINUTE)
     e = events.filter(X.in_session()).withWatermark("ts", delay).select(
-        "symbol", "date", X.session_of().alias("session"), "ts", "row_id", F.col("ms").cast("long").alias("ms"),
+        F.pmod(F.xxhash64("symbol", "date", session), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        "symbol", "date", session.alias("session"), "ts", (at - F.col("ms") + ends).alias("end"), at.alias("at"), "row_id", F.col("ms").cast("long").alias("ms"),
         F.coalesce(X.own_side_id(), F.lit(0)).cast("long").alias("oid"), F.coalesce("source_volume", F.lit(0)).cast("long").alias("volume"),
         F.when(F.col("source_side") == "B", 1).when(F.col("source_side") == "S", 2).otherwise(0).alias("side"),
         (_traded() & X.own_side_id().isNotNull()).alias("trade"))
-    return e.groupBy("symbol", "date", "session").transformWithStateInPandas(Chains(), CHAIN_OUT, "Append", "EventTime")
+    return e.groupBy("bucket").transformWithStateInPandas(Chains(), CHAIN_OUT, "Append", "EventTime")
 
 
 class Signals(StatefulProcessor):

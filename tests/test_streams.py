@@ -2,6 +2,8 @@
 
 import shutil
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,71 @@ def test_replay_follows_the_clock_not_the_row_ids(spark, tmp_path):
     e = spark.read.schema(lob(spark, SF).schema).parquet(str(tmp_path / "in" / "part=0"))
     stream_queries._files(e, str(tmp_path / "out"), 2, range(1))
     assert [r.symbol for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["B"]
+
+
+def test_stock_days_that_share_a_bucket_stay_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(processors, "BUCKETS", 1)
+    write(spark, tmp_path / "in", [trade(1, 112_900_000), trade(2, 112_901_000, symbol="Y"), trade(3, 112_902_000)], 0)
+    # Only rows of a later day wait when the first day's open chains end.
+    write(spark, tmp_path / "in", [trade(4, 100_000_000, action="CANCEL", symbol="Y", date=20240103)], 1)
+    write(spark, tmp_path / "in", [trade(6, 100_201_000, symbol="Y", date=20240103), trade(5, 100_300_000, symbol="Y", date=20240103)], 2)
+    write(spark, tmp_path / "in", END, 3)
+    got = flows.run_once(spark, processors.trade_chains(stream(spark, tmp_path / "in"))).where("symbol <> '~'").collect()
+    assert sorted((r.symbol, r.date, *chains([r])[0][1:]) for r in got if r.order_id) == [
+        ("X", 20240102, 1, 200, 2, 1, 3, "censored"), ("Y", 20240102, 1, 100, 1, 2, 2, "censored"), ("Y", 20240103, 1, 100, 1, 6, 6, "censored")]
+    assert [(r.symbol, r.first_row, r.volume, r.children) for r in got if r.status == "order_break"] == [("Y", 5, 100, 0)]
+
+
+def chains_one_by_one(rows):
+    """Chains of each stock-day, row by row; all rows are final."""
+    out, groups = [], {}
+    for r in sorted(rows.to_dict("records"), key=lambda r: (r["at"] // processors.MINUTE, r["row_id"])):
+        groups.setdefault((r["symbol"], r["date"], r["session"]), []).append(r)
+    for key, group in groups.items():
+        chain, last = None, -1
+        for r in group:
+            if r["row_id"] <= last:
+                out.append((*key, 0, r["row_id"], r["row_id"], "order_break"))
+                continue
+            last = r["row_id"]
+            if chain and r["trade"] and chain[0] == (r["side"], r["oid"]):
+                chain[1:] = [chain[1] + 1, chain[2], last]
+                continue
+            if chain:
+                out.append((*key, *chain[1:], "closed"))
+            chain = [(r["side"], r["oid"]), 1, last, last] if r["trade"] else None
+        if chain:
+            out.append((*key, *chain[1:], "censored"))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_taken_in_steps(seed):
+    r, n = np.random.default_rng(seed), 400
+    date, session = r.choice([20240102, 20240103], n), r.choice(["AM", "PM"], n)
+    day = np.array([processors.midnight(d) for d in date])
+    ms = np.where(session == "AM", 34_200_000, 46_800_000) + r.integers(0, 2_000_000, n)
+    ends = np.array([processors.SESSION_END[s] // processors.MINUTE * processors.MINUTE + processors.MINUTE for s in session])
+    rows = pd.DataFrame({
+        "symbol": r.choice(["A", "B"], n), "date": date, "session": session, "end": day + ends, "at": day + ms, "row_id": np.argsort(np.argsort(day + ms)),
+        "ms": ms, "oid": r.integers(1, 3, n), "volume": 100, "side": r.integers(1, 3, n), "trade": r.random(n) < 0.8})
+    rows["row_id"] += np.where(r.random(n) < 0.1, r.integers(-60, 60, n), 0)
+    got, waiting, live = [], rows, None
+    for now in (*np.sort(r.choice(rows["at"], 7)), int(rows["end"].max())):
+        out, live, waiting = processors.advance(waiting.reset_index(drop=True), live, int(now))
+        got += out[["symbol", "date", "session", "children", "first_row", "last_row", "status"]].itertuples(index=False, name=None)
+    assert sorted(got) == chains_one_by_one(rows)
+    assert len(live) == len(waiting) == 0
+
+
+def test_replay_writes_a_part_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 200)
+    e = lob(spark, SF)
+    assert stream_queries._files(e, str(tmp_path / "out"), 3, range(3)) > 1
+    files = sorted(tmp_path.glob("out/*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    tasks, part = len(files) // 3, []
+    for i in range(3):
+        of = flows.with_event_time(spark.read.parquet(*map(str, files[i * tasks : (i + 1) * tasks])))
+        part.append((of.agg(F.min("ts"), F.max("ts")).first(), of.count()))
+    assert part[0][0][1] < part[1][0][0] and part[1][0][1] < part[2][0][0]
+    assert sum(n for _, n in part) == e.count()
